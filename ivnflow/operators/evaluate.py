@@ -201,7 +201,7 @@ def gini_splits(df: DataFrame, feature: str, y: str = "label") -> DataFrame:
     g = df.groupBy(F.col(feature).alias("value")).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.count(F.lit(1)).alias("n"))
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("n").alias("N"))
+    tot = g.agg(F.sum("pos").alias("_tp"), F.sum("n").alias("_tn"))
     r = running_totals(g, "value", ["pos", "n"], descending=False).crossJoin(F.broadcast(tot))
 
     def gini(p, n):
@@ -209,11 +209,11 @@ def gini_splits(df: DataFrame, feature: str, y: str = "label") -> DataFrame:
         return F.lit(1.0) - q * q - (F.lit(1.0) - q) * (F.lit(1.0) - q)
 
     lp, ln = F.col("cum_pos"), F.col("cum_n")
-    rp, rn = F.col("P") - lp, F.col("N") - ln
-    parent = gini(F.col("P"), F.col("N"))
+    rp, rn = F.col("_tp") - lp, F.col("_tn") - ln
+    parent = gini(F.col("_tp"), F.col("_tn"))
     gl = F.when(ln > 0, gini(lp, ln)).otherwise(F.lit(0.0))
     gr = F.when(rn > 0, gini(rp, rn)).otherwise(F.lit(0.0))
-    weighted = (ln * gl + rn * gr) / F.col("N")
+    weighted = (ln * gl + rn * gr) / F.col("_tn")
     return r.select(F.col("value").alias("split_value"), ln.alias("n_left"), rn.alias("n_right"),
                     gl.alias("gini_left"), gr.alias("gini_right"), weighted.alias("gini_weighted"),
                     (parent - weighted).alias("gain"))
