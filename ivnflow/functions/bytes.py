@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # Hex words are handled 8 digits (4 bytes) at a time so ``conv`` results
 # always fit a signed long.
 WORD_HEX = 8
+UNROLL_WORDS = 8
 
 
 def _c(x) -> Column:
@@ -63,9 +64,18 @@ def hamming_hex(a, b) -> Column:
         ln = F.least(F.lit(WORD_HEX), m - k * WORD_HEX)
         return F.conv(F.substr(s, start, ln), 16, 10).cast("long")
 
-    total = F.aggregate(
-        F.sequence(F.lit(0), nwords - 1), F.lit(0).cast("long"),
-        lambda acc, k: acc + F.bit_count(word(a, k).bitwiseXOR(word(b, k))))
+    def term(k):
+        kk = k if isinstance(k, Column) else F.lit(k)
+        return F.bit_count(word(a, kk).bitwiseXOR(word(b, kk)))
+
+    # The first UNROLL_WORDS words (a 32-byte prefix) are plain expressions
+    # that compile into generated code; the lambda only runs beyond them.
+    acc = F.lit(0).cast("long")
+    for k in range(UNROLL_WORDS):
+        acc = acc + F.when(F.lit(k) < nwords, term(k)).otherwise(F.lit(0))
+    rest = F.aggregate(F.sequence(F.lit(UNROLL_WORDS), nwords - 1), acc,
+                       lambda s, k: s + term(k))
+    total = F.when(nwords > UNROLL_WORDS, rest).otherwise(acc)
     return F.when(hex_valid(a) & hex_valid(b) & (m > 0),
                   total.cast("double")).otherwise(F.lit(0.0))
 

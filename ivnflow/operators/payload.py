@@ -89,13 +89,30 @@ def unseen_logp() -> float:
     return math.log(1.0 / 256.0 + LOG_EPS)
 
 
+UNROLL_BYTES = 32
+
+
 def loglik_expr(h: Column, npos: Column, logp: Column, max_positions: int = 256) -> Column:
-    """Sum of log-probabilities of the first ``max_positions`` bytes."""
+    """Sum of log-probabilities of the first ``max_positions`` bytes.
+
+    The first ``UNROLL_BYTES`` positions (the whole stored payload prefix)
+    are plain expressions, so they compile into the generated code; the
+    lambda form only runs for longer payloads. Terms are added in byte
+    order, as a sequential loop would.
+    """
     n = F.least(hex_len_bytes(h), F.lit(max_positions))
-    return F.aggregate(
-        F.sequence(F.lit(0), n - 1), F.lit(0.0),
-        lambda acc, i: acc + F.when(i < npos, F.element_at(logp, i * 256 + hex_byte_at(h, i) + 1))
-        .otherwise(F.lit(unseen_logp())))
+
+    def term(i):
+        ii = i if isinstance(i, Column) else F.lit(i)
+        return F.when(ii < npos, F.element_at(logp, ii * 256 + hex_byte_at(h, ii) + 1)) \
+            .otherwise(F.lit(unseen_logp()))
+
+    u = min(UNROLL_BYTES, max_positions)
+    acc = F.lit(0.0)
+    for i in range(u):
+        acc = acc + F.when(F.lit(i) < n, term(i)).otherwise(F.lit(0.0))
+    rest = F.aggregate(F.sequence(F.lit(u), n - 1), acc, lambda a, i: a + term(i))
+    return F.when(n > u, rest).otherwise(acc)
 
 
 def scoreable(h: Column) -> Column:

@@ -4,3 +4,4 @@ from .catalog import ORACLES, QUERIES  # noqa: F401
 from . import q_features  # noqa: F401
 from . import q_eval  # noqa: F401
 from . import q_prepare  # noqa: F401
+from . import q_vectors  # noqa: F401
