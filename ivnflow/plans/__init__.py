@@ -5,3 +5,4 @@ from . import q_features  # noqa: F401
 from . import q_eval  # noqa: F401
 from . import q_prepare  # noqa: F401
 from . import q_vectors  # noqa: F401
+from . import q_stream  # noqa: F401

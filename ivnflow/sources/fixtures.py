@@ -123,3 +123,10 @@ def with_views(sql: str, *names: str) -> str:
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
+
+
+def project(df: DataFrame, name: str) -> DataFrame:
+    """Apply a view's projection to any DataFrame of its source table
+    (a streaming one included)."""
+    _, cols = VIEWS[name]
+    return df.selectExpr(*[f"{_render(e, 'spark')} AS {a}" for e, a in cols])
