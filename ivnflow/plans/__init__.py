@@ -6,3 +6,4 @@ from . import q_eval  # noqa: F401
 from . import q_prepare  # noqa: F401
 from . import q_vectors  # noqa: F401
 from . import q_stream  # noqa: F401
+from . import q_decode  # noqa: F401
