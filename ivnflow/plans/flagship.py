@@ -21,7 +21,9 @@ from ..sources.fixtures import packets
 
 
 def feature_table(pk: DataFrame, mode: str = "auto") -> DataFrame:
-    vec = model_vector(fit_byte_model(benign_sample(pk)))
+    # the fitted model is one bounded row; checkpoint it so every branch
+    # reads it instead of refitting
+    vec = cut_lineage(model_vector(fit_byte_model(benign_sample(pk))))
     return flow_features(pk, vec, mode=mode)
 
 

@@ -10,6 +10,7 @@ from ..operators.flows import flow_features, layered_features
 from ..operators.payload import (benign_sample, fit_byte_model, model_vector,
                                  score_payloads)
 from ..schemas import FEATURE_COLS
+from ..session import cut_lineage
 from ..sources.fixtures import packets, payloads, table
 from .catalog import register
 
@@ -21,7 +22,8 @@ def byte_model(df):
 
 
 def fitted_vector(df):
-    return model_vector(byte_model(df))
+    # one bounded row, reused by every scoring branch: computed once
+    return cut_lineage(model_vector(byte_model(df)))
 
 
 def features(spark, sf):
