@@ -11,6 +11,7 @@ from ..operators import profile as pf
 from ..operators.evaluate import gini_splits
 from ..operators.flows import binary_label
 from ..schemas import FEATURE_COLS, FLOW_KEY, NORM_COLS, PCAP_LABELS
+from ..session import cut_lineage
 from ..sources.fixtures import packets, table
 from .catalog import register
 from .q_features import FLOW_FEATURES_SQL, features, rounded
@@ -22,8 +23,13 @@ LABEL = "CASE WHEN lower(label_str) = 'normal' THEN 0 ELSE 1 END"
 
 
 def feats(spark, sf):
-    """Features with the summed scores rounded, as the oracle gives them."""
-    return rounded(features(spark, sf), FEATURE_COLS[1:5])
+    """Features with the summed scores rounded, as the oracle gives them.
+
+    Split, statistics and quantiles read the features several times, so the
+    table is written once to the shared checkpoint folder (as the feature
+    stage of the pipeline would) instead of being recomputed per branch.
+    """
+    return cut_lineage(rounded(features(spark, sf), FEATURE_COLS[1:5]))
 
 
 def split_feats(spark, sf):

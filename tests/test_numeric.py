@@ -143,3 +143,15 @@ def test_stream_equals_batch(spark):
     b = features(spark, SF001).select("pkt_no", "f01_ip_time_interval", "f06_someip_payload_changes",
                                       "f08_ip_length_changes")
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_scoring_engines_agree(spark):
+    from ivnflow.sources.fixtures import payloads
+    p = payloads(spark, SF001)
+    vec = model_vector(fit_byte_model(p.where("label_str = 'normal'")))
+    a = score_payloads(p, vec, engine="arrow").select("pkt_no", "likelihood", "entropy").collect()
+    b = {r.pkt_no: r for r in score_payloads(p, vec, engine="sql").collect()}
+    assert len(a) == len(b)
+    for r in a:
+        assert abs(r.likelihood - b[r.pkt_no].likelihood) < 1e-9
+        assert abs(r.entropy - b[r.pkt_no].entropy) < 1e-9
