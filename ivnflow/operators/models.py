@@ -161,6 +161,15 @@ def baseline_table(train: DataFrame, test: DataFrame, cols: list[str], id_col: s
         rows.append((name, float(m["precision"]), float(m["recall"]), float(m["f1"]),
                      float(m["average_precision"]), t_fit, t_inf))
         s.unpersist()
+    from .neighbors import knn_classify
+    t0 = time.time()
+    s = knn_classify(test, train.select(id_col, label, *cols), cols, label, 5, id_col) \
+        .join(test.select(id_col, F.col(label).alias("y_true")), id_col).cache()
+    s.count()
+    m = ev.prf(s, t).select("precision", "recall", "f1").crossJoin(ev.average_precision(s)).first()
+    rows.append(("KNN", float(m["precision"]), float(m["recall"]), float(m["f1"]),
+                 float(m["average_precision"]), 0.0, time.time() - t0))
+    s.unpersist()
     nb = gaussian_nb_fit(train, cols, label)
     t0 = time.time()
     s = gaussian_nb_score(test, nb, cols, id_col, label).cache()

@@ -222,3 +222,59 @@ def q_importance(spark, sf):
 @register("q_cv")
 def q_cv(spark, sf):
     return md.cross_validate_f1(vectors(spark, sf), X, "vec_id", "y_true", folds=5)
+
+
+# ---- A8 / M6 exact kNN, B2 SMOTE -------------------------------------------------------------------
+
+VHASH = "md5(CAST(vec_id AS VARCHAR) || '|42')"
+DUCK_VSPLIT = f"""
+vs AS (SELECT v.*, CASE WHEN rn * 2 <= n THEN 'train' ELSE 'test' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY {VHASH}, vec_id) AS rn,
+         count(*) OVER (PARTITION BY y_true) AS n FROM vectors) v)"""
+
+
+def _duck_dist(a: str, b: str) -> str:
+    return "sqrt(" + " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in X) + ")"
+
+
+@register("q_knn_classify", views=("vectors",), sql=f"""
+WITH {DUCK_VSPLIT},
+pr AS (SELECT q.vec_id AS q_id, r.vec_id AS r_id, r.y_true AS r_label, {_duck_dist('q', 'r')} AS dist
+       FROM vs q, vs r WHERE q.split = 'test' AND r.split = 'train'),
+nn AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY dist, r_id) <= 5)
+SELECT q_id AS vec_id, sum(r_label) / CAST(count(*) AS DOUBLE) AS y_prob FROM nn GROUP BY q_id""")
+def q_knn_classify(spark, sf):
+    """Exact 5-NN vote of the test half against the train half (no pair
+    outside the pruning band is ever formed)."""
+    from ..operators.neighbors import knn_classify
+    tr, te = halves(spark, sf)
+    return knn_classify(te, tr, X, "y_true", 5, "vec_id").select("vec_id", "y_prob")
+
+
+def _duck_md5(*parts: str) -> str:
+    return "md5(" + " || '|' || ".join(parts) + " || '|42')"
+
+
+@register("q_smote", views=("vectors",), sql=f"""
+WITH c AS (SELECT y_true, count(*) AS n FROM vectors GROUP BY y_true),
+mm AS (SELECT min(n) AS n_min, max(n) AS n_max, arg_min(y_true, n * 10 + y_true) AS minority FROM c),
+mi AS (SELECT v.* FROM vectors v, mm WHERE v.y_true = mm.minority),
+pr AS (SELECT q.vec_id AS q_id, r.vec_id AS r_id, {_duck_dist('q', 'r')} AS dist
+       FROM mi q, mi r WHERE q.vec_id <> r.vec_id),
+nn AS (SELECT q_id, r_id, row_number() OVER (PARTITION BY q_id ORDER BY dist, r_id) AS rank FROM pr
+       QUALIFY rank <= 5),
+base AS (SELECT m.*, CAST(k AS INTEGER) AS copy_no FROM mi m, mm,
+         range(1, CAST(ceil((n_max - n_min) / CAST(n_min AS DOUBLE)) AS BIGINT) + 1) t(k)),
+b AS (SELECT base.*,
+  CAST(('0x' || substr({_duck_md5('CAST(vec_id AS VARCHAR)', 'CAST(copy_no AS VARCHAR)', "'j'")}, 1, 8)) AS BIGINT) % 5 + 1 AS pick,
+  CAST(('0x' || substr({_duck_md5('CAST(vec_id AS VARCHAR)', 'CAST(copy_no AS VARCHAR)', "'u'")}, 1, 8)) AS BIGINT)
+    / 4294967296.0e0 AS g FROM base),
+syn AS (SELECT b.vec_id, b.copy_no, {', '.join(f'b.{c} + b.g * (r.{c} - b.{c}) AS {c}' for c in X)},
+  {_duck_md5('CAST(b.vec_id AS VARCHAR)', 'CAST(b.copy_no AS VARCHAR)')} AS o
+  FROM b JOIN nn ON nn.q_id = b.vec_id AND nn.rank = b.pick JOIN mi r ON r.vec_id = nn.r_id)
+SELECT vec_id, copy_no, {', '.join(f'round({c}, {R}) AS {c}' for c in X)} FROM syn
+QUALIFY row_number() OVER (ORDER BY copy_no, o, vec_id) <= (SELECT n_max - n_min FROM mm)""")
+def q_smote(spark, sf):
+    from ..operators.neighbors import smote
+    s = smote(vectors(spark, sf), X, "vec_id", "y_true", 5)
+    return rnd(s.select("vec_id", "copy_no", *X), X)
