@@ -93,11 +93,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _utc_select(df: DataFrame, exprs: list[str]) -> DataFrame:
+    """Project with the views' time arithmetic analysed in UTC.
+
+    Time zones are fixed into expressions at analysis, which a DataFrame
+    does eagerly, so the caller's session setting is restored right after.
+    """
+    spark = df.sparkSession
+    old = spark.conf.get("spark.sql.session.timeZone")
+    if old in ("UTC", "Etc/UTC"):
+        return df.selectExpr(*exprs)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        return df.selectExpr(*exprs)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The fixture view ``name`` as a lazily evaluated Spark DataFrame."""
     src, cols = VIEWS[name]
-    return table(spark, sf_dir, src).selectExpr(
-        *[f"{_render(e, 'spark')} AS {a}" for e, a in cols])
+    return _utc_select(table(spark, sf_dir, src), [f"{_render(e, 'spark')} AS {a}" for e, a in cols])
 
 
 def packets(spark, sf_dir):
@@ -129,4 +145,4 @@ def project(df: DataFrame, name: str) -> DataFrame:
     """Apply a view's projection to any DataFrame of its source table
     (a streaming one included)."""
     _, cols = VIEWS[name]
-    return df.selectExpr(*[f"{_render(e, 'spark')} AS {a}" for e, a in cols])
+    return _utc_select(df, [f"{_render(e, 'spark')} AS {a}" for e, a in cols])
