@@ -3,10 +3,10 @@
 Curves and ranking metrics start from one row per distinct score
 (``groupBy(score)``, partial aggregation), then need prefix sums in score
 order. A window without partitioning would run in one task, so
-``running_totals`` splits the score range into equal-width buckets
-(bounds from the exact min/max, hence deterministic), sums each bucket,
-and adds the exclusive prefix of the bucket sums as an offset to a
-per-bucket window.
+``running_totals`` splits the scores into monotone log-scale buckets
+(a pure function of the value, hence deterministic and robust to heavy
+tails), sums each bucket, and adds the exclusive prefix of the bucket
+sums as an offset to a per-bucket window.
 
 Threshold sweeps never expand rows: a ``Bucketizer`` maps each score to
 the number of grid thresholds at or below it (binary search in the JVM),
@@ -22,25 +22,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sampling import ordered_bucket
+
 
 def running_totals(df: DataFrame, order_col: str, cols: list[str], descending: bool = True,
-                   buckets: int = 64, prefix: str = "cum_") -> DataFrame:
+                   prefix: str = "cum_") -> DataFrame:
     """Add inclusive running sums of ``cols`` in ``order_col`` order.
 
-    ``df`` should hold one row per distinct ``order_col`` value.
+    ``df`` should hold one row per distinct ``order_col`` value. Rows are
+    bucketed by a monotone log-scale key; bucket totals (one row per key
+    present) give each bucket its offset, and the window runs per bucket.
     """
-    v = F.col(order_col).cast("double")
-    rng = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    d = df.crossJoin(F.broadcast(rng))
-    width = F.col("_hi") - F.col("_lo")
-    pos = F.when(width > 0, F.floor((v - F.col("_lo")) / width * F.lit(buckets))).otherwise(0)
-    pos = F.least(pos, F.lit(buckets - 1)).cast("int")
-    d = d.withColumn("_b", (F.lit(buckets - 1) - pos) if descending else pos).drop("_lo", "_hi")
+    key = ordered_bucket(F.col(order_col).cast("double"))
+    d = df.withColumn("_b", -key if descending else key)
     tot = d.groupBy("_b").agg(*[F.sum(c).alias(c + "_t") for c in cols])
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_b", *[F.coalesce(F.sum(c + "_t").over(wb), F.lit(0)).alias(c + "_o")
                              for c in cols])
-    # at most `buckets` rows
+    # one row per bucket key present (bounded by the key space, not the data)
     d = d.join(F.broadcast(off), "_b")
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy("_b").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)

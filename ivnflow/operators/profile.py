@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.someip import someip_port
+from .sampling import ordered_bucket
 
 # Fixed value: attack share in the authors' labelled matrices.
 EXPECTED_ATTACK_SHARE = 0.117
@@ -43,22 +44,18 @@ def zero_share(df: DataFrame, cols: list[str]) -> DataFrame:
                                       .alias("zero_share"))
 
 
-def exact_quantiles(lng: DataFrame, qs: list[float], key: str = "feature", value: str = "value",
-                    buckets: int = 4096) -> DataFrame:
+def exact_quantiles(lng: DataFrame, qs: list[float], key: str = "feature",
+                    value: str = "value") -> DataFrame:
     """Exact linear-interpolated quantiles per key, as pandas computes them.
 
-    The value range of each key is cut into equal-width buckets; a
-    histogram locates the buckets holding the two ranks around each
-    quantile, and only those buckets are sorted. No key's values are ever
-    gathered into one task or buffer.
+    Values are cut into monotone log-scale buckets (robust to heavy tails);
+    a histogram locates the buckets holding the two ranks around each
+    quantile, and only the distinct values of those buckets are ranked. No
+    key's values are ever gathered into one task or buffer.
     """
     v = lng.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    st = v.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"),
-                            F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    b = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width * buckets),
-                                  F.lit(buckets - 1))).otherwise(0).cast("int")
-    vb = v.join(F.broadcast(st), key).withColumn("_b", b)
+    st = v.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    vb = v.withColumn("_b", ordered_bucket(F.col(value)))
     hist = vb.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("_cum", F.sum("_c").over(w)).withColumn("_before", F.col("_cum") - F.col("_c"))
