@@ -157,10 +157,15 @@ def decode_frames(frames: DataFrame, labels: DataFrame | None = None) -> DataFra
                    someip_payload_len(msg).alias("someip_payload_len"))
     out = out.withColumn("payload_hex", F.nullif(F.col("payload_hex"), F.lit("")))
     if labels is None:
-        labels = spark.createDataFrame(PCAP_LABELS, "pcap_file string, label string")
+        labels = spark.createDataFrame([(f, lab, i) for i, (f, lab) in enumerate(PCAP_LABELS)],
+                                       "pcap_file string, label string, file_no int")
     # the class dimension has one row per capture file: bounded broadcast
-    return out.join(F.broadcast(labels), "pcap_file", "left") \
+    out = out.join(F.broadcast(labels), "pcap_file", "left") \
         .withColumn("label", F.coalesce(F.col("label"), F.lit("unknown")))
+    # file order across captures: (file number, packet number) as one key
+    fno = F.coalesce(F.col("file_no"), F.lit(len(PCAP_LABELS))).cast("long") if "file_no" in labels.columns \
+        else F.lit(0).cast("long")
+    return out.withColumn("order_key", F.shiftleft(fno, 40) + F.col("pkt_no")).drop("file_no")
 
 
 def read_packets(spark: SparkSession, directory: str) -> DataFrame:

@@ -3,6 +3,9 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
+
+from ivnflow.schemas import FEATURE_COLS
 
 from ivnflow.sources.capture import capture_counts, decode_frames, read_frames, capture_paths
 
@@ -101,3 +104,16 @@ def test_decode(spark, capdir):
     counts = {r.pcap_file: r for r in capture_counts(fr, pk).collect()}
     assert counts["dos_noti_flood.pcap"].error == "truncated record"
     assert counts["benign_traffic.pcap"].n_read == 13 and counts["benign_traffic.pcap"].n_kept == 8
+
+
+def test_captures_to_features(spark, capdir, tmp_path):
+    from ivnflow.plans.flagship import capture_feature_sets
+    paths = capture_feature_sets(spark, capdir, str(tmp_path / "out"))
+    pk = spark.read.parquet(paths["packets"])
+    keys = {(r.pcap_file, r.order_key) for r in pk.select("pcap_file", "order_key").collect()}
+    assert ("dos_noti_flood.pcap", (1 << 40) + 1) in keys and ("benign_traffic.pcap", 0) in keys
+    f = spark.read.parquet(paths["normalised"])
+    assert f.count() == pk.count() == 10
+    assert {r.split for r in f.select("split").distinct().collect()} <= {"train", "test"}
+    r = f.agg(*[F.min(c + "_norm") for c in FEATURE_COLS], *[F.max(c + "_norm") for c in FEATURE_COLS]).first()
+    assert all(0.0 <= v <= 1.0 for v in r)
