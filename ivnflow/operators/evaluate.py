@@ -184,12 +184,24 @@ def best_threshold(df, thresholds=None, y="y_true", s="y_prob",
 
 
 def scenario_metrics(df, t: float, scenario: str, y="y_true", s="y_prob") -> DataFrame:
-    """All metrics of one scored set at threshold ``t`` as one row."""
-    m = prf(df, t, y, s).select("precision", "recall", "f1")
-    return (m.crossJoin(average_precision(df, y, s)).crossJoin(roc_auc(df, y, s))
-            .select(F.lit(scenario).alias("scenario"), F.lit(float(t)).alias("threshold"),
-                    "precision", "recall", "f1", F.col("average_precision").alias("pr_auc"),
-                    "roc_auc"))
+    """All metrics of one scored set at threshold ``t`` as one row.
+
+    Everything comes from the distinct-score table: the counts at ``t`` are
+    sums over scores >= t, so the data is scanned once.
+    """
+    c = curve_points(df, y, s)
+    at = F.col("score") >= F.lit(t)
+    a = c.agg(
+        F.sum(F.when(at, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(at, F.col("neg")).otherwise(0)).alias("fp"),
+        F.first("P").alias("_P"),
+        _div(F.sum(F.col("pos") * _div(F.col("tp"), F.col("tp") + F.col("fp"))),
+             F.first("P")).alias("pr_auc"),
+        _div(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)),
+             F.first("P") * F.first("N")).alias("roc_auc"))
+    a = a.withColumn("fn", F.col("_P") - F.col("tp"))
+    return a.select(F.lit(scenario).alias("scenario"), F.lit(float(t)).alias("threshold"),
+                    *prf_cols(), "pr_auc", "roc_auc")
 
 
 # ---- impurity ------------------------------------------------------------------
