@@ -138,28 +138,30 @@ def smote(df: DataFrame, cols: list[str], id_col: str, label: str, k: int = 5,
     if need <= 0 or mm["n_min"] < 2:
         return df.sparkSession.createDataFrame([], minority.select(id_col, *cols).schema) \
             .withColumn("copy_no", F.lit(0))
-    copies = int(math.ceil(need / mm["n_min"]))
+    n_min = int(mm["n_min"])
+    copies = -(-need // n_min)
     nn = knn(minority, minority, cols, k, id_col, id_col, exclude_self=True)
-    base = minority.select(F.col(id_col).alias("q_id"), *cols) \
-        .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    h = hash_key(F.concat_ws("|", F.col("q_id").cast("string"), F.col("copy_no").cast("string"),
-                             F.lit("u")), "|" + seed)
-    pick = F.pmod(F.conv(F.substr(hash_key(F.concat_ws("|", F.col("q_id").cast("string"),
-                                                        F.col("copy_no").cast("string"), F.lit("j")),
-                                           "|" + seed), F.lit(1), F.lit(8)), 16, 10).cast("long"),
-                  F.lit(k)) + 1
-    gap = F.conv(F.substr(h, F.lit(1), F.lit(8)), 16, 10).cast("long") / F.lit(4294967296.0)
+    from .prepare import replicate
+    from .sampling import mark_first_k, md5_bucket
+    mins = minority.select(F.col(id_col).alias("q_id"), *cols)
+    # copies 1..c-1 are kept whole; only copy c is cut (rank over minority rows)
+    last_k = need - n_min * (copies - 1)
+    o = hash_key(F.concat_ws("|", F.col("q_id").cast("string"), F.lit(str(copies))), "|" + seed)
+    last = mark_first_k(mins.withColumn("_o", o), [], ["_o", "q_id"], md5_bucket("_o", 4),
+                        df.sparkSession.range(1).select(F.lit(last_k).alias("k")), "_in") \
+        .where("_in").drop("_in", "_o").withColumn("copy_no", F.lit(copies))
+    base = replicate(mins, copies - 1, "copy_no").unionByName(last)
+
+    def draw(tag):
+        return hash_key(F.concat_ws("|", F.col("q_id").cast("string"), F.col("copy_no").cast("string"),
+                                    F.lit(tag)), "|" + seed)
+
+    pick = F.pmod(F.conv(F.substr(draw("j"), F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(k)) + 1
+    gap = F.conv(F.substr(draw("u"), F.lit(1), F.lit(8)), 16, 10).cast("long") / F.lit(4294967296.0)
     b = base.withColumn("rank", pick).withColumn("_g", gap)
     # the k neighbours of each minority row: k rows per query
     nb = nn.join(minority.select(F.col(id_col).alias("r_id"), *[F.col(c).alias("n_" + c) for c in cols]),
                  "r_id")
     j = b.join(nb, ["q_id", "rank"])
-    syn = j.select(F.col("q_id").alias(id_col), "copy_no",
-                   *[(F.col(c) + F.col("_g") * (F.col("n_" + c) - F.col(c))).alias(c) for c in cols])
-    syn = syn.withColumn("_o", hash_key(F.concat_ws("|", F.col(id_col).cast("string"),
-                                                    F.col("copy_no").cast("string")), "|" + seed))
-    from .sampling import mark_first_k
-    k_df = df.sparkSession.range(1).select(F.lit(need).alias("k"))
-    bucket = F.col("copy_no") * 4096 + F.conv(F.substr(F.col("_o"), F.lit(1), F.lit(3)), 16, 10).cast("long")
-    return mark_first_k(syn, [], ["copy_no", "_o", id_col], bucket, k_df, "_in") \
-        .where("_in").drop("_in", "_o")
+    return j.select(F.col("q_id").alias(id_col), "copy_no",
+                    *[(F.col(c) + F.col("_g") * (F.col("n_" + c) - F.col(c))).alias(c) for c in cols])

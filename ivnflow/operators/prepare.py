@@ -160,27 +160,46 @@ def augment_counts(df: DataFrame, ratio: float = 1.0, target: str = "balance",
         .withColumn("n_attack_after", F.col("n_attack") + F.col("n_needed"))
 
 
+def replicate(df: DataFrame, copies: int, copy_col: str = "copy_no", chunk: int = 1024) -> DataFrame:
+    """Rows repeated ``copies`` times with ``copy_col`` = 1..copies.
+
+    Large factors are generated in two steps (chunk ids first, spread by a
+    shuffle, then the copies of each chunk), so one input row never makes
+    millions of rows inside a single task.
+    """
+    if copies <= 0:
+        return df.withColumn(copy_col, F.lit(1)).limit(0)
+    if copies <= chunk:
+        return df.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    n_chunks = (copies + chunk - 1) // chunk
+    c = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))) \
+        .repartition("_chunk")
+    lo = F.col("_chunk") * chunk + 1
+    return c.withColumn(copy_col, F.explode(F.sequence(lo, F.least(lo + chunk - 1, F.lit(copies))))) \
+        .drop("_chunk")
+
+
 def oversample_minority(df: DataFrame, id_col: str = "pkt_no", label_col: str = "label",
                         copy_col: str = "copy_no") -> DataFrame:
     """Replicate the minority class (in hash order) up to the majority count.
 
-    Copies are generated with ``explode(sequence(1, k))`` per row, then the
-    first ``needed`` copies are kept with an exact rank cut; originals keep
-    ``copy_no = 0``.
+    With ``need = n_max - n_min`` and ``c = ceil(need / n_min)`` copies,
+    copies 1..c-1 are kept whole and only copy c is cut, so the exact rank
+    cut runs over the minority rows alone; originals keep ``copy_no = 0``.
     """
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
     mm = counts.agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"),
-                    F.min_by(label_col, F.struct("n", label_col)).alias("_minority"))
-    mm = mm.withColumn("_need", F.col("n_max") - F.col("n_min")) \
-        .withColumn("_copies", F.when(F.col("n_min") > 0,
-                                      F.ceil(F.col("_need") / F.col("n_min"))).otherwise(0))
+                    F.min_by(label_col, F.struct("n", label_col)).alias("_minority")).first()
     base = df.withColumn(copy_col, F.lit(0))
-    minority = df.crossJoin(F.broadcast(mm)).where(F.col(label_col) == F.col("_minority"))
-    rep = minority.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.greatest(
-        F.col("_copies"), F.lit(1)).cast("int")))).where(F.col("_copies") > 0)
-    rep = rep.withColumn(HK, hash_key(id_col))
-    k = mm.select(F.col("_need").alias("k"))
-    bucket = F.col(copy_col) * 4096 + F.conv(F.substr(F.col(HK), F.lit(1), F.lit(3)), 16, 10).cast("long")
-    cut = mark_first_k(rep, [], [copy_col, HK, id_col], bucket, k, "_in")
-    extra = cut.where("_in").select(*df.columns, copy_col)
-    return base.unionByName(extra)
+    need = int(mm["n_max"] - mm["n_min"]) if mm["n_min"] else 0
+    if need <= 0:
+        return base
+    copies = -(-need // int(mm["n_min"]))
+    minority = df.where(F.col(label_col) == mm["_minority"])
+    whole = replicate(minority, copies - 1, copy_col)
+    last_k = need - int(mm["n_min"]) * (copies - 1)
+    k = df.sparkSession.range(1).select(F.lit(last_k).alias("k"))
+    last = mark_first_k(minority.withColumn(HK, hash_key(id_col)), [], [HK, id_col],
+                        md5_bucket(HK, 4), k, "_in") \
+        .where("_in").drop("_in", HK).withColumn(copy_col, F.lit(copies))
+    return base.unionByName(whole).unionByName(last)

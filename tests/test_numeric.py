@@ -155,3 +155,12 @@ def test_scoring_engines_agree(spark):
     for r in a:
         assert abs(r.likelihood - b[r.pkt_no].likelihood) < 1e-9
         assert abs(r.entropy - b[r.pkt_no].entropy) < 1e-9
+
+
+def test_replicate_large_factor(spark):
+    from ivnflow.operators.prepare import replicate
+    df = spark.createDataFrame([(1,), (2,)], "id long")
+    r = replicate(df, 3000, chunk=256)
+    assert r.count() == 6000
+    g = r.groupBy("id").agg(F.min("copy_no"), F.max("copy_no"), F.countDistinct("copy_no")).collect()
+    assert sorted(tuple(x) for x in g) == [(1, 1, 3000, 3000), (2, 1, 3000, 3000)]
