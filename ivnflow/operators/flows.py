@@ -28,14 +28,25 @@ HOT_FLOW_ROWS = 5_000_000
 
 def previous_rows(df: DataFrame, cols: list[str], flow_cols: list[str] = FLOW_KEY,
                   ts: str = "ts_s", tie: str = "pkt_no", mode: str = "auto",
-                  chunk_seconds: float = 60.0, hot_rows: int = HOT_FLOW_ROWS,
+                  chunk_seconds: float | None = None, hot_rows: int = HOT_FLOW_ROWS,
                   prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` for each of ``cols``: the value on the previous
-    packet of the same flow (null on a flow's first packet)."""
-    if mode == "auto":
-        biggest = (df.groupBy(*flow_cols).agg(F.count(F.lit(1)).alias("n"))
-                   .agg(F.max("n")).first()[0] or 0)
-        mode = "chunked" if biggest > hot_rows else "plain"
+    packet of the same flow (null on a flow's first packet).
+
+    ``auto`` measures the largest flow (count and time span, one aggregate)
+    and picks ``chunked`` above ``hot_rows``; unless given, the chunk width
+    is sized so that flow holds about ``hot_rows`` rows per chunk. Any
+    width gives the same result; it only balances the tasks.
+    """
+    if mode == "auto" or (mode == "chunked" and chunk_seconds is None):
+        big = (df.groupBy(*flow_cols).agg(F.count(F.lit(1)).alias("n"),
+                                          (F.max(ts) - F.min(ts)).alias("span"))
+               .agg(F.max_by(F.struct("n", "span"), "n").alias("b")).first()["b"])
+        n, span = (big["n"], big["span"] or 0.0) if big else (0, 0.0)
+        if mode == "auto":
+            mode = "chunked" if n > hot_rows else "plain"
+        if chunk_seconds is None:
+            chunk_seconds = max(span * hot_rows / max(n, 1), 1e-3) if span > 0 else 60.0
     prev = F.struct(*[F.col(c) for c in cols])
     if mode == "plain":
         w = Window.partitionBy(*flow_cols).orderBy(ts, tie)
@@ -74,7 +85,7 @@ def binary_label(label_col: str = "label_str"):
 def flow_features(pk: DataFrame, model_vec: DataFrame, flow_cols: list[str] = FLOW_KEY,
                   ts: str = "ts_s", tie: str = "pkt_no", hex_col: str = "payload_hex",
                   label_col: str = "label_str", id_cols: list[str] | None = None,
-                  mode: str = "auto", chunk_seconds: float = 60.0,
+                  mode: str = "auto", chunk_seconds: float | None = None,
                   tcpudp_vec: DataFrame | None = None) -> DataFrame:
     """The nine features per packet plus id columns, ``label_str`` and ``label``.
 
@@ -110,7 +121,7 @@ def layered_features(pk: DataFrame, someip_vec: DataFrame, sd_vec: DataFrame,
                      ts: str = "ts_s", tie: str = "pkt_no", hex_col: str = "payload_hex",
                      tcpudp_hex_col: str | None = None, sd_col: str = "is_sd",
                      label_col: str = "label_str", mode: str = "auto",
-                     chunk_seconds: float = 60.0) -> DataFrame:
+                     chunk_seconds: float | None = None) -> DataFrame:
     """Twelve features with separate byte models per layer.
 
     SOME/IP and SOME/IP-SD packets are scored only by their own layer's

@@ -73,8 +73,7 @@ def period_check(df: DataFrame, key: str = "service", ts: str = "ts_s", tie: str
     single task. ``time_scale`` maps data seconds to simulated seconds.
     """
     spark = df.sparkSession
-    p = previous_rows(df.select(key, ts, tie), [ts], [key], ts, tie, mode="auto",
-                      chunk_seconds=86400.0)
+    p = previous_rows(df.select(key, ts, tie), [ts], [key], ts, tie, mode="auto")
     gaps = p.where(F.col("prev_" + ts).isNotNull()).select(key, (F.col(ts) - F.col("prev_" + ts)).alias("gap"))
     nominal = spark.createDataFrame([(n, int(ms)) for n, _, _, _, ms, _ in SERVICES],
                                     "service string, nominal_ms int")

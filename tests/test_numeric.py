@@ -164,3 +164,12 @@ def test_replicate_large_factor(spark):
     assert r.count() == 6000
     g = r.groupBy("id").agg(F.min("copy_no"), F.max("copy_no"), F.countDistinct("copy_no")).collect()
     assert sorted(tuple(x) for x in g) == [(1, 1, 3000, 3000), (2, 1, 3000, 3000)]
+
+
+def test_hot_flow_adaptive_chunks(spark):
+    pk = packets(spark, SF001)
+    cols = ["ts_s", "payload_hex"]
+    a = previous_rows(pk, cols, mode="plain").select("pkt_no", *[f"prev_{c}" for c in cols])
+    # a tiny hot threshold forces the chunked plan with widths sized from the data
+    b = previous_rows(pk, cols, mode="auto", hot_rows=5).select("pkt_no", *[f"prev_{c}" for c in cols])
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
