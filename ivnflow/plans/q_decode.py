@@ -123,6 +123,12 @@ def q_float32_decode(spark, sf):
 
 # ---- S3, S4: CSV and parquet scans with explicit schemas --------------------------------------------
 
+def _tag(sf: str) -> str:
+    """Stable scratch-table name per input folder (reruns overwrite it)."""
+    import hashlib
+    return hashlib.md5(sf.encode()).hexdigest()[:12]
+
+
 PK_COLS = ["pkt_no", "ts_s", "src_ip", "dst_ip", "src_port", "dst_port", "transport", "ip_len",
            "transport_len", "payload_hex", "is_sd", "label_str", "pcap_file"]
 
@@ -133,7 +139,7 @@ def q_packet_scan(spark, sf):
     """Packets written as CSV (header, fixed column order), read back with an
     explicit schema and a column subset."""
     pk = packets(spark, sf)
-    path = scratch_path(spark, f"packets_csv_{abs(hash(sf))}")
+    path = scratch_path(spark, f"packets_csv_{_tag(sf)}")
     pk.write.mode("overwrite").option("header", True).csv(path)
     schema = pk.schema
     return spark.read.schema(schema).option("header", True).csv(path) \
@@ -147,12 +153,52 @@ def q_feature_scan(spark, sf):
     """Feature table written as parquet (overwrite) and scanned back with a
     column subset (pruned at the scan)."""
     from .q_features import features
-    path = scratch_path(spark, f"features_{abs(hash(sf))}")
+    path = scratch_path(spark, f"features_{_tag(sf)}")
     features(spark, sf).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).select("pkt_no", "label")
 
 
-@register("q_layered_features")
+def _layered_sql() -> str:
+    from .q_features import duck_bytes, duck_hamming, duck_ll, duck_model
+    w = "PARTITION BY src_ip, dst_ip, src_port, dst_port, transport"
+    o = "ORDER BY ts_s, pkt_no"
+    nb = "(length(payload_hex) // 2)"
+
+    def ent(ll):
+        return f"coalesce(-{ll} / {nb}, 0.0e0)"
+    feats = [
+        ("f_someip_likelihood", "CASE WHEN NOT is_sd THEN coalesce(l1.ll, 0.0e0) ELSE 0.0e0 END"),
+        ("f_someip_entropy", f"CASE WHEN NOT is_sd THEN {ent('l1.ll')} ELSE 0.0e0 END"),
+        ("f_sd_likelihood", "CASE WHEN is_sd THEN coalesce(l2.ll, 0.0e0) ELSE 0.0e0 END"),
+        ("f_tcpudp_likelihood", "coalesce(l3.ll, 0.0e0)"),
+        ("f_sd_entropy", f"CASE WHEN is_sd THEN {ent('l2.ll')} ELSE 0.0e0 END"),
+        ("f_tcpudp_entropy", ent("l3.ll")),
+        ("f_someip_payload_changes", f"CASE WHEN NOT is_sd AND lp IS NOT NULL AND payload_hex IS NOT NULL "
+                                     f"THEN {duck_hamming('lp', 'payload_hex')} ELSE 0.0e0 END"),
+        ("f_sd_payload_changes", f"CASE WHEN is_sd AND lp IS NOT NULL AND payload_hex IS NOT NULL "
+                                 f"THEN {duck_hamming('lp', 'payload_hex')} ELSE 0.0e0 END"),
+        ("f_tcpudp_payload_changes", f"CASE WHEN pp IS NOT NULL AND payload_hex IS NOT NULL "
+                                     f"THEN {duck_hamming('pp', 'payload_hex')} ELSE 0.0e0 END"),
+        ("f_ip_time_interval", "coalesce(ts_s - pt, 0.0e0)"),
+        ("f_ip_length_changes", "coalesce(CAST(ip_len AS DOUBLE) - pi, 0.0e0)"),
+        ("f_tcpudp_length_changes", "coalesce(CAST(transport_len AS DOUBLE) - pl, 0.0e0)"),
+    ]
+    sel = ",\n  ".join(f"round({e}, {R}) AS {n}" for n, e in feats)
+    return f"""
+WITH {duck_model('packets', 'NOT is_sd', 'm1')}, {duck_model('packets', 'is_sd', 'm2')},
+{duck_model('packets', 'TRUE', 'm3')}, {duck_bytes('packets')},
+{duck_ll('m1', 'll1')}, {duck_ll('m2', 'll2')}, {duck_ll('m3', 'll3')},
+pv AS (SELECT *, lag(ts_s) OVER ({w} {o}) AS pt, lag(ip_len) OVER ({w} {o}) AS pi,
+  lag(transport_len) OVER ({w} {o}) AS pl, lag(payload_hex) OVER ({w} {o}) AS pp,
+  lag(payload_hex) OVER ({w}, is_sd {o}) AS lp FROM packets)
+SELECT pv.pkt_no, ts_s, src_ip, dst_ip, src_port, dst_port, transport, is_sd,
+  {sel},
+  label_str, CASE WHEN lower(label_str) = 'normal' THEN 0 ELSE 1 END AS label
+FROM pv LEFT JOIN ll1 l1 ON pv.pkt_no = l1.pkt_no LEFT JOIN ll2 l2 ON pv.pkt_no = l2.pkt_no
+  LEFT JOIN ll3 l3 ON pv.pkt_no = l3.pkt_no"""
+
+
+@register("q_layered_features", views=("packets",), sql=_layered_sql())
 def q_layered_features(spark, sf):
     """Twelve features with separate SOME/IP, SD and transport byte models."""
     pk = packets(spark, sf)

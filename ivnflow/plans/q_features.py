@@ -37,38 +37,46 @@ def rounded(df, cols, r=R):
 
 # ---- DuckDB building blocks -------------------------------------------------
 
-def duck_model(view: str) -> str:
+def duck_model(view: str, where: str = "TRUE", p: str = "bm") -> str:
     return f"""
-bm_sample AS (
+{p}_sample AS (
   SELECT payload_hex AS h FROM {view}
-  WHERE lower(label_str) = 'normal' AND payload_hex IS NOT NULL
+  WHERE lower(label_str) = 'normal' AND payload_hex IS NOT NULL AND {where}
   ORDER BY pkt_no LIMIT 50000),
-bm_valid AS (
-  SELECT h FROM bm_sample
+{p}_valid AS (
+  SELECT h FROM {p}_sample
   WHERE length(h) % 2 = 0 AND length(h) >= 2 AND regexp_full_match(h, '[0-9a-fA-F]*')),
-bm_pairs AS (
+{p}_pairs AS (
   SELECT CAST(i AS INTEGER) AS pos, CAST(('0x' || substr(h, 2 * i + 1, 2)) AS INTEGER) AS byte
-  FROM bm_valid, range(0, least(length(h) // 2, 256)) t(i)),
-bm_counts AS (SELECT pos, byte, count(*) AS cnt FROM bm_pairs GROUP BY pos, byte),
-bm_totals AS (SELECT pos, CAST(sum(cnt) AS BIGINT) AS n_pos FROM bm_counts GROUP BY pos)"""
+  FROM {p}_valid, range(0, least(length(h) // 2, 256)) t(i)),
+{p}_counts AS (SELECT pos, byte, count(*) AS cnt FROM {p}_pairs GROUP BY pos, byte),
+{p}_totals AS (SELECT pos, CAST(sum(cnt) AS BIGINT) AS n_pos FROM {p}_counts GROUP BY pos)"""
 
 
-def duck_loglik(view: str) -> str:
+def duck_bytes(view: str) -> str:
     return f"""
 sc_bytes AS (
   SELECT pkt_no, CAST(i AS INTEGER) AS pos,
          CAST(('0x' || substr(payload_hex, 2 * i + 1, 2)) AS INTEGER) AS byte
   FROM {view}, range(0, least(length(payload_hex) // 2, 256)) t(i)
   WHERE payload_hex IS NOT NULL AND length(payload_hex) % 2 = 0 AND length(payload_hex) >= 2
-    AND regexp_full_match(payload_hex, '[0-9a-fA-F]*')),
-sc_ll AS (
+    AND regexp_full_match(payload_hex, '[0-9a-fA-F]*'))"""
+
+
+def duck_ll(p: str = "bm", out: str = "sc_ll") -> str:
+    return f"""
+{out} AS (
   SELECT b.pkt_no, sum(ln((coalesce(c.cnt, 0) + 1.0e0) / (coalesce(t.n_pos, 0) + 256.0e0) + 1e-12)) AS ll
   FROM sc_bytes b
-  LEFT JOIN bm_counts c ON b.pos = c.pos AND b.byte = c.byte
-  LEFT JOIN bm_totals t ON b.pos = t.pos
+  LEFT JOIN {p}_counts c ON b.pos = c.pos AND b.byte = c.byte
+  LEFT JOIN {p}_totals t ON b.pos = t.pos
   GROUP BY b.pkt_no)"""
 
 
+def duck_loglik(view: str) -> str:
+    return duck_bytes(view) + "," + duck_ll()
+
+
 def duck_hamming(a: str, b: str) -> str:
     """Bytewise popcount-of-xor over the shorter length (independent of the
     Spark word-wise form)."""
