@@ -24,6 +24,10 @@ def get_spark(app: str = "ivnflow", master: str | None = None,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # sized for large inputs: 256 MB scan splits and post-shuffle
+        # partitions; AQE coalesces small ones and splits skewed join sides
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
