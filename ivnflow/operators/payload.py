@@ -32,14 +32,23 @@ def benign_sample(df: DataFrame, hex_col: str = "payload_hex",
                   bucket_width: int = 1 << 16) -> DataFrame:
     """First ``sample_size`` benign, non-null payloads in ``order_col`` order.
 
-    ``order_col`` is a non-negative integral file-order key. The cut is exact
-    and found from a histogram of key ranges, so no global sort is needed.
+    ``order_col`` is a non-negative integral file-order key. A histogram of
+    key ranges gives the bound of the bucket holding the cut (one number);
+    the rows are then re-read with ``order_col < bound``, a literal filter
+    that reaches the parquet scan, so only the table's prefix is read again.
+    The cut inside the last bucket is exact (``mark_first_k``).
     """
+    from pyspark.sql import Window
     b = df.where((F.lower(F.col(label_col)) == benign) & F.col(hex_col).isNotNull())
-    spark = df.sparkSession
-    k = spark.range(1).select(F.lit(sample_size).alias("k"))
-    marked = mark_first_k(b.select(order_col, hex_col), [], [order_col],
-                          F.floor(F.col(order_col) / bucket_width), k)
+    bucket = F.floor(F.col(order_col) / bucket_width)
+    hist = b.groupBy(bucket.alias("_bkt")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = hist.withColumn("_cum", F.sum("_n").over(w)).where(F.col("_cum") >= sample_size) \
+        .agg(F.min("_bkt")).first()[0]
+    if cut is not None:
+        b = b.where(F.col(order_col) < F.lit(int(cut + 1) * bucket_width))
+    k = df.sparkSession.range(1).select(F.lit(sample_size).alias("k"))
+    marked = mark_first_k(b.select(order_col, hex_col), [], [order_col], bucket, k)
     return marked.where("_in").drop("_in")
 
 
