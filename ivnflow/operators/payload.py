@@ -7,8 +7,10 @@ Scores: log-likelihood ``sum ln(P_i(x_i) + 1e-12)`` over the first
 
 The fitted model is a one-row table holding a flat ``array<double>`` of
 log-probabilities (``pos * 256 + byte``); its size is bounded by
-``max_positions * 256`` whatever the data size, so it is broadcast and the
-scores are computed per row with array lookups (no explode, no shuffle).
+``max_positions * 256`` whatever the data size. Scoring never explodes or
+shuffles: the default engine gathers the model with numpy over whole Arrow
+batches (model shipped as a broadcast variable); the ``sql`` engine keeps
+it in Catalyst as a broadcast one-row join with per-row array lookups.
 """
 
 from __future__ import annotations
