@@ -25,11 +25,18 @@ from ..session import scratch_path
 
 PREV_SCHEMA = ("pkt_no long, ts_s double, ip_len int, transport_len int, payload_hex string, "
                "label_str string, prev_ts_s double, prev_ip_len int, prev_transport_len int, "
-               "prev_payload_hex string")
+               "prev_payload_hex string, late boolean")
 STATE_SCHEMA = "ts_s double, ip_len int, transport_len int, payload_hex string, has_prev boolean"
 
 
 def _carry_previous(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Previous values per flow across micro-batches.
+
+    Late rows (older than the flow's state, i.e. from an earlier point in
+    event time but a later batch) are kept and flagged ``late`` for a side
+    output; they take their predecessor in arrival order, as a sequential
+    reader would, and never move the state backwards.
+    """
     pdf = pd.concat(list(pdfs), ignore_index=True)
     pdf = pdf.sort_values(["ts_s", "pkt_no"], kind="mergesort").reset_index(drop=True)
     if state.exists:
@@ -54,20 +61,25 @@ def _carry_previous(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
         "prev_payload_hex": pd.concat([pd.Series([first[3]], dtype="object"),
                                        pdf["payload_hex"].iloc[:-1].astype("object")],
                                       ignore_index=True),
+        "late": (pdf["ts_s"] < first[0]) if first[0] is not None else False,
     })
     last = pdf.iloc[-1]
-    pl = last["payload_hex"]
-    state.update((float(last["ts_s"]), int(last["ip_len"]), int(last["transport_len"]),
-                  None if pd.isna(pl) else str(pl), True))
+    if first[0] is None or float(last["ts_s"]) >= first[0]:
+        pl = last["payload_hex"]
+        state.update((float(last["ts_s"]), int(last["ip_len"]), int(last["transport_len"]),
+                      None if pd.isna(pl) else str(pl), True))
     yield out
 
 
 def stateful_previous(stream: DataFrame, flow_cols: list[str] = FLOW_KEY) -> DataFrame:
-    """Per-flow previous values carried across micro-batches."""
+    """Per-flow previous values carried across micro-batches.
+
+    State is one small row per five-tuple, so it is bounded by the number
+    of distinct flows, not by the stream length.
+    """
     cols = flow_cols + ["pkt_no", "ts_s", "ip_len", "transport_len", "payload_hex", "label_str"]
-    prev = stream.select(*cols).groupBy(*flow_cols).applyInPandasWithState(
+    return stream.select(*cols).groupBy(*flow_cols).applyInPandasWithState(
         _carry_previous, PREV_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    return prev
 
 
 def stream_source(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:

@@ -103,3 +103,24 @@ def test_early_stopping_learning_curve_grid(spark):
     assert [r.fraction for r in lc] == [0.3, 0.6, 1.0] and lc[0].n_train <= lc[-1].n_train
     cv = md.grid_search(v, VECTOR_COLS, "y_true", folds=2, grid={"maxDepth": [2, 3], "maxIter": [3]})
     assert len(cv.avgMetrics) == 2
+
+
+def test_stream_late_rows(spark, tmp_path):
+    import time as _t
+    d = tmp_path / "pk"
+    d.mkdir()
+    cols = "src_ip string, dst_ip string, src_port int, dst_port int, transport string, pkt_no long, " \
+           "ts_s double, ip_len int, transport_len int, payload_hex string, label_str string"
+    flow = ("a", "b", 30501, 30490, "UDP")
+    first = [flow + (i, 10.0 + i, 60, 40, "ab", "normal") for i in range(3)]
+    late = [flow + (10 + i, 5.0 + i, 60, 40, "cd", "normal") for i in range(2)]
+    spark.createDataFrame(first, cols).coalesce(1).write.parquet(str(d / "b1"))
+    _t.sleep(1.1)
+    spark.createDataFrame(late, cols).coalesce(1).write.parquet(str(d / "b2"))
+    schema = spark.createDataFrame(first, cols).schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True) \
+        .parquet(str(d))
+    out = fs.run_to_table(fs.stateful_previous(src), "late", "append")
+    rows = {r.pkt_no: r for r in spark.read.parquet(out).collect()}
+    assert not any(rows[i].late for i in range(3))
+    assert rows[10].late and rows[11].late and rows[10].prev_ts_s == 12.0
