@@ -149,7 +149,16 @@ def stream_packets(spark, sf):
     return project(fs.stream_source(spark, sf, "events"), "packets")
 
 
-@register("q_live_metrics")
+LIVE_SQL = f"""
+WITH {SVC_PK},
+r AS (SELECT service, CAST(floor(ts_s / {SCALE_S}) * {SCALE_S} AS BIGINT) AS window_start, count(*) AS n
+      FROM sp GROUP BY 1, 2),
+m AS (SELECT max(CAST(round(ts_s * 1000000) AS BIGINT)) AS mx FROM sp)
+SELECT service, window_start, n FROM r, m
+WHERE (window_start + {SCALE_S}) * CAST(1000000 AS BIGINT) <= mx - {2 * SCALE_S * 1_000_000}"""
+
+
+@register("q_live_metrics", views=("packets",), sql=LIVE_SQL)
 def q_live_metrics(spark, sf):
     """Per-service rate per window as a watermarked streaming aggregation."""
     s = tm.with_service(stream_packets(spark, sf)).withColumn("ts", tm.event_time())
@@ -174,7 +183,24 @@ def stream_features(spark, sf):
                     binary_label().alias("label"))
 
 
-@register("q_stream_flow_features")
+STREAM_FEATURES_SQL = """
+WITH pv AS (
+  SELECT *, lag(ts_s) OVER w AS p_ts, lag(ip_len) OVER w AS p_ip,
+         lag(transport_len) OVER w AS p_tl, lag(payload_hex) OVER w AS p_pl
+  FROM packets WINDOW w AS (PARTITION BY src_ip, dst_ip, src_port, dst_port, transport ORDER BY ts_s, pkt_no))
+SELECT pkt_no, coalesce(ts_s - p_ts, 0.0e0) AS f01_ip_time_interval,
+  CASE WHEN p_pl IS NULL OR payload_hex IS NULL THEN 0.0e0 ELSE {ham} END AS f06_someip_payload_changes,
+  coalesce(CAST(ip_len AS DOUBLE) - p_ip, 0.0e0) AS f08_ip_length_changes,
+  coalesce(CAST(transport_len AS DOUBLE) - p_tl, 0.0e0) AS f09_tcpudp_length_changes,
+  CASE WHEN lower(label_str) = 'normal' THEN 0 ELSE 1 END AS label FROM pv"""
+
+
+def _stream_features_sql() -> str:
+    from .q_features import duck_hamming
+    return STREAM_FEATURES_SQL.replace("{ham}", duck_hamming("p_pl", "payload_hex"))
+
+
+@register("q_stream_flow_features", views=("packets",), sql=_stream_features_sql())
 def q_stream_flow_features(spark, sf):
     return stream_features(spark, sf)
 
