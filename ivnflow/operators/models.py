@@ -86,7 +86,8 @@ def score(model, df: DataFrame, id_col: str, label: str = "label", out: str = "y
 
 
 def feature_importance(model, cols: list[str]) -> DataFrame:
-    spark = __import__("pyspark").sql.SparkSession.getActiveSession()
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
     imp = model.featureImportances.toArray().tolist()
     return spark.createDataFrame([(c, float(v)) for c, v in zip(cols, imp)],
                                  "feature string, importance double").orderBy(F.desc("importance"))

@@ -8,7 +8,7 @@ from ..functions.bytes import float32_at
 from ..functions.someip import msg_type_name, payload_prefix_hex, someip_header, someip_payload_len
 from ..operators.flows import layered_features
 from ..operators.payload import benign_sample, fit_byte_model, model_vector
-from ..schemas import FEATURE_COLS, LAYERED_FEATURE_COLS, MSG_TYPE_NAMES
+from ..schemas import LAYERED_FEATURE_COLS, MSG_TYPE_NAMES
 from ..session import scratch_path
 from ..sources.fixtures import packets, table
 from .catalog import register

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.bytes import hamming_hex, hex_len_bytes, hex_to_bytes, hex_valid, bytes_to_hex
+from ..functions.bytes import bytes_to_hex, hamming_hex, hex_to_bytes, hex_valid
 from ..functions.someip import payload_prefix_hex, someip_payload_len
-from ..operators.flows import flow_features, layered_features
+from ..operators.flows import flow_features
 from ..operators.payload import (benign_sample, fit_byte_model, model_vector,
                                  score_payloads)
 from ..schemas import FEATURE_COLS

@@ -5,7 +5,6 @@ import math
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from ivnflow.operators.profile import exact_quantiles
 from ivnflow.operators.sampling import ordered_bucket

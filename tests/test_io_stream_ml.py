@@ -5,7 +5,6 @@ import os
 import struct
 
 from pyspark.ml.classification import DecisionTreeClassifier, DecisionTreeClassificationModel
-from pyspark.sql import functions as F
 
 from ivnflow import sinks
 from ivnflow.functions.someip import decode_service_payload

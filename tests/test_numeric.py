@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ivnflow.functions.bytes import float32_at, hamming_hex
 from ivnflow.operators import evaluate as ev
-from ivnflow.operators.flows import flow_features, previous_rows
+from ivnflow.operators.flows import previous_rows
 from ivnflow.operators.payload import fit_byte_model, model_vector, score_payloads
 from ivnflow.operators.prepare import stratified_split
 from ivnflow.sources.fixtures import packets
