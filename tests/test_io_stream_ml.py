@@ -123,3 +123,17 @@ def test_stream_late_rows(spark, tmp_path):
     rows = {r.pkt_no: r for r in spark.read.parquet(out).collect()}
     assert not any(rows[i].late for i in range(3))
     assert rows[10].late and rows[11].late and rows[10].prev_ts_s == 12.0
+
+
+def test_train_and_evaluate(spark, tmp_path):
+    from ivnflow.plans.flagship import flagship
+    from ivnflow.plans.training import train_and_evaluate
+    feats = flagship(spark, SF001, materialize=True)
+    out = train_and_evaluate(spark, feats, str(tmp_path / "run"), gbt_overrides={"maxIter": 20})
+    assert 0.0 < out["threshold"] < 1.0
+    assert set(out["scenarios"]) == {"imbalanced", "balanced"}
+    for m in out["scenarios"].values():
+        assert all(0.0 <= m[k] <= 1.0 for k in ("precision", "recall", "f1", "pr_auc", "roc_auc"))
+    doc = [json.loads(line) for f in os.listdir(tmp_path / "run" / "metrics") if f.endswith(".json")
+           for line in open(tmp_path / "run" / "metrics" / f)]
+    assert doc[0]["threshold"] == out["threshold"] and "balanced" in doc[0]["scenarios"]
