@@ -30,6 +30,8 @@ def get_spark(app: str = "ivnflow", master: str | None = None,
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoint files are removed once their DataFrames are unreachable
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
