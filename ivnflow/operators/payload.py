@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import hex_byte_at, hex_len_bytes, hex_valid
@@ -40,15 +40,16 @@ def benign_sample(df: DataFrame, hex_col: str = "payload_hex",
     that reaches the parquet scan, so only the table's prefix is read again.
     The cut inside the last bucket is exact (``mark_first_k``).
     """
-    from pyspark.sql import Window
     b = df.where((F.lower(F.col(label_col)) == benign) & F.col(hex_col).isNotNull())
     bucket = F.floor(F.col(order_col) / bucket_width)
     hist = b.groupBy(bucket.alias("_bkt")).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = hist.withColumn("_cum", F.sum("_n").over(w)).where(F.col("_cum") >= sample_size) \
         .agg(F.min("_bkt")).first()[0]
-    if cut is not None:
-        b = b.where(F.col(order_col) < F.lit(int(cut + 1) * bucket_width))
+    if cut is None:
+        # fewer benign payloads than the sample size: all of them
+        return b.select(order_col, hex_col)
+    b = b.where(F.col(order_col) < F.lit(int(cut + 1) * bucket_width))
     k = df.sparkSession.range(1).select(F.lit(sample_size).alias("k"))
     marked = mark_first_k(b.select(order_col, hex_col), [], [order_col], bucket, k)
     return marked.where("_in").drop("_in")
@@ -69,11 +70,11 @@ def fit_byte_model(sample: DataFrame, hex_col: str = "payload_hex",
         F.transform(F.sequence(F.lit(0), n - 1), lambda i: hex_byte_at(h, i))
     ).alias("pos", "byte"))
     counts = pairs.groupBy(*g, "pos", "byte").agg(F.count(F.lit(1)).alias("cnt"))
-    totals = counts.groupBy(*g, "pos").agg(F.sum("cnt").alias("n_pos"))
+    # per-position totals over the (at most positions x 256 rows) count table
+    counts = counts.withColumn("n_pos", F.sum("cnt").over(Window.partitionBy(*g, "pos")))
     prob = (F.col("cnt") + F.lit(alpha)) / (F.col("n_pos") + F.lit(256.0 * alpha))
-    return (counts.join(totals, g + ["pos"])
-            .select(*g, "pos", "byte", "cnt", "n_pos", prob.alias("prob"),
-                    F.ln(prob + F.lit(LOG_EPS)).alias("logp")))
+    return counts.select(*g, "pos", "byte", "cnt", "n_pos", prob.alias("prob"),
+                         F.ln(prob + F.lit(LOG_EPS)).alias("logp"))
 
 
 def model_vector(model: DataFrame, alpha: float = 1.0,

@@ -173,3 +173,15 @@ def test_hot_flow_adaptive_chunks(spark):
     # a tiny hot threshold forces the chunked plan with widths sized from the data
     b = previous_rows(pk, cols, mode="auto", hot_rows=5).select("pkt_no", *[f"prev_{c}" for c in cols])
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_benign_sample_cut(spark):
+    from ivnflow.operators.payload import benign_sample
+    pk = packets(spark, SF001)
+    ben = pk.where((F.lower("label_str") == "normal") & F.col("payload_hex").isNotNull())
+    for n in (1, 37, 100):
+        got = sorted(r.pkt_no for r in benign_sample(pk, sample_size=n, bucket_width=16).collect())
+        want = [r.pkt_no for r in ben.orderBy("pkt_no").limit(n).collect()]
+        assert got == want
+    allrows = benign_sample(pk, sample_size=10 ** 6).count()
+    assert allrows == ben.count()
