@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ivnflow.functions.bytes import float32_at, hamming_hex
 from ivnflow.operators import evaluate as ev
-from ivnflow.operators.flows import previous_rows
+from ivnflow.operators.flows import flow_features, previous_rows
 from ivnflow.operators.payload import fit_byte_model, model_vector, score_payloads
 from ivnflow.operators.prepare import stratified_split
 from ivnflow.sources.fixtures import packets
@@ -185,3 +185,21 @@ def test_benign_sample_cut(spark):
         assert got == want
     allrows = benign_sample(pk, sample_size=10 ** 6).count()
     assert allrows == ben.count()
+
+
+def test_feature_plan_has_one_shuffle(spark):
+    from ivnflow.operators.payload import benign_sample
+    from ivnflow.session import cut_lineage
+    pk = packets(spark, SF001)
+    vec = cut_lineage(model_vector(fit_byte_model(benign_sample(pk))))
+    f = flow_features(pk, vec, mode="plain")
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        f.explain()
+    plan = buf.getvalue()
+    exchanges = [ln for ln in plan.splitlines() if "Exchange" in ln and "hashpartitioning" in ln
+                 or "Exchange rangepartitioning" in ln or "Exchange SinglePartition" in ln]
+    assert len(exchanges) == 1 and "hashpartitioning(src_ip" in exchanges[0]
+    assert "NestedLoopJoin" not in plan
