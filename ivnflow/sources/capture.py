@@ -92,9 +92,14 @@ def capture_paths(spark: SparkSession, directory: str, names: list[str] | None =
 
 
 def read_frames(paths: DataFrame) -> DataFrame:
-    """Frames of every capture, one task per file."""
+    """Frames of every capture, one task per file.
+
+    Files are range-partitioned on their number (hashing paths could put
+    two captures into one task).
+    """
     n = max(paths.count(), 1)
-    return paths.select("path").repartition(n, "path").mapInArrow(_frame_batches, FRAME_SCHEMA)
+    key = "file_no" if "file_no" in paths.columns else "path"
+    return paths.repartitionByRange(n, key).select("path").mapInArrow(_frame_batches, FRAME_SCHEMA)
 
 
 def _u8(b: Column, off: Column) -> Column:
