@@ -153,6 +153,8 @@ def score_payloads(df: DataFrame, vec: DataFrame, hex_col: str = "payload_hex",
     h = F.col(hex_col)
     ok = scoreable(h)
     if engine == "arrow":
+        from ..session import ship_package
+        ship_package(df.sparkSession)
         m = vec.first()
         ll = _arrow_loglik(df.sparkSession, list(m["logp"]), int(m["npos"]), max_positions)(h)
         return df.select("*", F.when(ok, ll).otherwise(F.lit(0.0)).alias(lik_col)) \

@@ -39,6 +39,7 @@ def get_spark(app: str = "ivnflow", master: str | None = None,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -72,3 +73,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "tables", name)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (``addPyFile``).
+
+    Code that runs in tasks (capture framing, streaming flow state) is
+    imported there by module name; on a cluster the workers only see what
+    the application ships, as with ``--py-files``. The package is zipped
+    once per process and registered once per SparkContext.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="ivnflow-pkg-"), "ivnflow")
+    archive = shutil.make_archive(out, "zip", root_dir=os.path.dirname(pkg), base_dir="ivnflow")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)

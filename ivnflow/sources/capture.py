@@ -97,6 +97,8 @@ def read_frames(paths: DataFrame) -> DataFrame:
     Files are range-partitioned on their number (hashing paths could put
     two captures into one task).
     """
+    from ..session import ship_package
+    ship_package(paths.sparkSession)
     n = max(paths.count(), 1)
     key = "file_no" if "file_no" in paths.columns else "path"
     return paths.repartitionByRange(n, key).select("path").mapInArrow(_frame_batches, FRAME_SCHEMA)
@@ -173,8 +175,21 @@ def decode_frames(frames: DataFrame, labels: DataFrame | None = None) -> DataFra
     return out.withColumn("order_key", F.shiftleft(fno, 40) + F.col("pkt_no")).drop("file_no")
 
 
-def read_packets(spark: SparkSession, directory: str) -> DataFrame:
-    return decode_frames(read_frames(capture_paths(spark, directory)))
+def read_packets(spark: SparkSession, directory: str, spread: int | None = None) -> DataFrame:
+    """Packet table of the captures in ``directory``.
+
+    Framing is one task per file; when there are fewer files than task
+    slots the frames are spread round-robin (``spread`` partitions) so the
+    column decode runs in parallel instead of inside each file's task.
+    """
+    paths = capture_paths(spark, directory)
+    frames = read_frames(paths)
+    slots = spark.sparkContext.defaultParallelism
+    if spread is None and paths.count() < slots:
+        spread = slots * 2
+    if spread:
+        frames = frames.repartition(spread)
+    return decode_frames(frames)
 
 
 def capture_counts(frames: DataFrame, packets: DataFrame) -> DataFrame:

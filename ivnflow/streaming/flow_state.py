@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schemas import FLOW_KEY
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 PREV_SCHEMA = ("pkt_no long, ts_s double, ip_len int, transport_len int, payload_hex string, "
                "label_str string, prev_ts_s double, prev_ip_len int, prev_transport_len int, "
@@ -76,6 +76,7 @@ def stateful_previous(stream: DataFrame, flow_cols: list[str] = FLOW_KEY) -> Dat
     State is one small row per five-tuple, so it is bounded by the number
     of distinct flows, not by the stream length.
     """
+    ship_package(stream.sparkSession)
     cols = flow_cols + ["pkt_no", "ts_s", "ip_len", "transport_len", "payload_hex", "label_str"]
     return stream.select(*cols).groupBy(*flow_cols).applyInPandasWithState(
         _carry_previous, PREV_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
