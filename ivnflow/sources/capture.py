@@ -3,8 +3,8 @@
 Only record framing runs in Python: one task per capture file streams its
 records through ``mapInArrow`` in bounded batches (a capture is never held
 in memory whole). Every protocol layer is then decoded with Catalyst
-expressions over the binary frame, and the packet table is re-spread by
-the later shuffle on flow.
+expressions over the binary frame; with fewer files than task slots the
+frames are spread round-robin first so the decode runs in parallel.
 """
 
 from __future__ import annotations
