@@ -34,13 +34,27 @@ MAGICS = {
 }
 
 
+def _open(path: str):
+    """Local paths with ``open``; other URIs (hdfs://, s3://, ...) through
+    pyarrow's filesystem layer, as seen from the worker."""
+    if path.startswith("file:"):
+        path = path[len("file:"):]
+        while path.startswith("//"):
+            path = path[1:]
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs as pafs
+    filesystem, inner = pafs.FileSystem.from_uri(path)
+    return filesystem.open_input_stream(inner)
+
+
 def _frames_of(path: str) -> Iterator[tuple]:
     """Yield (pkt_no, ts, frame, orig_len, error) records of one capture.
 
     A truncated last record ends the file with one error row; the records
     before it are kept.
     """
-    with open(path, "rb") as f:
+    with _open(path) as f:
         head = f.read(24)
         if len(head) < 24 or head[:4] not in MAGICS:
             if head:
@@ -83,12 +97,18 @@ def _frame_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def capture_paths(spark: SparkSession, directory: str, names: list[str] | None = None) -> DataFrame:
-    """The expected capture files that exist in ``directory`` (missing ones
-    are skipped), one row each, in file order."""
+    """The expected capture files found in ``directory`` (missing ones are
+    skipped), one row each with its number in file order.
+
+    Files are listed by Spark's ``binaryFile`` source with only ``path``
+    selected (contents are not read), so any filesystem the cluster can
+    read works; the expected names are a small fixed dimension.
+    """
     names = names or [n for n, _ in PCAP_LABELS]
-    rows = [(os.path.join(directory, n), i) for i, n in enumerate(names)
-            if os.path.exists(os.path.join(directory, n))]
-    return spark.createDataFrame(rows, "path string, file_no int")
+    dim = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, file_no int")
+    listed = spark.read.format("binaryFile").load(directory).select("path") \
+        .withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+    return listed.join(F.broadcast(dim), "name").select("path", "file_no")
 
 
 def read_frames(paths: DataFrame) -> DataFrame:
