@@ -117,3 +117,21 @@ def append_batch(batch: DataFrame, batch_id: int, out: str) -> None:
 def complete_batch(batch: DataFrame, batch_id: int, out: str) -> None:
     """Complete-mode sink: the latest full result replaces the table."""
     batch.write.mode("overwrite").parquet(out)
+
+
+def ingest_capture_stream(spark: SparkSession, directory: str, name: str = "captures",
+                          glob: str = "*.pcap") -> str:
+    """Rotated captures arriving in ``directory`` -> packet table.
+
+    Each micro-batch frames and decodes its new files and writes them
+    under its own batch folder (overwrite), so a replayed batch after a
+    failure rewrites the same rows instead of duplicating them. Returns the
+    table path.
+    """
+    from ..sources.capture import decode_frames, read_frames, stream_captures
+
+    def ingest(batch: DataFrame, batch_id: int, out: str) -> None:
+        pk = decode_frames(read_frames(batch.select("path")))
+        pk.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    return run_to_table(stream_captures(spark, directory, glob), name, "append", foreach_batch=ingest)

@@ -77,17 +77,12 @@ def test_log_stream(spark, tmp_path):
 
 def test_capture_stream(spark, tmp_path):
     from test_capture import frame, someip, udp, write_pcap
-    from ivnflow.sources.capture import decode_frames, read_frames, stream_captures
     d = tmp_path / "rot"
     d.mkdir()
     write_pcap(d / "benign_traffic.pcap", [frame(udp(30501, 30490, someip(0x1234, 0x8001, 2)))] * 3)
     write_pcap(d / "dos_noti_flood.pcap", [frame(udp(30501, 30490, someip(0x1234, 0x8001, 2)))] * 2)
 
-    def ingest(batch, batch_id, out):
-        pk = decode_frames(read_frames(batch.select("path")))
-        pk.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-
-    out = fs.run_to_table(stream_captures(spark, str(d)), "captures", "append", foreach_batch=ingest)
+    out = fs.ingest_capture_stream(spark, str(d))
     got = spark.read.parquet(out).groupBy("pcap_file").count().collect()
     assert {r.pcap_file: r["count"] for r in got} == {"benign_traffic.pcap": 3, "dos_noti_flood.pcap": 2}
 
