@@ -21,3 +21,11 @@ def parse_logs(lines: DataFrame) -> DataFrame:
     displayed payload (60 characters after the first ']')."""
     return lines.where(log_match("container", "line")) \
         .withColumn("last_payload", log_payload("line"))
+
+
+def log_totals(parsed: DataFrame) -> DataFrame:
+    """Per container: matched lines so far and the latest displayed payload
+    (arrival order), as a streaming aggregation in complete mode."""
+    return parsed.groupBy("container").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.max_by("last_payload", F.struct("ts", "line")).alias("last_payload"))

@@ -132,3 +132,15 @@ def test_train_and_evaluate(spark, tmp_path):
     doc = [json.loads(line) for f in os.listdir(tmp_path / "run" / "metrics") if f.endswith(".json")
            for line in open(tmp_path / "run" / "metrics" / f)]
     assert doc[0]["threshold"] == out["threshold"] and "balanced" in doc[0]["scenarios"]
+
+
+def test_log_totals_stream(spark, tmp_path):
+    from ivnflow.sources.logs import log_stream, log_totals, parse_logs
+    d = tmp_path / "logs2"
+    d.mkdir()
+    (d / "ecu-imu.log").write_text("[IMU] accel=(1,2,3)\n[IMU] accel=(4,5,6)\nboot\n")
+    (d / "ecu-nav.log").write_text("[NAV] GPS  lat=1  lon=2\n")
+    out = fs.run_to_table(log_totals(parse_logs(log_stream(spark, str(d)))), "log_totals", "complete",
+                          foreach_batch=fs.complete_batch)
+    rows = {r.container: r.total for r in spark.read.parquet(out).collect()}
+    assert rows == {"ecu-imu": 2, "ecu-nav": 1}
