@@ -5,11 +5,15 @@ from __future__ import annotations
 from .byte_bpe import op10_byte_bpe
 from .host_rules import OP1_SQL, op1_host_rules
 from .nnls_packing import op8_nnls_packing
+from .secret_ownership import op3_secret_ownership
 from .simhash_bktree import op5_simhash_bktree
+from .slot_sharding import op7_slot_sharding
 
 QUERIES = {
     "op1_host_rules": op1_host_rules,
+    "op3_secret_ownership": op3_secret_ownership,
     "op5_simhash_bktree": op5_simhash_bktree,
+    "op7_slot_sharding": op7_slot_sharding,
     "op8_nnls_packing": op8_nnls_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
