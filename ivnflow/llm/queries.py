@@ -8,10 +8,12 @@ from .nnls_packing import op8_nnls_packing
 from .secret_ownership import op3_secret_ownership
 from .simhash_bktree import op5_simhash_bktree
 from .slot_sharding import op7_slot_sharding
+from .syncmers import op4_syncmers
 
 QUERIES = {
     "op1_host_rules": op1_host_rules,
     "op3_secret_ownership": op3_secret_ownership,
+    "op4_syncmers": op4_syncmers,
     "op5_simhash_bktree": op5_simhash_bktree,
     "op7_slot_sharding": op7_slot_sharding,
     "op8_nnls_packing": op8_nnls_packing,
