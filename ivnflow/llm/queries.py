@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .composite_density import op2_composite_density
 from .host_rules import OP1_SQL, op1_host_rules
+from .language_evidence import op6_language_evidence
 from .nnls_packing import op8_nnls_packing
 from .secret_ownership import op3_secret_ownership
 from .simhash_bktree import op5_simhash_bktree
@@ -12,9 +14,11 @@ from .syncmers import op4_syncmers
 
 QUERIES = {
     "op1_host_rules": op1_host_rules,
+    "op2_composite_density": op2_composite_density,
     "op3_secret_ownership": op3_secret_ownership,
     "op4_syncmers": op4_syncmers,
     "op5_simhash_bktree": op5_simhash_bktree,
+    "op6_language_evidence": op6_language_evidence,
     "op7_slot_sharding": op7_slot_sharding,
     "op8_nnls_packing": op8_nnls_packing,
     "op10_byte_bpe": op10_byte_bpe,
