@@ -11,6 +11,7 @@ from .secret_ownership import op3_secret_ownership
 from .simhash_bktree import op5_simhash_bktree
 from .slot_sharding import op7_slot_sharding
 from .syncmers import op4_syncmers
+from .url_lists import OP9_SQL, op9_url_lists
 
 QUERIES = {
     "op1_host_rules": op1_host_rules,
@@ -21,9 +22,11 @@ QUERIES = {
     "op6_language_evidence": op6_language_evidence,
     "op7_slot_sharding": op7_slot_sharding,
     "op8_nnls_packing": op8_nnls_packing,
+    "op9_url_lists": op9_url_lists,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES = {
     "op1_host_rules": OP1_SQL,
+    "op9_url_lists": OP9_SQL,
 }
