@@ -63,7 +63,7 @@ def fingerprint_bytes(text: bytes, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = 3) -> DataFrame:
-    """doc_id, fp (signed 64-bit) per row of ``docs``."""
+    """doc_id, fp (signed 64-bit), text_hash per row of ``docs``."""
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
 
@@ -73,13 +73,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             fps = [fingerprint_bytes(t, shingle) for t in map(_as_py, b.column(1))]
             signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed, pa.int64())],
-                                             names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed, pa.int64()), b.column(2)],
+                                             names=["doc_id", "fp", "text_hash"])
 
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("doc_id"),
-                       F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")
-                       ).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("fp", T.LongType()),
+                           T.StructField("text_hash", T.LongType())])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("t"),
+                       F.xxhash64(text).alias("text_hash")).mapInArrow(run, schema)
 
 
 def _as_py(scalar) -> bytes:
@@ -265,20 +266,50 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    shingle: int = 3, radius: int = 2, shard_limit: int = 4096) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+            radius: int = 2, shard_limit: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, fp, text_hash; roots: fp, root, least doc_id of the fingerprint), both stored."""
     fps = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     links = shard_links(shards(distinct.select("fp"), radius, shard_limit), radius)
     comp = components(links)
     roots = materialise(distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
                         .select("fp", F.coalesce("root", "fp").alias("root"), "least"), "simhash-roots")
+    return fps, roots
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    shingle: int = 3, radius: int = 2, shard_limit: int = 4096) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    fps, roots = classes(docs, id_col, text_col, shingle, radius, shard_limit)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text and others) with one row of each class: the
+    smallest doc_id, nulls last. Rows that go are named by id and text hash, so
+    texts are shuffled only where those are too many for a broadcast join;
+    repeated rows are folded apart from the rest."""
+    columns = docs.columns
+    fps, roots = classes(docs, shingle=shingle, radius=radius)
+    own = fps.join(roots.select("fp", "root"), "fp").select(
+        "root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("key"))
+    stays = own.groupBy("root").agg(F.min("key").alias("stays"))
+    gone = (own.join(stays, "root").where(~F.col("key").eqNullSafe(F.col("stays")))
+            .select(F.col("key.doc_id").alias("_id"), F.col("key.text_hash").alias("_hash")).distinct())
+    twice = (fps.groupBy("doc_id", "text_hash").count().where("count > 1")
+             .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+
+    def matches(keys):
+        return docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keys["_hash"])
+
+    once = docs.join(gone, matches(gone), "left_anti").join(twice, matches(twice), "left_anti")
+    folded = docs.join(gone, matches(gone), "left_anti").join(twice, matches(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.select(*columns).unionByName(folded.select(*columns))
+
+
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
