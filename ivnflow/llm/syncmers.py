@@ -119,9 +119,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     dealt = (placed.withColumn("hashes", fingerprint(F.col("text")))
              .select("doc_id", "text", "hashes", "key", F.explode(F.when(guest.isNull(), F.array(own)).otherwise(
                  F.array(own, F.struct(guest.alias("part"), F.lit(1).alias("guest"))))).alias("to")))
-    w = Window.partitionBy("to.part").orderBy(F.col("to.guest"), F.col("key").desc(), F.col("doc_id").desc_nulls_last(), "text")
-    return (dealt.withColumn("next_text", F.lead("text").over(w)).withColumn("next_hashes", F.lead("hashes").over(w))
-            .where("to.guest = 0").select("doc_id", "text", "hashes", "next_text", "next_hashes"))
+    flat = dealt.select("doc_id", "text", "hashes", "key", F.col("to.part").alias("part"), F.col("to.guest").alias("guest"))
+    w = Window.partitionBy("part").orderBy("guest", F.col("key").desc(), F.col("doc_id").desc_nulls_last(), "text")
+    after = F.lead(F.struct("text", "hashes")).over(w)  # one window: the texts move once
+    return (flat.select("doc_id", "text", "hashes", "guest", after.alias("after")).where("guest = 0")
+            .select("doc_id", "text", "hashes", F.col("after.text").alias("next_text"), F.col("after.hashes").alias("next_hashes")))
 
 
 def edited_text(text: Column, donor: Column) -> Column:
