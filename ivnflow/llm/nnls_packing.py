@@ -20,6 +20,8 @@ closing id; repeated rows are packed one by one; other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,17 +42,29 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode_batch = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode_batch = tokenizer.encode_batch_fast
+        # special tokens are matched before folding; texts that may hold one keep their case
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.lower = tokenizer.normalizer is not None and "lowercase" in str(tokenizer.normalizer).lower() \
+            and all("|>" in t for t in special)
         self.memo_words = memo_words
         self.memo = Memo()
 
+    def folded(self, text: str) -> str:
+        """The text in lower case where the tokenizer, which composes and then folds
+        each character by itself, gives the same ids for it: more pieces are alike."""
+        if not self.lower or "|>" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return text
+        return text.replace("\u03a3", "\u03c3").lower()
+
     def encode(self, texts: list[str]):
         """(ids of all texts in one array, ids per text)."""
         import numpy as np
 
         if len(self.memo.codes) > self.memo_words:
             self.memo = Memo()
-        codes = [self.memo.look(t.replace("\n", " ").split(" ")) for t in texts]
+        codes = [self.memo.look(self.folded(t).replace("\n", " ").split(" ")) for t in texts]
         fresh = self.memo.fresh
         if fresh:
             parts = []
