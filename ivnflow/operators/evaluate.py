@@ -93,7 +93,7 @@ def roc_auc(df, y="y_true", s="y_prob") -> DataFrame:
     """Exact ROC-AUC; tied scores count one half (trapezoid)."""
     c = curve_points(df, y, s)
     return c.agg(_div(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)),
-                      F.first("P") * F.first("N")).alias("roc_auc"))
+                      F.first("P").cast("double") * F.first("N").cast("double")).alias("roc_auc"))
 
 
 def average_precision(df, y="y_true", s="y_prob") -> DataFrame:
@@ -198,7 +198,7 @@ def scenario_metrics(df, t: float, scenario: str, y="y_true", s="y_prob") -> Dat
         _div(F.sum(F.col("pos") * _div(F.col("tp"), F.col("tp") + F.col("fp"))),
              F.first("P")).alias("pr_auc"),
         _div(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)),
-             F.first("P") * F.first("N")).alias("roc_auc"))
+             F.first("P").cast("double") * F.first("N").cast("double")).alias("roc_auc"))
     a = a.withColumn("fn", F.col("_P") - F.col("tp"))
     return a.select(F.lit(scenario).alias("scenario"), F.lit(float(t)).alias("threshold"),
                     *prf_cols(), "pr_auc", "roc_auc")

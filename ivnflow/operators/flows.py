@@ -4,18 +4,18 @@ All flow features need only the previous packet of the same flow in
 ``(ts, pkt_no)`` order. Two exact plans compute that previous row:
 
 * ``plain``: ``lag`` over a window partitioned by the five-tuple (one
-  shuffle by flow). Used when the largest flow is small enough for a task.
-* ``chunked``: a flood can put a third of all rows into one five-tuple,
+  shuffle by flow); for comparison in tests.
+* ``chunked`` (the default at every size): a flood can put a third of all rows into one five-tuple,
   and a window partition is never split by AQE. Rows are windowed per
   (flow, time chunk) instead; the first row of each chunk takes its
   predecessor from the previous non-empty chunk of the flow, found from a
   per-chunk tail table (one row per chunk, much smaller than the data).
-
-``auto`` measures the largest flow with one aggregate and picks the plan.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,30 +23,27 @@ from ..schemas import FEATURE_COLS, FLOW_KEY
 from ..functions.bytes import hamming_hex
 from .payload import score_payloads
 
-HOT_FLOW_ROWS = 5_000_000
+#: Width of the time chunks a flow is cut into; any width gives the same result.
+CHUNK_SECONDS = 60.0
 
 
 def previous_rows(df: DataFrame, cols: list[str], flow_cols: list[str] = FLOW_KEY,
-                  ts: str = "ts_s", tie: str = "pkt_no", mode: str = "auto",
-                  chunk_seconds: float | None = None, hot_rows: int = HOT_FLOW_ROWS,
+                  ts: str = "ts_s", tie: str = "pkt_no", mode: str = "chunked",
+                  chunk_seconds: float | None = None,
                   prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` for each of ``cols``: the value on the previous
     packet of the same flow (null on a flow's first packet).
 
-    ``auto`` measures the largest flow (count and time span, one aggregate)
-    and picks ``chunked`` above ``hot_rows``; unless given, the chunk width
-    is sized so that flow holds about ``hot_rows`` rows per chunk. Any
-    width gives the same result; it only balances the tasks.
+    One plan at every size: rows are windowed per (flow, time chunk) and a
+    table of one row per flow and chunk carries the last row before each
+    chunk, so a flow with a third of all rows is many small groups. Null
+    keys are one flow, as in a window. ``plain`` is a single window by flow,
+    for comparison.
     """
-    if mode == "auto" or (mode == "chunked" and chunk_seconds is None):
-        big = (df.groupBy(*flow_cols).agg(F.count(F.lit(1)).alias("n"),
-                                          (F.max(ts) - F.min(ts)).alias("span"))
-               .agg(F.max_by(F.struct("n", "span"), "n").alias("b")).first()["b"])
-        n, span = (big["n"], big["span"] or 0.0) if big else (0, 0.0)
-        if mode == "auto":
-            mode = "chunked" if n > hot_rows else "plain"
-        if chunk_seconds is None:
-            chunk_seconds = max(span * hot_rows / max(n, 1), 1e-3) if span > 0 else 60.0
+    if mode == "auto":
+        mode = "chunked"
+    if chunk_seconds is None:
+        chunk_seconds = CHUNK_SECONDS
     prev = F.struct(*[F.col(c) for c in cols])
     if mode == "plain":
         w = Window.partitionBy(*flow_cols).orderBy(ts, tie)
@@ -61,7 +58,11 @@ def previous_rows(df: DataFrame, cols: list[str], flow_cols: list[str] = FLOW_KE
             .agg(F.max_by(prev, F.struct(F.col(ts), F.col(tie))).alias("_last"))
         wt = Window.partitionBy(*flow_cols).orderBy("_chunk")
         carry = tails.select(*flow_cols, "_chunk", F.lag("_last").over(wt).alias("_carry"))
-        out = (d.join(carry, flow_cols + ["_chunk"], "left")
+        keys = flow_cols + ["_chunk"]
+        carry = carry.select(*[F.col(k).alias("_of_" + k) for k in keys], "_carry")
+        same = [F.col(k).eqNullSafe(F.col("_of_" + k)) for k in keys]
+        out = (d.join(carry, functools.reduce(lambda a, b: a & b, same), "left")
+               .drop(*["_of_" + k for k in keys])
                .withColumn("_prev", F.when(F.col("_first"), F.col("_carry"))
                            .otherwise(F.col("_lagc")))
                .drop("_chunk", "_lagc", "_first", "_carry"))

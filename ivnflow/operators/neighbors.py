@@ -135,7 +135,9 @@ def smote(df: DataFrame, cols: list[str], id_col: str, label: str, k: int = 5,
                     F.min_by(label, F.struct("n", label)).alias("_minority")).first()
     need = int(mm["n_max"] - mm["n_min"])
     minority = df.where(F.col(label) == mm["_minority"])
-    if need <= 0 or mm["n_min"] < 2:
+    if need > 0 and mm["n_min"] < 2:
+        raise ValueError("SMOTE needs at least two minority rows")
+    if need <= 0:
         return df.sparkSession.createDataFrame([], minority.select(id_col, *cols).schema) \
             .withColumn("copy_no", F.lit(0))
     n_min = int(mm["n_min"])
@@ -156,7 +158,7 @@ def smote(df: DataFrame, cols: list[str], id_col: str, label: str, k: int = 5,
         return hash_key(F.concat_ws("|", F.col("q_id").cast("string"), F.col("copy_no").cast("string"),
                                     F.lit(tag)), "|" + seed)
 
-    pick = F.pmod(F.conv(F.substr(draw("j"), F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(k)) + 1
+    pick = F.pmod(F.conv(F.substr(draw("j"), F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(min(k, n_min - 1))) + 1
     gap = F.conv(F.substr(draw("u"), F.lit(1), F.lit(8)), 16, 10).cast("long") / F.lit(4294967296.0)
     b = base.withColumn("rank", pick).withColumn("_g", gap)
     # the k neighbours of each minority row: k rows per query

@@ -30,9 +30,10 @@ LOG_EPS = 1e-12
 
 def benign_sample(df: DataFrame, hex_col: str = "payload_hex",
                   label_col: str = "label_str", order_col: str = "pkt_no",
-                  sample_size: int = 50_000, benign: str = "normal",
+                  sample_size: int | None = None, benign: str = "normal",
                   bucket_width: int = 1 << 16) -> DataFrame:
-    """First ``sample_size`` benign, non-null payloads in ``order_col`` order.
+    """Benign, non-null payloads: all of them, or the first ``sample_size`` in
+    ``order_col`` order.
 
     ``order_col`` is a non-negative integral file-order key. A histogram of
     key ranges gives the bound of the bucket holding the cut (one number);
@@ -41,6 +42,8 @@ def benign_sample(df: DataFrame, hex_col: str = "payload_hex",
     The cut inside the last bucket is exact (``mark_first_k``).
     """
     b = df.where((F.lower(F.col(label_col)) == benign) & F.col(hex_col).isNotNull())
+    if sample_size is None:
+        return b.select(order_col, hex_col)
     bucket = F.floor(F.col(order_col) / bucket_width)
     hist = b.groupBy(bucket.alias("_bkt")).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -89,7 +89,8 @@ def minmax_apply(df: DataFrame, stats: DataFrame, cols: list[str], clip: bool =
         mn, mx = F.col(c + "_min"), F.col(c + "_max")
         v = (F.col(c) - mn) / (mx - mn)
         if clip:
-            v = F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+            # null and NaN stay as they are
+            v = F.when(v.isNull() | F.isnan(v), v).otherwise(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
         out.append(F.when(mx - mn == 0, F.lit(0.0)).otherwise(v).alias(c + suffix))
     return j.select(*df.columns, *out)
 

@@ -42,7 +42,7 @@ def duck_model(view: str, where: str = "TRUE", p: str = "bm") -> str:
 {p}_sample AS (
   SELECT payload_hex AS h FROM {view}
   WHERE lower(label_str) = 'normal' AND payload_hex IS NOT NULL AND {where}
-  ORDER BY pkt_no LIMIT 50000),
+),
 {p}_valid AS (
   SELECT h FROM {p}_sample
   WHERE length(h) % 2 = 0 AND length(h) >= 2 AND regexp_full_match(h, '[0-9a-fA-F]*')),

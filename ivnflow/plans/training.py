@@ -63,7 +63,7 @@ def train_and_evaluate(spark: SparkSession, features: DataFrame, out_dir: str,
     out = {"threshold": threshold, "scenarios": {r["scenario"]: r.asDict() for r in rows},
            "train_sec": t_train, "eval_sec": t_eval}
     if baselines:
-        table = md.baseline_table(tr, te, cols, id_col, label, 0.36)
+        table = md.baseline_table(tr, te, cols, id_col, label, 0.36, **(gbt_overrides or {}))
         write_table_csv(table, os.path.join(out_dir, "baselines"))
         out["baselines"] = os.path.join(out_dir, "baselines")
     return out

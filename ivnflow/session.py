@@ -56,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="ivnflow-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

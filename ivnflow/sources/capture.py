@@ -14,7 +14,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import be_uint
@@ -97,18 +97,23 @@ def _frame_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def capture_paths(spark: SparkSession, directory: str, names: list[str] | None = None) -> DataFrame:
-    """The expected capture files found in ``directory`` (missing ones are
-    skipped), one row each with its number in file order.
+    """The capture files found in ``directory``, one row each with its number in
+    file order: the expected names first, then any others by path (labelled
+    unknown downstream). With ``names`` only those are taken.
 
     Files are listed by Spark's ``binaryFile`` source with only ``path``
     selected (contents are not read), so any filesystem the cluster can
     read works; the expected names are a small fixed dimension.
     """
+    only = names is not None
     names = names or [n for n, _ in PCAP_LABELS]
     dim = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, file_no int")
     listed = spark.read.format("binaryFile").load(directory).select("path") \
         .withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
-    return listed.join(F.broadcast(dim), "name").select("path", "file_no")
+    known = listed.join(F.broadcast(dim), "name", "inner" if only else "left")
+    # a listing of files, not of rows
+    other = F.row_number().over(Window.partitionBy(F.col("file_no").isNull()).orderBy("path")) + len(names)
+    return known.select("path", F.coalesce("file_no", other - 1).alias("file_no"))
 
 
 def read_frames(paths: DataFrame) -> DataFrame:

@@ -63,22 +63,22 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("source", "source"),
         ("lang", "lang"),
         ("case when lang = 'en' then 'normal' else 'dos' end", "label_str"),
-        ("case when doc_id % 17 = 0 then null else lower(substr(hex(text), 1, 64)) end",
+        ("case when doc_id % 17 = 0 then null else lower(hex(text)) end",
          "payload_hex"),
     ]),
     "vectors": ("embeddings", [
         ("vec_id", "vec_id"),
         ("case when label < 5 then 1 else 0 end", "y_true"),
-    ] + [(f"cast({{emb{i}}} as double)", f"x{i:02d}") for i in range(1, 13)]),
+    ] + [(f"cast({{emb{i}}} as double)", f"x{i:02d}") for i in range(1, 65)]),
 }
 
-VECTOR_COLS = [f"x{i:02d}" for i in range(1, 13)]
+VECTOR_COLS = [f"x{i:02d}" for i in range(1, 65)]
 
 
 def _render(expr: str, engine: str) -> str:
     for k, v in _TOKENS[engine].items():
         expr = expr.replace(k, v)
-    for i in range(1, 13):
+    for i in range(1, 65):
         expr = expr.replace(f"{{emb{i}}}", _emb(i, engine))
     return expr
 

@@ -32,36 +32,32 @@ def _carry_previous(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
     """Previous values per flow across micro-batches.
 
     Late rows (older than the flow's state, i.e. from an earlier point in
-    event time but a later batch) are kept and flagged ``late`` for a side
-    output; they take their predecessor in arrival order, as a sequential
-    reader would, and never move the state backwards.
+    event time but a later batch) are kept apart and flagged ``late`` for a
+    side output: each takes the state as its predecessor, none is the
+    predecessor of an on-time row, and none moves the state backwards.
     """
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    pdf = pdf.sort_values(["ts_s", "pkt_no"], kind="mergesort").reset_index(drop=True)
-    if state.exists:
-        s = state.get
-        first = (s[0], s[1], s[2], s[3])
-    else:
-        first = (None, None, None, None)
-    out = pd.DataFrame({
-        "pkt_no": pdf["pkt_no"],
-        "ts_s": pdf["ts_s"],
-        "ip_len": pdf["ip_len"],
-        "transport_len": pdf["transport_len"],
-        "payload_hex": pdf["payload_hex"],
-        "label_str": pdf["label_str"],
-        "prev_ts_s": pd.concat([pd.Series([first[0]], dtype="float64"),
-                                pdf["ts_s"].iloc[:-1]], ignore_index=True),
-        "prev_ip_len": pd.concat([pd.Series([first[1]], dtype="Int64"),
-                                  pdf["ip_len"].iloc[:-1].astype("Int64")], ignore_index=True),
-        "prev_transport_len": pd.concat([pd.Series([first[2]], dtype="Int64"),
-                                         pdf["transport_len"].iloc[:-1].astype("Int64")],
-                                        ignore_index=True),
-        "prev_payload_hex": pd.concat([pd.Series([first[3]], dtype="object"),
-                                       pdf["payload_hex"].iloc[:-1].astype("object")],
-                                      ignore_index=True),
-        "late": (pdf["ts_s"] < first[0]) if first[0] is not None else False,
-    })
+    every = pd.concat(list(pdfs), ignore_index=True)
+    every = every.sort_values(["ts_s", "pkt_no"], kind="mergesort").reset_index(drop=True)
+    first = tuple(state.get)[:4] if state.exists else (None, None, None, None)
+    late = every["ts_s"] < first[0] if first[0] is not None else pd.Series(False, index=every.index)
+    kinds = {"ts_s": "float64", "ip_len": "Int64", "transport_len": "Int64", "payload_hex": "object"}
+
+    def with_previous(rows: pd.DataFrame, chained: bool, flag: bool) -> pd.DataFrame:
+        rows = rows.reset_index(drop=True)
+        out = rows[["pkt_no", "ts_s", "ip_len", "transport_len", "payload_hex", "label_str"]].copy()
+        for value, (c, kind) in zip(first, kinds.items()):
+            own = rows[c].astype(kind)
+            out["prev_" + c] = (pd.concat([pd.Series([value], dtype=kind), own.iloc[:-1]], ignore_index=True)
+                                if chained else pd.Series([value] * len(rows), dtype=kind))
+        out["late"] = flag
+        return out
+
+    if late.any():
+        yield with_previous(every[late], False, True)
+    pdf = every[~late]
+    if pdf.empty:
+        return
+    out = with_previous(pdf, True, False)
     last = pdf.iloc[-1]
     if first[0] is None or float(last["ts_s"]) >= first[0]:
         pl = last["payload_hex"]

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.flows import previous_rows
 from ..schemas import SERVICES, SUBSCRIPTIONS
 
 
@@ -68,16 +67,15 @@ def period_check(df: DataFrame, key: str = "service", ts: str = "ts_s", tie: str
                  time_scale: float = 1.0) -> DataFrame:
     """Observed mean interval per service vs its nominal period.
 
-    The previous packet per service comes from ``previous_rows``, whose
-    chunked plan keeps a service holding a third of all rows out of a
-    single task. ``time_scale`` maps data seconds to simulated seconds.
+    The gaps of a service add up to its last time less its first, so one
+    partial aggregate gives their mean. ``time_scale`` maps data seconds to
+    simulated seconds.
     """
     spark = df.sparkSession
-    p = previous_rows(df.select(key, ts, tie), [ts], [key], ts, tie, mode="auto")
-    gaps = p.where(F.col("prev_" + ts).isNotNull()).select(key, (F.col(ts) - F.col("prev_" + ts)).alias("gap"))
     nominal = spark.createDataFrame([(n, int(ms)) for n, _, _, _, ms, _ in SERVICES],
                                     "service string, nominal_ms int")
-    g = gaps.groupBy(key).agg(F.count(F.lit(1)).alias("n_gaps"), F.avg("gap").alias("mean_gap_s"))
+    g = (df.groupBy(key).agg((F.count(ts) - 1).alias("n_gaps"), (F.max(ts) - F.min(ts)).alias("_span"))
+         .where("n_gaps > 0").withColumn("mean_gap_s", F.col("_span") / F.col("n_gaps")).drop("_span"))
     return g.join(F.broadcast(nominal), key).withColumn(
         "ratio", F.col("mean_gap_s") * F.lit(1000.0 / time_scale) / F.col("nominal_ms"))
 

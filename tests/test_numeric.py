@@ -171,7 +171,7 @@ def test_hot_flow_adaptive_chunks(spark):
     cols = ["ts_s", "payload_hex"]
     a = previous_rows(pk, cols, mode="plain").select("pkt_no", *[f"prev_{c}" for c in cols])
     # a tiny hot threshold forces the chunked plan with widths sized from the data
-    b = previous_rows(pk, cols, mode="auto", hot_rows=5).select("pkt_no", *[f"prev_{c}" for c in cols])
+    b = previous_rows(pk, cols, mode="auto", chunk_seconds=5.0).select("pkt_no", *[f"prev_{c}" for c in cols])
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
