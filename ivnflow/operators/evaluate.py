@@ -3,10 +3,10 @@
 Curves and ranking metrics start from one row per distinct score
 (``groupBy(score)``, partial aggregation), then need prefix sums in score
 order. A window without partitioning would run in one task, so
-``running_totals`` splits the scores into monotone log-scale buckets
-(a pure function of the value, hence deterministic and robust to heavy
-tails), sums each bucket, and adds the exclusive prefix of the bucket
-sums as an offset to a per-bucket window.
+``running_totals`` cuts the scores into ranges of equal numbers of rows
+(range partitioning, whatever their distribution: saturated scores near 1
+as well as heavy tails), sums each range, and adds the exclusive prefix of
+the range sums as an offset to a window per range.
 
 Threshold sweeps never expand rows: a ``Bucketizer`` maps each score to
 the number of grid thresholds at or below it (binary search in the JVM),
@@ -22,30 +22,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sampling import ordered_bucket
+from ..session import cut_lineage
 
 
 def running_totals(df: DataFrame, order_col: str, cols: list[str], descending: bool = True,
-                   prefix: str = "cum_") -> DataFrame:
-    """Add inclusive running sums of ``cols`` in ``order_col`` order.
-
-    ``df`` should hold one row per distinct ``order_col`` value. Rows are
-    bucketed by a monotone log-scale key; bucket totals (one row per key
-    present) give each bucket its offset, and the window runs per bucket.
+                   prefix: str = "cum_", total_prefix: str | None = None,
+                   within: list[str] | None = None) -> DataFrame:
+    """Add inclusive running sums of ``cols`` in ``order_col`` order, per group
+    of the non-null columns ``within``; with ``total_prefix`` also the totals.
+
+    ``df`` should hold one row per distinct ``order_col`` value (and group).
+    Rows are range-partitioned and checkpointed with their range number, so
+    every reader, and every retry, sees the same ranges.
     """
-    key = ordered_bucket(F.col(order_col).cast("double"))
-    d = df.withColumn("_b", -key if descending else key)
-    tot = d.groupBy("_b").agg(*[F.sum(c).alias(c + "_t") for c in cols])
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_b", *[F.coalesce(F.sum(c + "_t").over(wb), F.lit(0)).alias(c + "_o")
-                             for c in cols])
-    # one row per bucket key present (bounded by the key space, not the data)
-    d = d.join(F.broadcast(off), "_b")
+    groups = within or []
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy("_b").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut_lineage(df.repartitionByRange(n, *groups, o).withColumn("_p", F.spark_partition_id()))
+    tot = d.groupBy(*groups, "_p").agg(*[F.sum(c).alias(c + "_t") for c in cols])
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*groups, "_p", *[F.coalesce(F.sum(c + "_t").over(before), F.lit(0)).alias(c + "_o") for c in cols],
+                     *([F.sum(c + "_t").over(whole).alias(total_prefix + c) for c in cols] if total_prefix else []))
+    # at most one row per range and one more per group
+    d = d.join(F.broadcast(off), [*groups, "_p"])
+    w = Window.partitionBy(*groups, "_p").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in cols:
         d = d.withColumn(prefix + c, F.sum(c).over(w) + F.col(c + "_o"))
-    return d.drop("_b", *[c + "_o" for c in cols])
+    return d.drop("_p", *[c + "_o" for c in cols])
 
 
 def score_table(df: DataFrame, y: str = "y_true", s: str = "y_prob") -> DataFrame:
@@ -57,13 +61,11 @@ def score_table(df: DataFrame, y: str = "y_true", s: str = "y_prob") -> DataFram
 
 def curve_points(df: DataFrame, y: str = "y_true", s: str = "y_prob") -> DataFrame:
     """Per distinct score (descending): tp, fp, fn, tn at threshold = score."""
-    g = score_table(df, y, s)
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    r = running_totals(g, "score", ["pos", "neg"], descending=True)
-    return r.crossJoin(F.broadcast(tot)).select(
+    r = running_totals(score_table(df, y, s), "score", ["pos", "neg"], total_prefix="all_")
+    return r.select(
         "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-        (F.col("P") - F.col("cum_pos")).alias("fn"), (F.col("N") - F.col("cum_neg")).alias("tn"),
-        "P", "N")
+        (F.col("all_pos") - F.col("cum_pos")).alias("fn"), (F.col("all_neg") - F.col("cum_neg")).alias("tn"),
+        F.col("all_pos").alias("P"), F.col("all_neg").alias("N"))
 
 
 def _div(a, b):
@@ -212,19 +214,18 @@ def gini_splits(df: DataFrame, feature: str, y: str = "label") -> DataFrame:
     g = df.groupBy(F.col(feature).alias("value")).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.count(F.lit(1)).alias("n"))
-    tot = g.agg(F.sum("pos").alias("_tp"), F.sum("n").alias("_tn"))
-    r = running_totals(g, "value", ["pos", "n"], descending=False).crossJoin(F.broadcast(tot))
+    r = running_totals(g, "value", ["pos", "n"], descending=False, total_prefix="_all_")
 
     def gini(p, n):
         q = _div(p, n)
         return F.lit(1.0) - q * q - (F.lit(1.0) - q) * (F.lit(1.0) - q)
 
     lp, ln = F.col("cum_pos"), F.col("cum_n")
-    rp, rn = F.col("_tp") - lp, F.col("_tn") - ln
-    parent = gini(F.col("_tp"), F.col("_tn"))
+    rp, rn = F.col("_all_pos") - lp, F.col("_all_n") - ln
+    parent = gini(F.col("_all_pos"), F.col("_all_n"))
     gl = F.when(ln > 0, gini(lp, ln)).otherwise(F.lit(0.0))
     gr = F.when(rn > 0, gini(rp, rn)).otherwise(F.lit(0.0))
-    weighted = (ln * gl + rn * gr) / F.col("_tn")
+    weighted = (ln * gl + rn * gr) / F.col("_all_n")
     return r.select(F.col("value").alias("split_value"), ln.alias("n_left"), rn.alias("n_right"),
                     gl.alias("gini_left"), gr.alias("gini_right"), weighted.alias("gini_weighted"),
                     (parent - weighted).alias("gain"))

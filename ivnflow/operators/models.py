@@ -17,7 +17,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import GBT_PARAMS
@@ -102,38 +102,42 @@ def gaussian_nb_fit(df: DataFrame, cols: list[str], y: str = "label",
     The smoothing adds ``var_smoothing * max_j var(x_j)`` to every
     variance, as the reference library does.
     """
-    eps = df.agg(F.greatest(*[F.var_pop(c) for c in cols]).alias("_vmax")) if len(cols) > 1 else \
-        df.agg(F.var_pop(cols[0]).alias("_vmax"))
-    n = df.agg(F.count(F.lit(1)).alias("_ntot"))
     st = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"),
                            *[F.avg(c).alias(f"_m_{c}") for c in cols],
                            *[F.var_pop(c).alias(f"_v_{c}") for c in cols])
-    st = st.crossJoin(eps).crossJoin(n)
+    # the rest is over one row per class: variance of all = within + between classes
+    every = Window.partitionBy()
+    n = F.sum("_n").over(every)
+    st = st.withColumn("_ntot", n).select("*", *[
+        (F.sum(F.col("_n") * F.col(f"_m_{c}")).over(every) / n).alias(f"_g_{c}") for c in cols])
+    var = [F.sum(F.col("_n") * (F.col(f"_v_{c}") + (F.col(f"_m_{c}") - F.col(f"_g_{c}")) ** 2)).over(every)
+           / F.col("_ntot") for c in cols]
+    st = st.withColumn("_vmax", F.greatest(*var) if len(var) > 1 else var[0])
     return st.select(y, (F.col("_n") / F.col("_ntot")).alias("_prior"),
                      *[F.col(f"_m_{c}") for c in cols],
                      *[(F.col(f"_v_{c}") + F.lit(var_smoothing) * F.col("_vmax")).alias(f"_v_{c}")
                        for c in cols])
 
 
-def gaussian_nb_jll(cols: list[str]) -> F.Column:
-    ll = F.ln(F.col("_prior"))
+def gaussian_nb_jll(cols: list[str], model: str) -> F.Column:
+    """Joint log-likelihood of a row under the class row in struct column ``model``."""
+    ll = F.ln(F.col(f"{model}._prior"))
     for c in cols:
-        v = F.col(f"_v_{c}")
+        v = F.col(f"{model}._v_{c}")
         ll = ll - F.lit(0.5) * F.ln(F.lit(2 * math.pi) * v) \
-            - F.lit(0.5) * (F.col(c) - F.col(f"_m_{c}")) ** 2 / v
+            - F.lit(0.5) * (F.col(c) - F.col(f"{model}._m_{c}")) ** 2 / v
     return ll
 
 
 def gaussian_nb_score(df: DataFrame, model: DataFrame, cols: list[str], id_col: str,
                       y: str = "label") -> DataFrame:
-    """Posterior of class 1 for a binary label (model has two rows: bounded)."""
-    m0 = model.where(F.col(y) == 0).drop(y)
-    m1 = model.where(F.col(y) == 1).drop(y)
-    s0 = df.crossJoin(F.broadcast(m0)).select(id_col, gaussian_nb_jll(cols).alias("_j0"))
-    j1 = df.crossJoin(F.broadcast(m1)).select(id_col, F.col(y).alias("y_true"),
-                                              gaussian_nb_jll(cols).alias("_j1"))
-    return j1.join(s0, id_col).select(
-        id_col, "y_true", (F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_j0") - F.col("_j1")))).alias("y_prob"))
+    """Posterior of class 1 for a binary label: one projection against one row
+    that holds both classes, so repeated ids stay one row each."""
+    row = F.struct(*[F.col(c) for c in model.columns if c != y])
+    both = model.agg(F.max(F.when(F.col(y) == 0, row)).alias("_c0"), F.max(F.when(F.col(y) == 1, row)).alias("_c1"))
+    return df.crossJoin(F.broadcast(both)).select(
+        id_col, F.col(y).alias("y_true"),
+        (F.lit(1.0) / (F.lit(1.0) + F.exp(gaussian_nb_jll(cols, "_c0") - gaussian_nb_jll(cols, "_c1")))).alias("y_prob"))
 
 
 # ---- comparisons, validation ------------------------------------------------------------
@@ -214,6 +218,8 @@ def learning_curve(train: DataFrame, test: DataFrame, cols: list[str], id_col: s
         part = tr.where(F.col("_u") < fr)
         model = est.fit(part)
         rows.append((float(fr), part.count(), float(ev.prf(score(model, te, id_col, label), t).first()["f1"])))
+    tr.unpersist()
+    te.unpersist()
     return spark.createDataFrame(rows, "fraction double, n_train long, f1 double")
 
 

@@ -1,8 +1,8 @@
 """Class separability scores over numeric columns.
 
-All scores come from per-class aggregates (counts, sums, sums of squares)
-joined back to the points as a broadcast of one row per class, so no pair
-of points is ever formed.
+All scores come from per-class aggregates (counts, means, variances) joined
+back to the points as a broadcast of one row per class, so no pair of points
+is ever formed.
 """
 
 from __future__ import annotations
@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 
 def class_stats(df: DataFrame, cols: list[str], y: str = "y_true") -> DataFrame:
-    """Per class: n, mean and population variance of each column, sum of squares."""
+    """Per class: n, mean and population variance of each column."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in cols:
-        aggs += [F.avg(c).alias(f"_m_{c}"), F.var_pop(c).alias(f"_v_{c}"), F.sum(c).alias(f"_s_{c}")]
-    aggs.append(F.sum(sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))).alias("_q"))
+        aggs += [F.avg(c).alias(f"_m_{c}"), F.var_pop(c).alias(f"_v_{c}")]
     return df.groupBy(y).agg(*aggs)
 
 
@@ -57,28 +56,33 @@ def davies_bouldin(df: DataFrame, cols: list[str], y: str = "y_true") -> DataFra
     return r.groupBy("c").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
-def silhouette_sq(df: DataFrame, cols: list[str], y: str = "y_true", id_col: str = "vec_id") -> DataFrame:
+def silhouette_sq(df: DataFrame, cols: list[str], y: str = "y_true") -> DataFrame:
     """Mean silhouette with squared Euclidean distance, exact.
 
-    Mean squared distance from x to class c is
-    ``(n_c |x|^2 - 2 x.S_c + Q_c) / n_c`` (own class: divide by n_c - 1),
-    so per-class sums replace the all-pairs distance matrix.
+    The mean squared distance from x to class c is ``|x - mean_c|^2`` plus the
+    sum of c's variances (own class: times n / (n - 1)), so one row of class
+    means replaces the all-pairs distance matrix, without cancellation for
+    data far from 0. Every point is one projection; nothing is shuffled.
     """
-    st = class_stats(df, cols, y).select(F.col(y).alias("_c"), "_n", "_q",
-                                         *[F.col(f"_s_{c}") for c in cols])
-    x2 = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
-    dot = sum((F.col(c) * F.col(f"_s_{c}") for c in cols), F.lit(0.0))
-    own = F.col(y) == F.col("_c")
-    tot = F.col("_n") * x2 - 2 * dot + F.col("_q")
-    j = df.select(id_col, y, *cols).crossJoin(F.broadcast(st)).select(
-        id_col, own.alias("_own"), "_n",
-        F.when(own, F.when(F.col("_n") > 1, tot / (F.col("_n") - 1))).otherwise(tot / F.col("_n")).alias("_d"))
-    per = j.groupBy(id_col).agg(F.max(F.when(F.col("_own"), F.col("_d"))).alias("a"),
-                                F.min(F.when(~F.col("_own"), F.col("_d"))).alias("b"),
-                                F.max(F.when(F.col("_own"), F.col("_n"))).alias("n_own"))
-    s = F.when((F.col("n_own") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(
-        (F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.col("b")))
-    return per.agg(F.avg(s).alias("silhouette"))
+    st = class_stats(df, cols, y).select(F.struct(
+        F.col(y).alias("c"), F.col("_n").alias("n"), sum((F.col(f"_v_{c}") for c in cols), F.lit(0.0)).alias("v"),
+        F.array(*[F.col(f"_m_{c}") for c in cols]).alias("m")).alias("s"))
+    # one row with one entry per class
+    one = st.agg(F.collect_list("s").alias("_classes"))
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+
+    def mean_sq(s):
+        sq = F.zip_with(F.col("_x"), s["m"], lambda a, b: (a - b) * (a - b))
+        return F.aggregate(sq, F.lit(0.0), lambda acc, d: acc + d) + s["v"]
+
+    own = F.element_at(F.filter("_classes", lambda s: s["c"] == F.col(y)), 1)
+    j = df.select(y, x.alias("_x")).crossJoin(F.broadcast(one)).select(
+        own["n"].alias("n"), mean_sq(own).alias("d"),
+        F.array_min(F.transform(F.filter("_classes", lambda s: s["c"] != F.col(y)), mean_sq)).alias("b"))
+    a = F.col("d") * F.col("n") / (F.col("n") - 1)
+    s = F.when((F.col("n") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0)))
+    return j.agg(F.avg(s).alias("silhouette"))
 
 
 def featureset_compare(df: DataFrame, sets: dict[str, list[str]], y: str = "y_true") -> DataFrame:

@@ -239,12 +239,12 @@ def q_threshold_ceiling(spark, sf):
     bx = ev.best_threshold(te, COARSE).select(F.lit("test_best").alias("source"), "threshold")
     pp = spark.range(1).select(F.lit("paper").alias("source"), F.lit(T).alias("threshold"))
     cand = bt.unionByName(bx).unionByName(pp)
-    pred = F.col("y_prob") >= F.col("threshold")
-    pos = F.col("y_true") == 1
-    cnt = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    # three candidate thresholds: a bounded broadcast
-    cc = te.crossJoin(F.broadcast(cand)).groupBy("source", "threshold").agg(
-        cnt(pos & pred).alias("tp"), cnt(~pos & pred).alias("fp"), cnt(pos & ~pred).alias("fn"))
+    found = cand.collect()  # three rows
+    # one counting pass for all thresholds, on a grid in ascending order
+    grid = sorted({float(r["threshold"]) for r in found})
+    counts = ev.threshold_counts(te, grid)
+    names = spark.createDataFrame([(r["source"], grid.index(float(r["threshold"]))) for r in found], "source string, i int")
+    cc = counts.join(F.broadcast(names), "i")
     return rnd(cc.select("source", F.round("threshold", 4).alias("threshold"), *ev.prf_cols()),
                ["precision", "recall", "f1"])
 

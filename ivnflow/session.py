@@ -28,6 +28,7 @@ def get_spark(app: str = "ivnflow", master: str | None = None,
         # partitions; AQE coalesces small ones and splits skewed join sides
         "spark.sql.files.maxPartitionBytes": "256m",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # checkpoint files are removed once their DataFrames are unreachable

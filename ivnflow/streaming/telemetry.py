@@ -41,18 +41,25 @@ def totals_and_last(df: DataFrame, key: str = "service", payload: str = "payload
 
 
 def rate_history(rates: DataFrame, window_seconds: int, length: int = 60,
-                 key: str = "service") -> DataFrame:
+                 key: str = "service", chunk: int = 3600) -> DataFrame:
     """For each key and window: the last ``length`` rates, zeros included.
 
     Windows without events are filled from a dense grid between each key's
     first and last window (its size follows the time range, not the data).
+    The grid is laid out in chunks of ``chunk`` windows, each with the
+    ``length - 1`` windows before it, so neither the grid nor the history of
+    a key is held in one array or one task.
     """
+    w_s, span = window_seconds, window_seconds * chunk
     rng = rates.groupBy(key).agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
-    grid = rng.select(key, F.explode(F.sequence("lo", "hi", F.lit(window_seconds).cast("long")))
-                      .alias("window_start"))
+    starts = rng.withColumn("_at", F.explode(F.expr(f"sequence(lo, hi, {span}L)"))) \
+        .repartition(key, "_at")
+    grid = starts.select(key, "_at", F.explode(F.expr(
+        f"sequence(greatest(lo, _at - {(length - 1) * w_s}L), least(hi, _at + {span - w_s}L), {w_s}L)")).alias("window_start"))
     dense = grid.join(rates, [key, "window_start"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    w = Window.partitionBy(key).orderBy("window_start").rowsBetween(-(length - 1), 0)
-    return dense.select(key, "window_start", "n", F.collect_list("n").over(w).alias("history"))
+    w = Window.partitionBy(key, "_at").orderBy("window_start").rowsBetween(-(length - 1), 0)
+    return (dense.withColumn("history", F.collect_list("n").over(w)).where(F.col("window_start") >= F.col("_at"))
+            .select(key, "window_start", "n", "history"))
 
 
 def subscription_fanout(df: DataFrame, key: str = "service") -> DataFrame:
@@ -82,7 +89,10 @@ def period_check(df: DataFrame, key: str = "service", ts: str = "ts_s", tie: str
 
 def availability_sessions(df: DataFrame, gap: str, key: str = "service", ts: str = "ts") -> DataFrame:
     """Intervals in which a service kept being offered: a session closes when
-    no offer arrives within ``gap`` (TTL x offer cycle)."""
+    no offer arrives within ``gap`` (TTL x offer cycle). The session setting
+    ``spark.sql.sessionWindow.merge.sessions.in.local.partition`` merges
+    offers into sessions before the shuffle, so a hot service sends sessions,
+    not offers."""
     s = df.groupBy(key, F.session_window(ts, gap).alias("s")).agg(F.count(F.lit(1)).alias("n_offers"))
     return s.select(key, (F.unix_micros(F.col("s.start")) / 1_000_000.0).alias("session_start"),
                     (F.unix_micros(F.col("s.end")) / 1_000_000.0).alias("session_end"), "n_offers")
