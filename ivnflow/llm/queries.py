@@ -7,7 +7,7 @@ from .composite_density import op2_composite_density
 from .host_rules import OP1_SQL, op1_host_rules
 from .language_evidence import op6_language_evidence
 from .nnls_packing import op8_nnls_packing
-from .secret_ownership import op3_secret_ownership
+from .secret_ownership import OP3_SQL, op3_secret_ownership
 from .simhash_bktree import op5_simhash_bktree
 from .slot_sharding import op7_slot_sharding
 from .syncmers import op4_syncmers
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_host_rules": OP1_SQL,
+    "op3_secret_ownership": OP3_SQL,
     "op9_url_lists": OP9_SQL,
 }

@@ -170,3 +170,54 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))))
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                       F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"))
+
+
+#: The assign pattern with both letter cases written out.
+_ASSIGN_SQL = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
+               r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def _hits_sql(kind: int, pattern: str) -> str:
+    return (f"select rid, {kind} as kind, regexp_extract_all(t, '{pattern}') as hits, "
+            f"regexp_split_to_array(t, '{pattern}') as gaps from d")
+
+
+#: The same rows in DuckDB.
+OP3_SQL = f"""
+with d as (
+  select row_number() over () as rid, doc_id, source as owner, coalesce(text, '') as t from documents
+), m as (
+  {_hits_sql(0, _ASSIGN_SQL)}
+  union all {_hits_sql(1, "AKIA[A-Z0-9]+")}
+  union all {_hits_sql(2, "[0-9a-f]{32,}")}
+), e as (
+  select rid, kind, i, hits[i] as h, gaps[i] as g from (select *, unnest(range(1, len(hits) + 1)) as i from m)
+), s as (
+  select rid, kind, h, (sum(length(g) + length(h)) over (partition by rid, kind order by i))::bigint as stop from e
+), b as (
+  select rid, kind, stop - length(h) as start, stop, doc_id, owner,
+    case when kind = 0 then regexp_extract(h, '{_ASSIGN_SQL}', 2) else h end as value
+  from s join d using (rid)
+), k as (
+  select * from b where length(value) >= case kind when 0 then 8 when 1 then 16 else 32 end
+), v as (
+  select value, case
+    when count(distinct owner) + max((owner is null)::int) >= {COPIED_OWNERS} then {COPIED}
+    when not regexp_matches(value, '{PLACEHOLDER}') and len(list_distinct(string_split(value, ''))) >= 8 then {LIVE}
+    end as verdict
+  from k group by value
+), a as (
+  select distinct rid, verdict as kind, stop - length(value) as start, stop from k join v using (value) where verdict is not null
+), n as (
+  select *, ['assign', 'access', 'hex', 'copied', 'live'][kind + 1] || ':' || start || ':' || stop as span
+  from (select rid, kind, start, stop, true as base from k union all select rid, kind, start, stop, false from a)
+), j as (
+  select rid, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access,
+    count(*) filter (kind = 2) as n_hex, string_agg(span, ',' order by start, kind, stop) filter (base) as base,
+    string_agg(span, ',' order by start, kind, stop) as spans
+  from n group by rid
+)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access,
+  coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join j using (rid)
+"""
