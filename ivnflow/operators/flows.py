@@ -98,14 +98,26 @@ def flow_features(pk: DataFrame, model_vec: DataFrame, flow_cols: list[str] = FL
         if c in pk.columns]
     p = previous_rows(pk, [ts, "ip_len", "transport_len", hex_col], flow_cols, ts, tie,
                       mode, chunk_seconds)
+    return feature_columns(p, model_vec, ids, ts, hex_col, label_col, tcpudp_vec)
+
+
+def payload_change(hex_col: str = "payload_hex"):
+    """Bits that differ from the previous payload; 0.0 when either is missing."""
+    return F.when(F.col("prev_" + hex_col).isNull() | F.col(hex_col).isNull(), F.lit(0.0)) \
+        .otherwise(hamming_hex("prev_" + hex_col, hex_col))
+
+
+def feature_columns(p: DataFrame, model_vec: DataFrame, ids: list[str], ts: str = "ts_s",
+                    hex_col: str = "payload_hex", label_col: str = "label_str",
+                    tcpudp_vec: DataFrame | None = None) -> DataFrame:
+    """The nine features of rows that carry their ``prev_`` values, batch or stream."""
     s = score_payloads(p, model_vec, hex_col, "_lik", "_ent")
     if tcpudp_vec is not None:
         s = score_payloads(s, tcpudp_vec, hex_col, "_lik2", "_ent2")
         lik2, ent2 = F.col("_lik2"), F.col("_ent2")
     else:
         lik2, ent2 = F.col("_lik"), F.col("_ent")
-    f06 = F.when(F.col("prev_" + hex_col).isNull() | F.col(hex_col).isNull(), F.lit(0.0)) \
-        .otherwise(hamming_hex("prev_" + hex_col, hex_col))
+    f06 = payload_change(hex_col)
     feats = [
         delta(ts, "prev_" + ts),
         F.col("_lik"), lik2, F.col("_ent"), ent2,

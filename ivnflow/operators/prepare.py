@@ -180,13 +180,40 @@ def replicate(df: DataFrame, copies: int, copy_col: str = "copy_no", chunk: int
         .drop("_chunk")
 
 
+def extra_copies(rows: DataFrame, n_rows: int, need: int, id_col: str = "pkt_no",
+                 copy_col: str = "copy_no") -> DataFrame:
+    """``need`` further rows made of the ``n_rows`` rows of one class, in hash order.
+
+    With ``c = ceil(need / n_rows)`` copies, copies 1..c-1 are kept whole and
+    only copy c is cut, so the exact rank cut runs over these rows alone.
+    """
+    copies = -(-need // n_rows)
+    whole = replicate(rows, copies - 1, copy_col)
+    k = rows.sparkSession.range(1).select(F.lit(need - n_rows * (copies - 1)).alias("k"))
+    last = mark_first_k(rows.withColumn(HK, hash_key(id_col)), [], [HK, id_col],
+                        md5_bucket(HK, 4), k, "_in") \
+        .where("_in").drop("_in", HK).withColumn(copy_col, F.lit(copies))
+    return whole.unionByName(last)
+
+
+def augment_positive(df: DataFrame, ratio: float = 1.0, target: str = "balance", id_col: str = "pkt_no",
+                     label_col: str = "label", copy_col: str = "copy_no") -> DataFrame:
+    """``df`` plus the positive rows that ``augment_counts`` asks for, as copies of
+    positive rows in hash order; originals keep ``copy_no = 0``. Without positive
+    rows, or when none are needed, only the originals."""
+    c = augment_counts(df, ratio, target, label_col).first()
+    base = df.withColumn(copy_col, F.lit(0))
+    if not c["n_needed"] or not c["n_attack"]:
+        return base
+    return base.unionByName(extra_copies(df.where(F.col(label_col) == 1), int(c["n_attack"]),
+                                         int(c["n_needed"]), id_col, copy_col))
+
+
 def oversample_minority(df: DataFrame, id_col: str = "pkt_no", label_col: str = "label",
                         copy_col: str = "copy_no") -> DataFrame:
     """Replicate the minority class (in hash order) up to the majority count.
 
-    With ``need = n_max - n_min`` and ``c = ceil(need / n_min)`` copies,
-    copies 1..c-1 are kept whole and only copy c is cut, so the exact rank
-    cut runs over the minority rows alone; originals keep ``copy_no = 0``.
+    Originals keep ``copy_no = 0``; see ``extra_copies`` for the others.
     """
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
     mm = counts.agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"),
@@ -195,12 +222,5 @@ def oversample_minority(df: DataFrame, id_col: str = "pkt_no", label_col: str =
     need = int(mm["n_max"] - mm["n_min"]) if mm["n_min"] else 0
     if need <= 0:
         return base
-    copies = -(-need // int(mm["n_min"]))
     minority = df.where(F.col(label_col) == mm["_minority"])
-    whole = replicate(minority, copies - 1, copy_col)
-    last_k = need - int(mm["n_min"]) * (copies - 1)
-    k = df.sparkSession.range(1).select(F.lit(last_k).alias("k"))
-    last = mark_first_k(minority.withColumn(HK, hash_key(id_col)), [], [HK, id_col],
-                        md5_bucket(HK, 4), k, "_in") \
-        .where("_in").drop("_in", HK).withColumn(copy_col, F.lit(copies))
-    return base.unionByName(whole).unionByName(last)
+    return base.unionByName(extra_copies(minority, int(mm["n_min"]), need, id_col, copy_col))

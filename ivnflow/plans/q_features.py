@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bytes import bytes_to_hex, hamming_hex, hex_to_bytes, hex_valid
 from ..functions.someip import payload_prefix_hex, someip_payload_len
-from ..operators.flows import flow_features
+from ..operators.flows import delta, flow_features, payload_change, previous_rows
 from ..operators.payload import (benign_sample, fit_byte_model, model_vector,
                                  score_payloads)
 from ..schemas import FEATURE_COLS
@@ -104,14 +104,16 @@ pv AS (
 WITH {DUCK_PREV}
 SELECT pkt_no, coalesce(ts_s - p_ts, 0.0e0) AS f01_ip_time_interval FROM pv""")
 def q_f01_time_interval(spark, sf):
-    return features(spark, sf).select("pkt_no", "f01_ip_time_interval")
+    p = previous_rows(packets(spark, sf), ["ts_s"])
+    return p.select("pkt_no", delta("ts_s", "prev_ts_s").alias("f01_ip_time_interval"))
 
 
 @register("q_f08_ip_length", views=("packets",), sql=f"""
 WITH {DUCK_PREV}
 SELECT pkt_no, coalesce(CAST(ip_len AS DOUBLE) - p_ip, 0.0e0) AS f08_ip_length_changes FROM pv""")
 def q_f08_ip_length(spark, sf):
-    return features(spark, sf).select("pkt_no", "f08_ip_length_changes")
+    p = previous_rows(packets(spark, sf), ["ip_len"])
+    return p.select("pkt_no", delta("ip_len", "prev_ip_len").alias("f08_ip_length_changes"))
 
 
 @register("q_f09_transport_length", views=("packets",), sql=f"""
@@ -119,7 +121,8 @@ WITH {DUCK_PREV}
 SELECT pkt_no, coalesce(CAST(transport_len AS DOUBLE) - p_tl, 0.0e0) AS f09_tcpudp_length_changes
 FROM pv""")
 def q_f09_transport_length(spark, sf):
-    return features(spark, sf).select("pkt_no", "f09_tcpudp_length_changes")
+    p = previous_rows(packets(spark, sf), ["transport_len"])
+    return p.select("pkt_no", delta("transport_len", "prev_transport_len").alias("f09_tcpudp_length_changes"))
 
 
 @register("q_f06_payload_change", views=("packets",), sql=f"""
@@ -127,8 +130,9 @@ WITH {DUCK_PREV}
 SELECT pkt_no, {duck_hamming('p_pl', 'payload_hex')} AS f06_someip_payload_changes,
        {duck_hamming('p_pl', 'payload_hex')} AS f07_tcpudp_payload_changes FROM pv""")
 def q_f06_payload_change(spark, sf):
-    return features(spark, sf).select("pkt_no", "f06_someip_payload_changes",
-                                      "f07_tcpudp_payload_changes")
+    p = previous_rows(packets(spark, sf), ["payload_hex"])
+    return p.select("pkt_no", payload_change().alias("f06_someip_payload_changes"),
+                    payload_change().alias("f07_tcpudp_payload_changes"))
 
 
 # ---- W5 flagship ------------------------------------------------------------------

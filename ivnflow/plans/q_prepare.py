@@ -212,6 +212,19 @@ def q_oversample(spark, sf):
     return pr.oversample_minority(_pl(spark, sf), "pkt_no", "label")
 
 
+@register("q_augmented_set", views=("packets",), sql=f"""
+WITH {PL},
+c AS (SELECT count(*) FILTER (label = 1) AS n1, 2 * count(*) FILTER (label = 0) - count(*) FILTER (label = 1) AS need FROM pl),
+pos AS (SELECT pkt_no, label, row_number() OVER (ORDER BY {HASH}, pkt_no) AS rn FROM pl WHERE label = 1)
+SELECT pkt_no, label, 0 AS copy_no FROM pl
+UNION ALL
+SELECT pkt_no, label, CAST(k AS INTEGER) FROM pos, c, range(1, CAST(ceil(need / n1) AS BIGINT) + 1) t(k)
+WHERE (k - 1) * n1 + rn <= need""")
+def q_augmented_set(spark, sf):
+    """Positive rows grown to twice the normal ones (ratio 2, so several copies are due)."""
+    return pr.augment_positive(_pl(spark, sf), 2.0)
+
+
 # ---- A1-A5, A7, E16 -------------------------------------------------------------------
 
 @register("q_capture_counts", views=("packets",), sql=f"""

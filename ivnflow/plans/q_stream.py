@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
-from ..functions.bytes import hamming_hex
 from ..functions.someip import log_match, log_payload
 from ..operators import models as md
-from ..operators.flows import binary_label, delta
-from ..schemas import ECUS, SERVICES, SUBSCRIPTIONS
-from ..sources.fixtures import packets, project, table
+from ..operators.flows import feature_columns, flow_features
+from ..operators.payload import model_vector
+from ..operators.prepare import minmax_apply, minmax_fit
+from ..schemas import ECUS, FEATURE_COLS, NORM_COLS, SERVICES, SUBSCRIPTIONS
+from ..session import cut_lineage, scratch_path
+from ..sinks import emit_live, save_model
+from ..sources.fixtures import packets, table
 from ..streaming import flow_state as fs
 from ..streaming import telemetry as tm
 from .catalog import register
+from .q_features import FLOW_FEATURES_SQL, byte_model, fitted_vector, rounded
 
 R = 6
 # On the driver's events table one simulated second is one hour of data.
@@ -145,10 +152,6 @@ def q_log_parse(spark, sf):
 
 # ---- streaming jobs (rows-only checks) ---------------------------------------------------------
 
-def stream_packets(spark, sf):
-    return project(fs.stream_source(spark, sf, "events"), "packets")
-
-
 LIVE_SQL = f"""
 WITH {SVC_PK},
 r AS (SELECT service, CAST(floor(ts_s / {SCALE_S}) * {SCALE_S} AS BIGINT) AS window_start, count(*) AS n
@@ -161,57 +164,56 @@ WHERE (window_start + {SCALE_S}) * CAST(1000000 AS BIGINT) <= mx - {2 * SCALE_S
 @register("q_live_metrics", views=("packets",), sql=LIVE_SQL)
 def q_live_metrics(spark, sf):
     """Per-service rate per window as a watermarked streaming aggregation."""
-    s = tm.with_service(stream_packets(spark, sf)).withColumn("ts", tm.event_time())
-    agg = s.withWatermark("ts", "2 hours").groupBy("service", F.window("ts", WINDOW).alias("w")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    out = fs.run_to_table(agg.select("service", F.unix_seconds(F.col("w.start")).alias("window_start"), "n"),
-                          "live_metrics", "append")
-    return spark.read.parquet(out)
+    def live(source):
+        s = tm.with_service(source).withColumn("ts", tm.event_time())
+        agg = s.withWatermark("ts", "2 hours").groupBy("service", F.window("ts", WINDOW).alias("w")) \
+            .agg(F.count(F.lit(1)).alias("n"))
+        return agg.select("service", F.unix_seconds(F.col("w.start")).alias("window_start"), "n")
+
+    out = fs.run_slices(fs.time_slices(packets(spark, sf)), live, "live_metrics")
+    return spark.read.parquet(out).select("service", "window_start", "n")
 
 
 def stream_features(spark, sf):
-    s = stream_packets(spark, sf)
-    prev = fs.stateful_previous(s)
-    # the payload is joined back by packet id inside each micro-batch
-    out = fs.run_to_table(prev, "stream_prev", "append")
-    j = spark.read.parquet(out)
-    return j.select("pkt_no", delta("ts_s", "prev_ts_s").alias("f01_ip_time_interval"),
-                    F.when(F.col("prev_payload_hex").isNull() | F.col("payload_hex").isNull(), F.lit(0.0))
-                    .otherwise(hamming_hex("prev_payload_hex", "payload_hex")).alias("f06_someip_payload_changes"),
-                    delta("ip_len", "prev_ip_len").alias("f08_ip_length_changes"),
-                    delta("transport_len", "prev_transport_len").alias("f09_tcpudp_length_changes"),
-                    binary_label().alias("label"))
-
-
-STREAM_FEATURES_SQL = """
-WITH pv AS (
-  SELECT *, lag(ts_s) OVER w AS p_ts, lag(ip_len) OVER w AS p_ip,
-         lag(transport_len) OVER w AS p_tl, lag(payload_hex) OVER w AS p_pl
-  FROM packets WINDOW w AS (PARTITION BY src_ip, dst_ip, src_port, dst_port, transport ORDER BY ts_s, pkt_no))
-SELECT pkt_no, coalesce(ts_s - p_ts, 0.0e0) AS f01_ip_time_interval,
-  CASE WHEN p_pl IS NULL OR payload_hex IS NULL THEN 0.0e0 ELSE {ham} END AS f06_someip_payload_changes,
-  coalesce(CAST(ip_len AS DOUBLE) - p_ip, 0.0e0) AS f08_ip_length_changes,
-  coalesce(CAST(transport_len AS DOUBLE) - p_tl, 0.0e0) AS f09_tcpudp_length_changes,
-  CASE WHEN lower(label_str) = 'normal' THEN 0 ELSE 1 END AS label FROM pv"""
-
-
-def _stream_features_sql() -> str:
-    from .q_features import duck_hamming
-    return STREAM_FEATURES_SQL.replace("{ham}", duck_hamming("p_pl", "payload_hex"))
-
-
-@register("q_stream_flow_features", views=("packets",), sql=_stream_features_sql())
+    """The nine features over four micro-batches; the byte model is fitted before."""
+    pk = packets(spark, sf)
+    vec = fitted_vector(pk)
+    out = fs.run_slices(fs.time_slices(pk), lambda s: feature_columns(fs.stateful_previous(s), vec, ["pkt_no"]),
+                        "stream_features")
+    return spark.read.parquet(out).select("pkt_no", *FEATURE_COLS, "label")
+
+
+@register("q_stream_flow_features", views=("packets",),
+          sql=f"SELECT pkt_no, {', '.join(FEATURE_COLS)}, label FROM ({FLOW_FEATURES_SQL})")
 def q_stream_flow_features(spark, sf):
-    return stream_features(spark, sf)
+    return rounded(stream_features(spark, sf), FEATURE_COLS[1:5])
+
+
+def online_alerts(spark, history, slices, t: float = 0.5) -> str:
+    """Fit on ``history``, save byte model, Min-Max statistics and classifier,
+    then score ``slices`` as a stream with the saved ones, batch by batch.
+    Returns the path of the alerts (rows with a score of at least ``t``)."""
+    run = uuid.uuid4().hex[:12]
+    stats_at, model_at, vec_at = (scratch_path(spark, f"online-{run}-{k}") for k in ("minmax", "model", "bytes"))
+    model_vector(byte_model(history)).write.parquet(vec_at)
+    vec = spark.read.parquet(vec_at)
+    train = cut_lineage(flow_features(history, vec))
+    minmax_fit(train, FEATURE_COLS).write.parquet(stats_at)
+    stats = spark.read.parquet(stats_at)
+    tr = md.assemble(minmax_apply(train, stats, FEATURE_COLS), NORM_COLS)
+    save_model(md.logistic(tr.count(), "label").fit(tr), model_at)
+    model = LogisticRegressionModel.load(model_at)
+
+    def alerts(batch, batch_id, path):
+        rows = md.assemble(minmax_apply(batch, stats, FEATURE_COLS), NORM_COLS)
+        emit_live(md.score(model, rows, "pkt_no", "label").where(F.col("y_prob") >= t), batch_id, path)
+
+    return fs.run_slices(slices, lambda s: feature_columns(fs.stateful_previous(s), vec, ["pkt_no"]),
+                         "alerts", emit=alerts)
 
 
 @register("q_stream_alerts")
 def q_stream_alerts(spark, sf, t: float = 0.5):
-    """Stream features -> fitted logistic model -> alerts at threshold ``t``."""
-    cols = ["f01_ip_time_interval", "f06_someip_payload_changes", "f08_ip_length_changes",
-            "f09_tcpudp_length_changes"]
-    f = stream_features(spark, sf)
-    tr = md.assemble(f, cols)
-    model = md.logistic(tr.count(), "label").fit(tr)
-    s = md.score(model, tr, "pkt_no", "label")
-    return s.where(F.col("y_prob") >= t).select("pkt_no", "y_true", "y_prob")
+    """Alerts on a stream of all packets; models and statistics come from the first slice."""
+    slices = fs.time_slices(packets(spark, sf))
+    return spark.read.parquet(online_alerts(spark, slices[0], slices, t)).select("pkt_no", "y_true", "y_prob")

@@ -183,7 +183,7 @@ def halves(spark, sf):
 
 def _fit_score(spark, sf, est_fn):
     tr, te = halves(spark, sf)
-    tr = md.with_validation(md.assemble(tr, X), "vec_id")
+    tr = md.assemble(tr, X)
     model = est_fn(tr).fit(tr)
     return md.score(model, md.assemble(te, X), "vec_id", "y_true")
 
@@ -217,7 +217,7 @@ def q_baselines(spark, sf):
 @register("q_importance")
 def q_importance(spark, sf):
     tr, _ = halves(spark, sf)
-    tr = md.with_validation(md.assemble(tr, X), "vec_id")
+    tr = md.assemble(tr, X)
     return md.feature_importance(md.gbt("y_true", maxIter=GBT_ROUNDS).fit(tr), X)
 
 

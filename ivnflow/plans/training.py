@@ -1,6 +1,6 @@
 """Training and evaluation plan: normalised features -> model -> threshold -> metrics.
 
-Train split: fit the boosted trees (early stopping on a hash fold), pick
+Train split: fit the boosted trees (all rounds, or with patience on a hash fold), pick
 the threshold with the best F1 on the train split's scores, then evaluate
 the test split as it is (imbalanced) and after balanced downsampling. The
 metrics record goes to JSON; the baseline table, when asked for, to CSV.
@@ -16,18 +16,24 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import models as md
-from ..operators.prepare import augment_counts, available_columns, balanced_sample
+from ..operators.prepare import augment_counts, augment_positive, available_columns, balanced_sample, with_weight
 from ..schemas import FEATURE_COLS, NORM_COLS
 from ..sinks import save_model, write_metrics, write_table_csv
 
 
 def train_and_evaluate(spark: SparkSession, features: DataFrame, out_dir: str,
                        id_col: str = "pkt_no", label: str = "label", gbt_overrides: dict | None = None,
-                       baselines: bool = False, fixed_threshold: float | None = None) -> dict:
+                       baselines: bool = False, fixed_threshold: float | None = None,
+                       augment: float | None = None, class_weight: bool = False,
+                       patience: int | None = None) -> dict:
     """Run the full evaluation and write its outputs under ``out_dir``.
 
     ``features`` holds a ``split`` column ('train'/'test'), the label and
     the normalised columns (raw ones are used when those are missing).
+    ``augment`` adds copies of positive train rows up to that ratio of the
+    normal ones, ``class_weight`` weighs positive rows by normal / positive,
+    ``patience`` keeps the rounds up to the best one by loss on a hash fold.
+    The threshold is chosen on the original train rows.
     """
     cols = available_columns(features, NORM_COLS, FEATURE_COLS)
     tr = features.where(F.col("split") == "train")
@@ -35,8 +41,15 @@ def train_and_evaluate(spark: SparkSession, features: DataFrame, out_dir: str,
     counts = augment_counts(tr, 1.0, label_col=label).first()
 
     t0 = time.time()
-    train_v = md.with_validation(md.assemble(tr, cols), id_col)
-    model = md.gbt(label, **(gbt_overrides or {})).fit(train_v)
+    rows = md.assemble(tr if augment is None else augment_positive(tr, augment, id_col=id_col, label_col=label), cols)
+    over = dict(gbt_overrides or {})
+    if class_weight:
+        rows = with_weight(rows, label)
+        over["weightCol"] = "weight"
+    if patience is None:
+        model = md.gbt(label, **over).fit(rows)
+    else:
+        model, _ = md.fit_with_patience(rows, id_col, label, patience, **over)
     t_train = time.time() - t0
     save_model(model, os.path.join(out_dir, "model"))
 
@@ -58,7 +71,7 @@ def train_and_evaluate(spark: SparkSession, features: DataFrame, out_dir: str,
     write_metrics(scen, os.path.join(out_dir, "metrics"), threshold=threshold,
                   train_sec=round(t_train, 3), eval_sec=round(t_eval, 3), n_test=n_test,
                   n_train_normal=int(counts["n_normal"]), n_train_attack=int(counts["n_attack"]),
-                  n_augment_needed=int(counts["n_needed"]))
+                  n_augment_needed=int(counts["n_needed"]), n_trees=int(model.getNumTrees))
     s_te.unpersist()
     out = {"threshold": threshold, "scenarios": {r["scenario"]: r.asDict() for r in rows},
            "train_sec": t_train, "eval_sec": t_eval}

@@ -17,10 +17,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schemas import FLOW_KEY
 from ..session import scratch_path, ship_package
+from ..sinks import emit_live
 
 PREV_SCHEMA = ("pkt_no long, ts_s double, ip_len int, transport_len int, payload_hex string, "
                "label_str string, prev_ts_s double, prev_ip_len int, prev_transport_len int, "
@@ -105,9 +107,33 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append", fmt: str
     return out
 
 
-def append_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Idempotent per-batch sink: each batch id overwrites its own folder."""
-    batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+def time_slices(df: DataFrame, order_col: str = "ts_s", n: int = 4) -> list[DataFrame]:
+    """``df`` as up to ``n`` consecutive slices of near-equal size by ``order_col``
+    (nulls in the first), each a filter that reaches the scan."""
+    cuts = df.agg(F.percentile_approx(order_col, [k / n for k in range(1, n)], 10_000)).first()[0]
+    edges = sorted(set(cuts or []))
+    c = F.col(order_col)
+    out = []
+    for lo, hi in zip([None, *edges], [*edges, None]):
+        part = df if hi is None else df.where((c < hi) | c.isNull())
+        out.append(part if lo is None else part.where(c >= lo))
+    return out
+
+
+def run_slices(slices: list[DataFrame], build, name: str, output_mode: str = "append", emit=emit_live) -> str:
+    """Feed ``slices`` one after the other to the stream ``build(source)``, one
+    micro-batch each, and write every batch with ``emit``. The query is stopped
+    and restarted from its checkpoint between slices, so state, watermark and
+    offsets cross both batches and restarts. Returns the path of the output."""
+    spark = slices[0].sparkSession
+    run = uuid.uuid4().hex[:12]
+    source, out, ck = (scratch_path(spark, f"{name}-{run}{k}") for k in ("-source", "", "-checkpoint"))
+    for s in slices:
+        s.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(slices[0].schema).parquet(source)
+        (build(stream).writeStream.outputMode(output_mode).option("checkpointLocation", ck)
+         .trigger(availableNow=True).foreachBatch(lambda b, i: emit(b, i, out)).start().awaitTermination())
+    return out
 
 
 def complete_batch(batch: DataFrame, batch_id: int, out: str) -> None:

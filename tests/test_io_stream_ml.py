@@ -89,9 +89,12 @@ def test_capture_stream(spark, tmp_path):
 
 def test_early_stopping_learning_curve_grid(spark):
     v = vectors(spark, SF001)
-    tr = md.with_validation(md.assemble(v, VECTOR_COLS), "vec_id")
-    m = md.gbt("y_true", maxIter=200).fit(tr)
-    assert m.getNumTrees < 200
+    tr = md.assemble(v, VECTOR_COLS[:6])
+    assert md.gbt("y_true", maxIter=12, maxDepth=2).fit(tr).getNumTrees == 12  # every round asked for
+    m, losses = md.fit_with_patience(tr, "vec_id", "y_true", patience=3, maxIter=12, maxDepth=2, stepSize=1.0)
+    assert len(losses) == 12 and m.getNumTrees == md.best_rounds(losses, 3)
+    assert md.best_rounds([0.9, 0.5, 0.6, 0.4, 0.7, 0.8, 0.1], 2) == 4
+    assert md.best_rounds([0.9, 0.5, 0.6, 0.7, 0.1], 2) == 2 and md.best_rounds([0.3, 0.2, 0.1], 1) == 3
     tr_, te_ = v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1")
     lc = md.learning_curve(tr_, te_, VECTOR_COLS, "vec_id", "y_true", fractions=[0.3, 0.6, 1.0]).collect()
     assert [r.fraction for r in lc] == [0.3, 0.6, 1.0] and lc[0].n_train <= lc[-1].n_train
@@ -132,6 +135,38 @@ def test_train_and_evaluate(spark, tmp_path):
     doc = [json.loads(line) for f in os.listdir(tmp_path / "run" / "metrics") if f.endswith(".json")
            for line in open(tmp_path / "run" / "metrics" / f)]
     assert doc[0]["threshold"] == out["threshold"] and "balanced" in doc[0]["scenarios"]
+    assert doc[0]["n_trees"] == 20
+    grown = train_and_evaluate(spark, feats, str(tmp_path / "run2"), gbt_overrides={"maxIter": 3},
+                               augment=2.0, class_weight=True)
+    assert 0.0 < grown["threshold"] < 1.0
+
+
+def test_augment_positive_counts(spark):
+    from ivnflow.operators.prepare import augment_positive
+    df = spark.createDataFrame([(i, int(i < 3)) for i in range(13)], "pkt_no long, label int")
+    got = {r["label"]: r["count"] for r in augment_positive(df, 2.0).groupBy("label").count().collect()}
+    assert got == {0: 10, 1: 20}
+    assert augment_positive(df, 0.1).count() == 13 and augment_positive(df.where("label = 0")).count() == 10
+
+
+def test_online_alerts_equal_batch_scoring(spark):
+    from ivnflow.operators.flows import flow_features
+    from ivnflow.plans import q_stream as qs
+    from ivnflow.plans.q_features import fitted_vector
+    pk = qs.packets(spark, SF001)
+    slices = fs.time_slices(pk)
+    assert len(slices) == 4 and sum(s.count() for s in slices) == pk.count()
+    got = spark.read.parquet(qs.online_alerts(spark, slices[0], slices, 0.0))
+    assert got.select("batch").distinct().count() == 4
+    train = flow_features(slices[0], fitted_vector(slices[0]))
+    stats = qs.minmax_fit(train, qs.FEATURE_COLS)
+    rows = qs.md.assemble(qs.minmax_apply(train, stats, qs.FEATURE_COLS), qs.NORM_COLS)
+    model = qs.md.logistic(rows.count(), "label").fit(rows)
+    every = flow_features(pk, fitted_vector(slices[0]))
+    want = qs.md.score(model, qs.md.assemble(qs.minmax_apply(every, stats, qs.FEATURE_COLS), qs.NORM_COLS), "pkt_no", "label")
+    a = {r["pkt_no"]: r["y_prob"] for r in got.collect()}
+    b = {r["pkt_no"]: r["y_prob"] for r in want.collect()}
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-6
 
 
 def test_log_totals_stream(spark, tmp_path):
