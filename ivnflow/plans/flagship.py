@@ -63,10 +63,12 @@ def capture_feature_sets(spark: SparkSession, capture_dir: str, out_dir: str,
     """
     from ..schemas import FLOW_KEY
     from ..sinks import write_packets
-    from ..sources.capture import read_packets
+    from ..sources.capture import capture_errors, capture_paths, read_frames, read_packets
 
     pk_path = os.path.join(out_dir, "packets")
     write_packets(read_packets(spark, capture_dir), pk_path)
+    errors = os.path.join(out_dir, "capture_errors")
+    capture_errors(read_frames(capture_paths(spark, capture_dir))).write.mode("overwrite").parquet(errors)
     pk = spark.read.parquet(pk_path).withColumnRenamed("label", "label_str")
     flow = FLOW_KEY + (["pcap_file"] if flow_scope == "capture" else [])
     vec = cut_lineage(model_vector(fit_byte_model(benign_sample(pk, order_col="order_key"))))
@@ -81,4 +83,4 @@ def capture_feature_sets(spark: SparkSession, capture_dir: str, out_dir: str,
     st = minmax_fit(sp.where(F.col("split") == "train"), FEATURE_COLS)
     out = os.path.join(out_dir, "features_norm")
     minmax_apply(sp, st, FEATURE_COLS, clip=True).write.mode("overwrite").partitionBy("split").parquet(out)
-    return {"packets": pk_path, "raw": raw, "normalised": out}
+    return {"packets": pk_path, "errors": errors, "raw": raw, "normalised": out}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.bytes import float32_at
@@ -10,6 +12,7 @@ from ..operators.flows import layered_features
 from ..operators.payload import benign_sample, fit_byte_model, model_vector
 from ..schemas import LAYERED_FEATURE_COLS, MSG_TYPE_NAMES
 from ..session import scratch_path
+from ..sources.capture import decode_frames
 from ..sources.fixtures import packets, table
 from .catalog import register
 
@@ -77,6 +80,58 @@ def q_someip_header(spark, sf):
                     someip_payload_len("m").alias("someip_payload_len"))
 
 
+def encoded_frames(li):
+    """One Ethernet frame per lineitem row: every second one with a VLAN tag, UDP
+    or TCP (with options), padded; line 6 is a later fragment, line 7 is ICMP."""
+    line, part, supp, order = (F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_orderkey"))
+    tcp = line % 3 == 0
+    proto = F.when(line == 7, 1).when(tcp, 6).otherwise(17)
+    someip = F.concat(_hexw(part % 65536, 2), _hexw(supp % 65536, 2), F.lit("0000000A00010002010102"), F.lit("00"),
+                      F.hex(F.concat("l_returnflag", "l_linestatus").cast("binary")))
+    ports = F.concat(_hexw(30501 + supp % 20, 2), _hexw(30480 + part % 40, 2))
+    l4 = F.when(tcp, F.concat(ports, _hexw(order % 4294967296, 4), _hexw(part, 4), F.lit("6018020000000000"),
+                              F.lit("01010101"), someip)).otherwise(F.concat(ports, F.lit("001A0000"), someip))
+    frag = F.when(line == 6, F.lit(0x2001)).when(supp % 2 == 0, F.lit(0x4000)).otherwise(F.lit(0))
+    ip = F.concat(F.lit("4500"), _hexw(F.when(tcp, 62).otherwise(46), 2), _hexw(order % 65536, 2), _hexw(frag, 2),
+                  _hexw(part % 256, 1), _hexw(proto, 1), F.lit("0000AC1E"), _hexw(supp % 256, 1), _hexw(line, 1),
+                  F.lit("0A00"), _hexw(part % 256, 1), _hexw(order % 256, 1))
+    eth = F.concat(F.lit("020202020202040404040404"), F.when(line % 2 == 0, "81000005").otherwise(""), F.lit("0800"))
+    return li.select(
+        F.when(line < 4, "benign_traffic.pcap").otherwise("other.pcap").alias("pcap_file"),
+        (order * 8 + line).alias("pkt_no"), F.lit(0.0).alias("ts"),
+        F.unhex(F.concat(eth, ip, l4, F.lit("000000000000"))).alias("frame"),
+        F.lit(None).cast("int").alias("orig_len"), F.lit(None).cast("string").alias("error"))
+
+
+FRAME_FIELDS = ["pcap_file", "pkt_no", "src_ip", "dst_ip", "ip_proto", "ip_ttl", "ip_len", "ip_id", "ip_flags",
+                "transport", "src_port", "dst_port", "transport_len", "tcp_seq", "tcp_ack", "tcp_flags",
+                "service_id", "method_id", "payload_hex", "label"]
+
+
+@register("q_frame_decode", sql=f"""
+WITH s AS (SELECT *, l_linenumber % 3 = 0 AS tcp, CAST(30501 + l_suppkey % 20 AS INTEGER) AS src_port,
+  CAST(30480 + l_partkey % 40 AS INTEGER) AS dst_port FROM lineitem),
+r AS (SELECT CASE WHEN l_linenumber < 4 THEN 'benign_traffic.pcap' ELSE 'other.pcap' END AS pcap_file,
+  l_orderkey * 8 + l_linenumber AS pkt_no,
+  '172.30.' || (l_suppkey % 256) || '.' || l_linenumber AS src_ip,
+  '10.0.' || (l_partkey % 256) || '.' || (l_orderkey % 256) AS dst_ip,
+  CAST(CASE WHEN tcp THEN 6 ELSE 17 END AS INTEGER) AS ip_proto, CAST(l_partkey % 256 AS INTEGER) AS ip_ttl,
+  CAST(CASE WHEN tcp THEN 62 ELSE 46 END AS INTEGER) AS ip_len, CAST(l_orderkey % 65536 AS INTEGER) AS ip_id,
+  CAST(CASE WHEN l_suppkey % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS ip_flags,
+  CASE WHEN tcp THEN 'TCP' ELSE 'UDP' END AS transport, src_port, dst_port,
+  CAST(CASE WHEN tcp THEN 42 ELSE 26 END AS INTEGER) AS transport_len,
+  CAST(CASE WHEN tcp THEN l_orderkey % 4294967296 END AS BIGINT) AS tcp_seq,
+  CAST(CASE WHEN tcp THEN l_partkey END AS BIGINT) AS tcp_ack, CAST(CASE WHEN tcp THEN 24 END AS INTEGER) AS tcp_flags,
+  CAST(l_partkey % 65536 AS INTEGER) AS service_id, CAST(l_suppkey % 65536 AS INTEGER) AS method_id,
+  lower(hex(l_returnflag || l_linestatus)) AS payload_hex,
+  CASE WHEN l_linenumber < 4 THEN 'normal' ELSE 'unknown' END AS label
+  FROM s WHERE l_linenumber NOT IN (6, 7) AND (src_port BETWEEN 30490 AND 30510 OR dst_port BETWEEN 30490 AND 30510))
+SELECT {', '.join(FRAME_FIELDS)} FROM r""")
+def q_frame_decode(spark, sf):
+    """Ethernet/VLAN/IPv4/TCP/UDP/SOME-IP layers read back from frames encoded from lineitem."""
+    return decode_frames(encoded_frames(table(spark, sf, "lineitem"))).select(*FRAME_FIELDS)
+
+
 @register("q_msg_type_name", sql=f"""
 SELECT code AS msg_type, {_msg_name_sql('code')} AS msg_type_name, count(*) AS n FROM (
   SELECT CAST((l_orderkey * 7 + l_linenumber) % 256 AS INTEGER) AS code FROM lineitem) GROUP BY code""")
@@ -153,7 +208,7 @@ def q_feature_scan(spark, sf):
     """Feature table written as parquet (overwrite) and scanned back with a
     column subset (pruned at the scan)."""
     from .q_features import features
-    path = scratch_path(spark, f"features_{_tag(sf)}")
+    path = scratch_path(spark, f"features_{_tag(sf)}_{uuid.uuid4().hex}")
     features(spark, sf).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).select("pkt_no", "label")
 

@@ -114,6 +114,62 @@ def test_captures_to_features(spark, capdir, tmp_path):
     assert ("dos_noti_flood.pcap", (1 << 40) + 1) in keys and ("benign_traffic.pcap", 0) in keys
     f = spark.read.parquet(paths["normalised"])
     assert f.count() == pk.count() == 10
+    assert [r.error for r in spark.read.parquet(paths["errors"]).collect()] == ["truncated record"]
     assert {r.split for r in f.select("split").distinct().collect()} <= {"train", "test"}
     r = f.agg(*[F.min(c + "_norm") for c in FEATURE_COLS], *[F.max(c + "_norm") for c in FEATURE_COLS]).first()
     assert all(0.0 <= v <= 1.0 for v in r)
+
+
+def ng_block(order, code, body):
+    body += b"\0" * (-len(body) % 4)
+    n = struct.pack(order + "I", len(body) + 12)
+    return struct.pack(order + "I", code) + n + body + n
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_pcapng_records(tmp_path, order):
+    from ivnflow.sources.capture import _frames_of
+    f0, f1 = frame(udp(30501, 30490, b"abc")), frame(udp(30502, 30490, b"abcd"))
+    raw = f0[14:]
+    nano = struct.pack(order + "HHB3x", 9, 1, 9) + struct.pack(order + "HH", 0, 0)
+
+    def packet(iface, ticks, data):
+        return ng_block(order, 6, struct.pack(order + "5I", iface, ticks >> 32, ticks & 0xFFFFFFFF, len(data), len(data)) + data)
+
+    blocks = [ng_block(order, 0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1)),
+              ng_block(order, 1, struct.pack(order + "HHI", 1, 0, 0)),
+              ng_block(order, 1, struct.pack(order + "HHI", 101, 0, 0) + nano),
+              ng_block(order, 1, struct.pack(order + "HHI", 147, 0, 0)),
+              packet(0, 1_700_000_000_500_000, f0), packet(1, 1_700_000_001_000_000_000, raw),
+              ng_block(order, 5, b"\0" * 12), packet(2, 0, f1), packet(2, 0, f1),
+              ng_block(order, 3, struct.pack(order + "I", len(f1)) + f1)]
+    path = tmp_path / "a.pcapng"
+    path.write_bytes(b"".join(blocks))
+    got = list(_frames_of(str(path)))
+    assert [(g[0], g[4]) for g in got] == [(0, None), (1, None), (2, "link type 147"), (4, None)]
+    assert got[0][2] == f0 and got[1][2][12:] == b"\x08\x00" + raw and got[3][2] == f1
+    assert abs(got[0][1] - 1700000000.5) < 1e-6 and abs(got[1][1] - 1700000001.0) < 1e-6 and got[3][1] is None
+    path.write_bytes(b"".join(blocks)[:-9])
+    assert list(_frames_of(str(path)))[-1][4] == "truncated record"
+    path.write_bytes(b"")
+    assert list(_frames_of(str(path))) == []
+
+
+def test_link_types(spark, tmp_path):
+    import shutil
+
+    from ivnflow.sources.capture import capture_errors
+    f0 = frame(udp(30501, 30490, someip(0x1234, 0x8001, 0x02)))
+    for name, link, data in [("raw.pcap", 101, f0[14:]), ("sll.pcap", 113, b"\0" * 14 + f0[12:]),
+                             ("sll2.pcap", 276, f0[12:14] + b"\0" * 18 + f0[14:]), ("usb.pcap", 189, f0)]:
+        write_pcap(tmp_path / "eth", [data])
+        whole = (tmp_path / "eth").read_bytes()
+        (tmp_path / name).write_bytes(whole[:20] + struct.pack("<I", link) + whole[24:])
+    d = tmp_path / "in"
+    d.mkdir()
+    for f in tmp_path.glob("*.pcap"):
+        shutil.copy(f, d)
+    fr = read_frames(capture_paths(spark, str(d)))
+    assert {r.pcap_file: r.service_id for r in decode_frames(fr).collect()} == {
+        "raw.pcap": 0x1234, "sll.pcap": 0x1234, "sll2.pcap": 0x1234}
+    assert [tuple(r) for r in capture_errors(fr).collect()] == [("usb.pcap", -1, "link type 189")]
