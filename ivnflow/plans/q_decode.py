@@ -10,11 +10,12 @@ from ..functions.bytes import float32_at
 from ..functions.someip import msg_type_name, payload_prefix_hex, someip_header, someip_payload_len
 from ..operators.flows import layered_features
 from ..operators.payload import benign_sample, fit_byte_model, model_vector
-from ..schemas import LAYERED_FEATURE_COLS, MSG_TYPE_NAMES
+from ..schemas import FEATURE_COLS, LAYERED_FEATURE_COLS, MSG_TYPE_NAMES
 from ..session import scratch_path
 from ..sources.capture import decode_frames
 from ..sources.fixtures import packets, table
 from .catalog import register
+from .q_features import FLOW_FEATURES_SQL, features, rounded
 
 R = 6
 CODES = [0x00, 0x01, 0x02, 0x80, 0x81, 0x7F]
@@ -178,12 +179,6 @@ def q_float32_decode(spark, sf):
 
 # ---- S3, S4: CSV and parquet scans with explicit schemas --------------------------------------------
 
-def _tag(sf: str) -> str:
-    """Stable scratch-table name per input folder (reruns overwrite it)."""
-    import hashlib
-    return hashlib.md5(sf.encode()).hexdigest()[:12]
-
-
 PK_COLS = ["pkt_no", "ts_s", "src_ip", "dst_ip", "src_port", "dst_port", "transport", "ip_len",
            "transport_len", "payload_hex", "is_sd", "label_str", "pcap_file"]
 
@@ -194,23 +189,21 @@ def q_packet_scan(spark, sf):
     """Packets written as CSV (header, fixed column order), read back with an
     explicit schema and a column subset."""
     pk = packets(spark, sf)
-    path = scratch_path(spark, f"packets_csv_{_tag(sf)}")
+    path = scratch_path(spark, f"packets_csv_{uuid.uuid4().hex}")
     pk.write.mode("overwrite").option("header", True).csv(path)
     schema = pk.schema
     return spark.read.schema(schema).option("header", True).csv(path) \
         .select("pkt_no", "ts_s", "src_port", "dst_port", "payload_hex", "label_str")
 
 
-@register("q_feature_scan", views=("packets",), sql=f"""
-SELECT pkt_no, label FROM (SELECT pkt_no, CASE WHEN lower(label_str) = 'normal' THEN 0 ELSE 1 END AS label
-  FROM packets)""")
+@register("q_feature_scan", views=("packets",),
+          sql=f"SELECT pkt_no, {', '.join(FEATURE_COLS)}, label FROM ({FLOW_FEATURES_SQL})")
 def q_feature_scan(spark, sf):
-    """Feature table written as parquet (overwrite) and scanned back with a
-    column subset (pruned at the scan)."""
-    from .q_features import features
-    path = scratch_path(spark, f"features_{_tag(sf)}_{uuid.uuid4().hex}")
-    features(spark, sf).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).select("pkt_no", "label")
+    """Feature table written as parquet and scanned back with a column subset
+    (pruned at the scan)."""
+    path = scratch_path(spark, f"features_{uuid.uuid4().hex}")
+    rounded(features(spark, sf), FEATURE_COLS[1:5]).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).select("pkt_no", *FEATURE_COLS, "label")
 
 
 def _layered_sql() -> str:
