@@ -161,6 +161,28 @@ def test_language(spark, sample, edge, empty):
     assert page.select(declared_of(F.col("html"))).first()[0] == "de"
 
 
+def test_language_rejects_foreign(spark, sample):
+    import random
+
+    from ivnflow.llm.language_evidence import identify
+    rng = random.Random(1)
+    texts = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+        "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。" * 2,
+        "x" * 300, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))]
+    foreign = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = identify(foreign, labelled=sample).collect()
+    assert len(rows) == len(texts) and not any(r["kept"] for r in rows), rows
+    assert {r["language"] for r in rows} == {None}
+    # a language that labels rows is one of the classes
+    russian = spark.createDataFrame([(9000 + i, texts[0] * (i + 1), "ru", "s", 1) for i in range(9)], sample.schema)
+    got = identify(foreign.where("doc_id = 0"), labelled=sample.union(russian)).first()
+    assert got["language"] == "ru" and got["kept"]
+    assert identify(sample).where("kept").count() >= 0.95 * sample.count()
+
+
 def test_sharding(spark, edge, empty, tmp_path):
     from ivnflow.llm.slot_sharding import load_map, rebalance, shard_by_bytes, store_map
     assert shard_by_bytes(empty, str(tmp_path / "e")).count() == 0
