@@ -9,7 +9,9 @@ its own node with the largest sum.
 
 Elements that are never main text (menus, footers, side bars, forms, adverts,
 notices, reader comments, hidden and script-like elements) are cut from the
-tree before any density is computed; an ``article`` or ``main`` element, where a page
+tree before any density is computed, but not where they hold the page: an
+article or main that no other outweighs, or nearly all text outside links (a
+page in one form). An ``article`` or ``main`` element, where a page
 has one, takes the body's place, and inside it only blocks that are mostly
 links are left out.
 
@@ -53,28 +55,47 @@ CUT_WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars rail masthead footer "
     "comment comments commentlist respond disqus replies reply share sharing social related recommended "
     "pagination pager toolbar widget widgets outbrain taboola skip".split())
+#: Elements of the head; any other one ends it.
+HEAD = frozenset("base link meta title style script noscript template head html".split())
+#: ``has-sidebar`` and the like name a state of the page, not a side bar.
+STATES = frozenset("has have no not with without is hide show enable disable".split())
+#: Builders' names for any block: cut words only at the start of a name.
+BUILDER = frozenset("widget widgets".split())
+READERS = frozenset("comment comments commentlist respond disqus replies reply".split())
 ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
-def _cut(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is never main text; ``inside``: within article or main."""
+def _cut_word(value: str) -> str:
+    """The first class name or id with a cut word as its name or a part of it."""
+    for name in value.split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        for k, x in enumerate(parts):
+            if x in STATES:
+                break
+            if x in CUT_WORDS and not (k and x in BUILDER):
+                return x
+    return ""
+
+
+def _cut(tag: str, attrs: str, inside: bool) -> str:
+    """Why an element is never main text, or nothing; ``inside``: within article or main."""
     if tag in CUT_TAGS or tag == "header" and not inside:
-        return True
+        return "tag"
     if not attrs.strip() or tag in ("html", "body"):
-        return False
+        return ""
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "hidden"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return "hidden"
         if name == "role" and value in CUT_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("article", "main") and not CUT_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+            return "role"
+        if name in ("class", "id") and tag not in ("article", "main") and (word := _cut_word(value)):
+            return "readers" if word in READERS else "word"
         if name in ("class", "id") and tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return "readers"
+    return ""
 
 
 class Dom:
@@ -83,35 +104,35 @@ class Dom:
     def __init__(self, html: str):
         self.tag, self.parent, self.items = ["html"], [-1], [[]]
         html = UNENDED.sub("", html)
-        stack, at, skip = [0], 0, 0  # skip: depth of the stack where a cut element begins
-        inside = 0
+        stack, at, body = [0], 0, False
+        cut: dict[int, str] = {}
         for m in iter(lambda: TOKEN.search(html, at), None):
-            if m.start() > at and not skip:
-                self.items[stack[-1]].append(html[at:m.start()])
+            if m.start() > at:
+                stack = self._text(html[at:m.start()], stack)
             at = m.end()
             end, start = m[1], m[2]
             if start:
                 start, attrs = start.lower(), m[3][:-1]
+                if self.tag[stack[-1]] == "head" and start not in HEAD:
+                    stack = [0]
                 if start in RAW and not attrs.endswith("/"):
                     stop = re.compile(rf"</{start}\b[^>]*>", re.I).search(html, at)
                     at = stop.end() if stop else len(html)
                     continue
-                stack, skip = self._imply(start, stack, skip)
+                stack = self._imply(start, stack)
                 if start in VOID or attrs.endswith("/"):
-                    if not skip and start in ("br", "hr", "wbr", "img"):
+                    if start in ("br", "hr", "wbr", "img"):
                         self.items[stack[-1]].append(self._add(start, stack[-1]))
                     continue
                 if start in ("html", "body"):
-                    if not skip and start == "body":
-                        stack = [0]
+                    if start == "body" and (not body or cut.keys().isdisjoint(stack)):
+                        stack, body = [0], True
                     continue
                 inside = any(self.tag[s] in ("article", "main") for s in stack)
                 n = self._add(start, stack[-1])
-                if not skip:
-                    if _cut(start, attrs, inside):
-                        skip = len(stack) + 1
-                    else:
-                        self.items[stack[-1]].append(n)
+                if why := _cut(start, attrs, inside):
+                    cut[n] = why
+                self.items[stack[-1]].append(n)
                 stack.append(n)
             elif end:
                 end = end.lower()
@@ -121,10 +142,56 @@ class Dom:
                         break
                     if end not in BLOCK and self.tag[stack[k]] in BLOCK:
                         break
-                if skip and len(stack) < skip:
-                    skip = 0
-        if at < len(html) and not skip:
-            self.items[stack[-1]].append(html[at:])
+        if at < len(html):
+            self._text(html[at:], stack)
+        if cut:
+            self._restore(cut)
+            for n in {self.parent[n] for n in cut}:
+                self.items[n] = [x for x in self.items[n] if isinstance(x, str) or x not in cut]
+
+    def _text(self, text: str, stack: list[int]) -> list[int]:
+        if self.tag[stack[-1]] == "head" and text.strip():
+            stack = [0]
+        self.items[stack[-1]].append(text)
+        return stack
+
+    def _restore(self, cut: dict[int, str]) -> None:
+        """Take elements that hold the page out of ``cut``."""
+        c, _, lc, _ = self.measure()
+        plain = [x - y for x, y in zip(c, lc)]
+
+        def left():
+            """Per node: plain characters outside cut elements, and whether it is cut itself."""
+            out, gone = plain.copy(), [False] * len(plain)
+            for n in range(len(plain) - 1, -1, -1):
+                out[n] -= sum(plain[x] - (0 if x in cut else out[x]) for x in self.items[n] if not isinstance(x, str))
+            for n in range(1, len(plain)):
+                gone[n] = n in cut or gone[self.parent[n]]
+            return out, gone
+
+        homes = [n for n in range(len(plain)) if self.tag[n] in ("article", "main") and n not in cut and plain[n]]
+        out, gone = left()
+        if any(out[n] and not gone[n] for n in homes):
+            return
+
+        def above(n):
+            while n:
+                n = self.parent[n]
+                yield n
+
+        homes = [n for n in homes if not any(cut.get(x) in ("hidden", "readers") for x in above(n))]
+        home = max(homes, key=lambda n: plain[n], default=0)
+        if home and plain[home] > out[0]:
+            for n in above(home):
+                cut.pop(n, None)
+            out, gone = left()
+        while not any(out[n] and not gone[n] for n in homes):
+            held = [n for n, why in cut.items() if (why == "word" or self.tag[n] == "form") and not gone[self.parent[n]]]
+            most = max(held, key=lambda n: plain[n], default=0)
+            if not most or plain[most] <= 10 * out[0] or 2 * plain[most] <= plain[0]:
+                break
+            del cut[most]
+            out, gone = left()
 
     def _add(self, tag: str, parent: int) -> int:
         self.tag.append(tag)
@@ -132,16 +199,15 @@ class Dom:
         self.items.append([])
         return len(self.tag) - 1
 
-    def _imply(self, start: str, stack: list[int], skip: int):
-        """Elements that end where ``start`` begins."""
+    def _imply(self, start: str, stack: list[int]) -> list[int]:
+        """The stack without the elements that end where ``start`` begins."""
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[k]]
             if tag == "p" and start in CLOSES_P or start in ENDS.get(tag, ()):
-                del stack[k:]
-                return stack, 0 if skip and len(stack) < skip else skip
+                return stack[:k]
             if tag in SCOPE:
                 break
-        return stack, skip
+        return stack
 
     def measure(self):
         """Per node: characters, tags, link characters, link tags below it."""

@@ -303,6 +303,30 @@ def test_extraction(spark):
     assert extract_pages(docs.where("false")).count() == 0
 
 
+def test_extraction_keeps_pages():
+    from ivnflow.llm.composite_density import main_text
+    text = "<p>First paragraph of the page, long enough.</p><p>Second one, which goes on.</p>"
+    want = "First paragraph of the page, long enough.\nSecond one, which goes on."
+    for page in (
+            f"<html><head><title>T</title><meta charset=utf-8><body><nav>x</nav><article>{text}</article></body>",
+            f"<html><head><title>T</title><article>{text}</article>",
+            f"<body><form action=x><nav>x</nav><article>{text}</article></form></body>",
+            f"<body><form action=x><div>{text}<button>Go</button></div></form></body>",
+            f"<body><article><form>{text}</form></article><nav>x</nav></body>",
+            f"<body><aside><main>{text}</main></aside></body>",
+            f"<body><div class='sidebar'><article>{text}</article></div><p>Short.</p></body>",
+            *(f"<body><div class='{c}'>{text}</div></body>" for c in (
+                "layout has-sidebar", "no-sidebar", "page-with-comments", "elementor-widget", "promo")),
+            *(f"<body><div id='{c}'><article>{text}</article><div class='post-comments'>Nice.</div></div></body>" for c in (
+                "has-sidebar", "elementor-widget elementor-widget-text"))):
+        assert main_text(page) == want, page
+    main = f"<article>{text}</article>"
+    for noise in ("<aside><article>A teaser, longer than all of the page's own text taken together, with plenty of words.</article></aside>",
+                  "<section id=comments><article>A comment</article></section>", "<form>Sign up</form>", "<div class=site-footer>Foot</div>"):
+        assert main_text(f"<body>{main}{noise}</body>") == want, noise
+    assert main_text("<body><div hidden><article>x y</article></div></body>") == "" == main_text("<body><nav>x</nav></body>")
+
+
 def test_pipeline(spark, edge, empty, sample):
     import corpus_pipeline
     for first in (edge.drop("n_words"), empty.drop("n_words"), sample):
