@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
 from .composite_density import op2_composite_density
+from .conversation_repair import op11_viterbi_repair
 from .host_rules import OP1_SQL, op1_host_rules
+from .importance_resampling import OP12_SQL, op12_radix_resampling
 from .language_evidence import op6_language_evidence
 from .nnls_packing import op8_nnls_packing
 from .secret_ownership import OP3_SQL, op3_secret_ownership
@@ -24,10 +26,13 @@ QUERIES = {
     "op8_nnls_packing": op8_nnls_packing,
     "op9_url_lists": op9_url_lists,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_viterbi_repair": op11_viterbi_repair,
+    "op12_radix_resampling": op12_radix_resampling,
 }
 
 ORACLES = {
     "op1_host_rules": OP1_SQL,
     "op3_secret_ownership": OP3_SQL,
     "op9_url_lists": OP9_SQL,
+    "op12_radix_resampling": OP12_SQL,
 }
