@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from ..operators import boosting as bo
 from ..operators import models as md
 from ..operators import separability as sp
 from ..operators.prepare import stratified_split
 from ..operators.profile import pair_sums
 from ..sources.fixtures import VECTOR_COLS, table, vectors
+from . import model_sql as msql
 from .catalog import register
 
 R = 6
 X = VECTOR_COLS
 HALF = X[:32]
+PATIENCE = 50
 PAIRS = [("x01", "x02"), ("x03", "x04"), ("x05", "x06")]
 
+VHASH = "md5(CAST(vec_id AS VARCHAR) || '|42')"
+DUCK_VSPLIT = f"""
+vs AS (SELECT v.*, CASE WHEN rn * 2 <= n THEN 'train' ELSE 'test' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY {VHASH}, vec_id) AS rn,
+         count(*) OVER (PARTITION BY y_true) AS n FROM vectors) v)"""
+
 
 def rnd(df, cols, r=R):
     return df.select(*[F.round(c, r).alias(c) if c in cols else F.col(c) for c in df.columns])
@@ -172,38 +183,73 @@ def q_gaussian_nb(spark, sf):
     return rnd(md.gaussian_nb_score(v, m, X, "vec_id", "y_true"), ["y_prob"])
 
 
-# ---- M1, M3-M5, M9-M12: Spark ML fits (rows-only checks) -------------------------------------------
+# ---- M1-M5, M9-M12: the oracles fit the models anew in SQL -------------------------------------------
 
 def halves(spark, sf):
     s = stratified_split(vectors(spark, sf), "vec_id", "y_true")
     return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
 
 
-def _fit_score(spark, sf, est_fn):
+def _tree_scores(spark, sf, name):
     tr, te = halves(spark, sf)
-    tr = md.assemble(tr, X)
-    model = est_fn(tr).fit(tr)
-    return md.score(model, md.assemble(te, X), "vec_id", "y_true")
+    model = md.fit_trees(tr, X, "vec_id", "y_true", name)
+    return rnd(md.score(model, te, "vec_id", "y_true"), ["y_prob"])
+
+
+GBT = md.tree_profiles()["GBT"]
+_BOOST = f"""WITH RECURSIVE {msql.prepared(X, DUCK_VSPLIT, GBT.bins, GBT.rounds, len(X) * GBT.columns // 1000)},
+{msql.boost(GBT.rounds)}"""
+
 
+def _forest_sql(name):
+    p = md.tree_profiles()[name]
+    k = math.isqrt(len(X)) if name == "RF" else None
+    return f"""WITH RECURSIVE {msql.prepared(X, DUCK_VSPLIT, p.bins, p.rounds, len(X))},
+{msql.forest(p.rounds, p.depth, k, p.bootstrap)}
+SELECT vec_id, any_value(y) AS y_true, round(sum(v) / {p.rounds}, {R}) AS y_prob
+FROM (SELECT vec_id, tree, arg_max(val, lvl) AS v FROM ft GROUP BY 1, 2) JOIN base USING (vec_id)
+WHERE split = 'test' GROUP BY vec_id"""
 
-@register("q_gbt_scores")
+
+@register("q_gbt_scores", views=("vectors",), sql=f"""{_BOOST}
+SELECT vec_id, y AS y_true, round(1.0 / (1.0 + exp(-margin)), {R}) AS y_prob FROM st JOIN base USING (vec_id)
+WHERE r = {GBT.rounds} AND lvl = 0 AND split = 'test'""")
 def q_gbt_scores(spark, sf):
-    return _fit_score(spark, sf, lambda tr: md.gbt("y_true"))
+    """All rounds of the profile on the train half, scores of the test half."""
+    return _tree_scores(spark, sf, "GBT")
 
 
-@register("q_rf_scores")
+@register("q_rf_scores", views=("vectors",), sql=_forest_sql("RF"))
 def q_rf_scores(spark, sf):
-    return _fit_score(spark, sf, lambda tr: md.baseline_estimators("y_true")["RF"])
+    return _tree_scores(spark, sf, "RF")
 
 
-@register("q_dt_scores")
+@register("q_dt_scores", views=("vectors",), sql=_forest_sql("DT"))
 def q_dt_scores(spark, sf):
-    return _fit_score(spark, sf, lambda tr: md.baseline_estimators("y_true")["DT"])
+    return _tree_scores(spark, sf, "DT")
 
 
-@register("q_lr_scores")
+@register("q_lr_scores", views=("vectors",), sql=f"""WITH RECURSIVE {msql.logistic(X, DUCK_VSPLIT)}
+SELECT vec_id, y AS y_true, round(1 / (1 + exp(-(list_dot_product(x, w) + b))), {R}) AS y_prob
+FROM xc, (SELECT w, b FROM lr ORDER BY k DESC LIMIT 1) WHERE split = 'test'""")
 def q_lr_scores(spark, sf):
-    return _fit_score(spark, sf, lambda tr: md.logistic(tr.count(), "y_true"))
+    tr, te = halves(spark, sf)
+    return rnd(md.score(md.fit_logistic(tr, X, "y_true"), te, "vec_id", "y_true"), ["y_prob"])
+
+
+@register("q_early_stopping", views=("vectors",), sql=f"""WITH RECURSIVE {msql.prepared(
+    X, DUCK_VSPLIT.replace("FROM vectors) v)", "FROM vectors) v WHERE rn * 2 <= n)"), GBT.bins, GBT.rounds,
+    len(X) * GBT.columns // 1000, fold=5)},
+{msql.boost(GBT.rounds, patience=PATIENCE)}
+SELECT DISTINCT r AS round, round(loss, {R}) AS loss, since = 0 AS lowest,
+  r <= (SELECT max(r) FROM st WHERE lvl = 0 AND loss IS NOT NULL AND since = 0) AS kept
+FROM st WHERE lvl = 0 AND loss IS NOT NULL""")
+def q_early_stopping(spark, sf):
+    """Validation loss of every round that was fitted before the patience ran out."""
+    tr, _ = halves(spark, sf)
+    model, losses = md.fit_with_patience(tr, X, "vec_id", "y_true", PATIENCE)
+    rows = [(k + 1, x, x == min(losses[:k + 1]) and x not in losses[:k], k < model.num_trees) for k, x in enumerate(losses)]
+    return rnd(spark.createDataFrame(rows, "round long, loss double, lowest boolean, kept boolean"), ["loss"])
 
 
 @register("q_baselines")
@@ -212,11 +258,14 @@ def q_baselines(spark, sf):
     return md.baseline_table(tr, te, X, "vec_id", "y_true", 0.36)
 
 
-@register("q_importance")
+@register("q_importance", views=("vectors",), sql=f"""{_BOOST},
+gains AS (SELECT f, avg(gain) AS g FROM (SELECT DISTINCT r, lvl, src, f, gain FROM st WHERE f IS NOT NULL) GROUP BY f),
+names AS (SELECT unnest(range({len(X)})) AS f, unnest([{', '.join(repr(c) for c in X)}]) AS feature)
+SELECT feature, round(coalesce(g, 0) / (SELECT sum(g) FROM gains), {R}) AS importance FROM names LEFT JOIN gains USING (f)""")
 def q_importance(spark, sf):
+    """Each column's share of the mean gains per split."""
     tr, _ = halves(spark, sf)
-    tr = md.assemble(tr, X)
-    return md.feature_importance(md.gbt("y_true").fit(tr), X)
+    return rnd(bo.importance(md.fit_trees(tr, X, "vec_id", "y_true"), spark), ["importance"])
 
 
 @register("q_cv")
@@ -226,13 +275,6 @@ def q_cv(spark, sf):
 
 # ---- A8 / M6 exact kNN, B2 SMOTE -------------------------------------------------------------------
 
-VHASH = "md5(CAST(vec_id AS VARCHAR) || '|42')"
-DUCK_VSPLIT = f"""
-vs AS (SELECT v.*, CASE WHEN rn * 2 <= n THEN 'train' ELSE 'test' END AS split FROM (
-  SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY {VHASH}, vec_id) AS rn,
-         count(*) OVER (PARTITION BY y_true) AS n FROM vectors) v)"""
-
-
 def _duck_dist(a: str, b: str) -> str:
     return "sqrt(" + " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in X) + ")"
 

@@ -32,7 +32,7 @@ def train_and_evaluate(spark: SparkSession, features: DataFrame, out_dir: str,
     the normalised columns (raw ones are used when those are missing).
     ``augment`` adds copies of positive train rows up to that ratio of the
     normal ones, ``class_weight`` weighs positive rows by normal / positive,
-    ``patience`` keeps the rounds up to the best one by loss on a hash fold.
+    ``patience`` stops once the loss on a hash fold has not fallen for so many rounds.
     The threshold is chosen on the original train rows.
     """
     cols = available_columns(features, NORM_COLS, FEATURE_COLS)
@@ -41,27 +41,27 @@ def train_and_evaluate(spark: SparkSession, features: DataFrame, out_dir: str,
     counts = augment_counts(tr, 1.0, label_col=label).first()
 
     t0 = time.time()
-    rows = md.assemble(tr if augment is None else augment_positive(tr, augment, id_col=id_col, label_col=label), cols)
+    rows = tr if augment is None else augment_positive(tr, augment, id_col=id_col, label_col=label)
     over = dict(gbt_overrides or {})
+    weight = None
     if class_weight:
-        rows = with_weight(rows, label)
-        over["weightCol"] = "weight"
+        rows, weight = with_weight(rows, label), "weight"
     if patience is None:
-        model = md.gbt(label, **over).fit(rows)
+        model = md.fit_trees(rows, cols, id_col, label, weight=weight, **over)
     else:
-        model, _ = md.fit_with_patience(rows, id_col, label, patience, **over)
+        model, _ = md.fit_with_patience(rows, cols, id_col, label, patience, weight, **over)
     t_train = time.time() - t0
     save_model(model, os.path.join(out_dir, "model"))
 
     if fixed_threshold is None:
-        s_tr = md.score(model, md.assemble(tr, cols), id_col, label)
+        s_tr = md.score(model, tr, id_col, label)
         best = ev.best_threshold(s_tr).first()
         threshold = float(best["threshold"])
     else:
         threshold = float(fixed_threshold)
 
     t0 = time.time()
-    s_te = md.score(model, md.assemble(te, cols), id_col, label).cache()
+    s_te = md.score(model, te, id_col, label).cache()
     n_test = s_te.count()
     bal = balanced_sample(s_te, id_col, "y_true")
     scen = ev.scenario_metrics(s_te, threshold, "imbalanced").unionByName(
@@ -71,7 +71,7 @@ def train_and_evaluate(spark: SparkSession, features: DataFrame, out_dir: str,
     write_metrics(scen, os.path.join(out_dir, "metrics"), threshold=threshold,
                   train_sec=round(t_train, 3), eval_sec=round(t_eval, 3), n_test=n_test,
                   n_train_normal=int(counts["n_normal"]), n_train_attack=int(counts["n_attack"]),
-                  n_augment_needed=int(counts["n_needed"]), n_trees=int(model.getNumTrees))
+                  n_augment_needed=int(counts["n_needed"]), n_trees=model.num_trees)
     s_te.unpersist()
     out = {"threshold": threshold, "scenarios": {r["scenario"]: r.asDict() for r in rows},
            "train_sec": t_train, "eval_sec": t_eval}

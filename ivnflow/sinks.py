@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import boosting
 from .schemas import PACKET_CSV_COLUMNS
 
 
@@ -35,7 +36,10 @@ def write_metrics(scenarios: DataFrame, path: str, **extra) -> None:
 
 
 def save_model(model, path: str) -> None:
-    """Fitted Spark ML model (K4)."""
+    """Fitted model (K4): a Spark ML one, or a tree model as its node table."""
+    if isinstance(model, boosting.TreeModel):
+        boosting.save(model, SparkSession.getActiveSession(), path)
+        return
     model.write().overwrite().save(path)
 
 

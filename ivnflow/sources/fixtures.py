@@ -136,6 +136,8 @@ def with_views(sql: str, *names: str) -> str:
     """Prefix DuckDB SQL with the fixture views it reads as CTEs."""
     ctes = ",\n".join(f"{n} AS (\n{view_sql(n, 'duckdb')}\n)" for n in names)
     body = sql.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

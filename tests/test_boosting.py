@@ -1,31 +1,135 @@
-"""The registered boosted models are fitted with all rounds of the profile."""
+"""Histogram boosting against plain Python, its two ways against each other, models as tables."""
+
+import math
+import random
 
 import pytest
-from pyspark.ml.classification import GBTClassifier
 
+from ivnflow import sinks
+from ivnflow.operators import boosting as bo
 from ivnflow.operators import models as md
-from ivnflow.plans import QUERIES
 from ivnflow.schemas import GBT_PARAMS
+from ivnflow.sources.fixtures import VECTOR_COLS, vectors
 
 from conftest import SF001
 
+COLS = ["a", "b", "c"]
+
+
+def rows(n, seed=1):
+    r = random.Random(seed)
+    out = []
+    for k in range(n):
+        a, b, c = r.choice([r.gauss(0, 1), 0.0, None]), r.randint(0, 4) * 1.0, r.random()
+        out.append((k, a, b, c, int((a or 0) + b > 2 + r.gauss(0, 0.5)), r.choice([1.0, 2.0])))
+    return out
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    return spark.createDataFrame(rows(160), "id long, a double, b double, c double, y int, w double").cache()
+
+
+def brute_tree(x, g, h, use, columns, depth, l2, least, node=0):
+    """One greedy tree over all distinct values, as nested tuples (column, cut, left, right) or a leaf value."""
+    rows_in = [i for i in use]
+    G, H = sum(g[i] for i in rows_in), sum(h[i] for i in rows_in)
+    best = (1e-6, None)
+    if depth:
+        for f in columns:
+            for cut in sorted({x[i][f] for i in rows_in}):
+                gl = sum(g[i] for i in rows_in if x[i][f] <= cut)
+                hl = sum(h[i] for i in rows_in if x[i][f] <= cut)
+                if hl < least or H - hl < least:
+                    continue
+                gain = 0.5 * (gl * gl / (hl + l2) + (G - gl) ** 2 / (H - hl + l2) - G * G / (H + l2))
+                if gain > best[0] + 1e-12:
+                    best = (gain, (f, cut))
+    if best[1] is None:
+        return -G / (H + l2)
+    f, cut = best[1]
+    return (f, cut, *(brute_tree(x, g, h, [i for i in rows_in if (x[i][f] <= cut) == side], columns, depth - 1, l2, least)
+                      for side in (True, False)))
+
+
+def brute_value(tree, v):
+    while isinstance(tree, tuple):
+        tree = tree[2] if v[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_rounds_equal_brute_force(spark, data):
+    n, rounds = 160, 6
+    p = bo.Profile(rounds=rounds, eta=0.3, depth=3, bins=256)
+    model = bo.fit(data, "id", COLS, "y", p, weight="w")
+    got = {r["id"]: r["y_prob"] for r in bo.score(model, data, "id", "y").collect()}
+    raw = rows(n)
+    x = [[v or 0.0 for v in r[1:4]] for r in raw]
+    margin = [0.0] * n
+    for _ in range(rounds):
+        prob = [1 / (1 + math.exp(-m)) for m in margin]
+        g = [math.floor((q - r[4]) * r[5] * bo.SCALE + 0.5) / bo.SCALE for q, r in zip(prob, raw)]
+        h = [math.floor(q * (1 - q) * r[5] * bo.SCALE + 0.5) / bo.SCALE for q, r in zip(prob, raw)]
+        tree = brute_tree(x, g, h, range(n), range(3), p.depth, p.l2, p.min_child_weight)
+        margin = [m + p.eta * brute_value(tree, v) for m, v in zip(margin, x)]
+    assert all(abs(got[k] - 1 / (1 + math.exp(-m))) < 1e-9 for k, m in enumerate(margin))
+
+
+@pytest.mark.parametrize("p", [
+    bo.Profile(rounds=4, depth=3, rows=700, columns=700, bins=16),
+    bo.Profile(rounds=2, depth=20, max_leaves=6, l2=0.0, min_child_weight=1e-3, bins=32),
+    bo.Profile(rounds=2, depth=4, kind="forest", bootstrap=True, node_columns=1)])
+def test_jobs_and_task_give_the_same_trees(data, p, monkeypatch):
+    monkeypatch.setattr(bo, "STATE_ROUNDS", 2)
+    one = bo.fit(data, "id", COLS, "y", p, weight="w")
+    many = bo.fit(data.repartition(3), "id", COLS, "y", p, weight="w", task_rows=0)
+    assert one.cuts == many.cuts and one.trees == many.trees
+    if p.max_leaves:
+        assert all(sum(n[1] < 0 for n in t) <= p.max_leaves for t in one.trees)
+
+
+def test_leaf_wise_growth_takes_the_largest_gains():
+    g = bo.Grower(bo.Profile(depth=9, max_leaves=3))
+    g.add([(9.0, 0, 0, 1.0, 2.0, 3.0, 9.0)])
+    g.add([(1.0, 0, 0, 1.0, 1.0, 1.0, 2.0), (5.0, 1, 0, 1.0, 1.0, 2.0, 7.0)])
+    while g.open:
+        g.add([(0.0, -1, 0, 0.0, 0.0, 1.0, 2.0)] * len(g.open))
+    tree = g.tree()
+    assert [n[1] for n in tree] == [0, -1, 1, -1, -1] and [n[5] for n in tree if n[1] < 0].count(0.0) == 0
+
+
+def test_patience_stops_early_by_jobs_too(data):
+    p = bo.Profile(rounds=40, eta=1.0, depth=4, bins=16)
+    d = data.withColumn("v", data.id % 4 == 0)
+    one = bo.fit(d, "id", COLS, "y", p, valid="v", patience=2)
+    many = bo.fit(d.repartition(2), "id", COLS, "y", p, valid="v", patience=2, task_rows=0)
+    assert one.trees == many.trees and len(one.losses) == len(many.losses) < 40
+    assert one.num_trees == one.losses.index(min(one.losses)) + 1
 
-class Fitted(Exception):
-    pass
 
+def test_saved_model_and_node_table_give_the_same_scores(spark, data, tmp_path):
+    for p in (bo.Profile(rounds=5, depth=3), bo.Profile(rounds=3, depth=5, kind="forest")):
+        model = bo.fit(data, "id", COLS, "y", p)
+        want = sorted(map(tuple, bo.score(model, data, "id", "y").collect()))
+        sinks.save_model(model, str(tmp_path / p.kind))
+        assert sorted(map(tuple, bo.score(bo.load(spark, str(tmp_path / p.kind)), data, "id", "y").collect())) == want
+        steps = sorted(map(tuple, bo.score_sql(model.nodes(spark), data, COLS, "id", "y", p.kind).collect()))
+        assert [r[:2] for r in steps] == [r[:2] for r in want]
+        assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(steps, want))
 
-@pytest.mark.parametrize("name", ["q_gbt_scores", "q_importance"])
-def test_all_rounds(spark, monkeypatch, name):
-    def fit(self, *args):
-        raise Fitted(self.getMaxIter())
 
-    monkeypatch.setattr(GBTClassifier, "fit", fit)
-    with pytest.raises(Fitted) as e:
-        QUERIES[name](spark, SF001)
-    assert e.value.args == (GBT_PARAMS["maxIter"],)
+def test_degenerate_tables(spark):
+    same = spark.createDataFrame([(k, 1.0, None, float("nan"), k % 2) for k in range(6)], "id long, a double, b double, c double, y int")
+    model = bo.fit(same, "id", COLS, "y", bo.Profile(rounds=3))
+    assert all(len(t) == 1 for t in model.trees)
+    assert {r["y_prob"] for r in bo.score(model, same, "id", "y").collect()} == {0.5}
+    with pytest.raises(ValueError, match="no rows"):
+        bo.fit(same.limit(0), "id", COLS, "y")
 
 
-def test_all_rounds_of_baselines(spark, monkeypatch):
-    monkeypatch.setattr(md, "baseline_table", lambda tr, te, cols, id_col, label, t, **over: md.baseline_estimators(label, **over))
-    ests = QUERIES["q_baselines"](spark, SF001)
-    assert [ests[k].getMaxIter() for k in ("GBT", "GBT2")] == [GBT_PARAMS["maxIter"]] * 2
+def test_the_profiles_fit_all_rounds(spark):
+    v = vectors(spark, SF001)
+    model = md.fit_trees(v, VECTOR_COLS[:8], "vec_id", "y_true")
+    assert model.num_trees == GBT_PARAMS["rounds"] == 1000
+    table = md.baseline_table(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), VECTOR_COLS[:8], "vec_id", "y_true", rounds=5)
+    assert [r["model"] for r in table.collect()] == ["GBT", "RF", "DT", "LR", "GBT2", "KNN", "NB"]

@@ -89,12 +89,9 @@ def test_capture_stream(spark, tmp_path):
 
 def test_early_stopping_learning_curve_grid(spark):
     v = vectors(spark, SF001)
-    tr = md.assemble(v, VECTOR_COLS[:6])
-    assert md.gbt("y_true", maxIter=12, maxDepth=2).fit(tr).getNumTrees == 12  # every round asked for
-    m, losses = md.fit_with_patience(tr, "vec_id", "y_true", patience=3, maxIter=12, maxDepth=2, stepSize=1.0)
-    assert len(losses) == 12 and m.getNumTrees == md.best_rounds(losses, 3)
-    assert md.best_rounds([0.9, 0.5, 0.6, 0.4, 0.7, 0.8, 0.1], 2) == 4
-    assert md.best_rounds([0.9, 0.5, 0.6, 0.7, 0.1], 2) == 2 and md.best_rounds([0.3, 0.2, 0.1], 1) == 3
+    assert md.fit_trees(v, VECTOR_COLS[:6], "vec_id", "y_true", rounds=12, depth=2).num_trees == 12  # every round asked for
+    m, losses = md.fit_with_patience(v, VECTOR_COLS[:6], "vec_id", "y_true", patience=3, rounds=60, depth=4, eta=1.0)
+    assert len(losses) < 60 and m.num_trees == losses.index(min(losses)) + 1 == len(losses) - 3
     tr_, te_ = v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1")
     lc = md.learning_curve(tr_, te_, VECTOR_COLS, "vec_id", "y_true", fractions=[0.3, 0.6, 1.0]).collect()
     assert [r.fraction for r in lc] == [0.3, 0.6, 1.0] and lc[0].n_train <= lc[-1].n_train
@@ -127,7 +124,7 @@ def test_train_and_evaluate(spark, tmp_path):
     from ivnflow.plans.flagship import flagship
     from ivnflow.plans.training import train_and_evaluate
     feats = flagship(spark, SF001, materialize=True)
-    out = train_and_evaluate(spark, feats, str(tmp_path / "run"), gbt_overrides={"maxIter": 20})
+    out = train_and_evaluate(spark, feats, str(tmp_path / "run"), gbt_overrides={"rounds": 20})
     assert 0.0 < out["threshold"] < 1.0
     assert set(out["scenarios"]) == {"imbalanced", "balanced"}
     for m in out["scenarios"].values():
@@ -136,7 +133,7 @@ def test_train_and_evaluate(spark, tmp_path):
            for line in open(tmp_path / "run" / "metrics" / f)]
     assert doc[0]["threshold"] == out["threshold"] and "balanced" in doc[0]["scenarios"]
     assert doc[0]["n_trees"] == 20
-    grown = train_and_evaluate(spark, feats, str(tmp_path / "run2"), gbt_overrides={"maxIter": 3},
+    grown = train_and_evaluate(spark, feats, str(tmp_path / "run2"), gbt_overrides={"rounds": 3},
                                augment=2.0, class_weight=True)
     assert 0.0 < grown["threshold"] < 1.0
 
