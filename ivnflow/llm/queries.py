@@ -9,6 +9,7 @@ from .host_rules import OP1_SQL, op1_host_rules
 from .importance_resampling import OP12_SQL, op12_radix_resampling
 from .language_evidence import op6_language_evidence
 from .nnls_packing import op8_nnls_packing
+from .pii_boosting import op13_pii_boosting
 from .secret_ownership import OP3_SQL, op3_secret_ownership
 from .simhash_bktree import op5_simhash_bktree
 from .slot_sharding import op7_slot_sharding
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_viterbi_repair": op11_viterbi_repair,
     "op12_radix_resampling": op12_radix_resampling,
+    "op13_pii_boosting": op13_pii_boosting,
 }
 
 ORACLES = {
