@@ -420,6 +420,47 @@ def stop(losses: list[float], patience: int | None) -> bool:
     return patience is not None and bool(losses) and len(losses) - 1 - losses.index(min(losses)) >= patience
 
 
+def grow_all(key, y, w, valid, bins, p: Profile, patience: int | None = None):
+    """(trees, losses) of all rounds over arrays."""
+    import numpy as np
+
+    width, margin = bins.shape[1], np.zeros(len(y))
+    trees, losses = [], []
+    for r in range(p.rounds):
+        g, h, use = round_sums(margin, y, w, key, r, p)
+        use = use & ~valid
+        columns, grower = tree_columns(width, r, p.columns, p.seed), Grower(p)
+        leaf = np.zeros(len(y), np.int64)
+        while grower.open:
+            grower.add(best_splits(histogram(bins, leaf, g, h, use, len(grower.open), columns, p.bins), columns, p,
+                                   grower.open_paths(), r))
+            if grower.open:
+                slot = np.full(grower.next_id, -1)
+                slot[grower.open] = np.arange(len(grower.open))
+                leaf = slot[Packed(_growing(grower)).descend(bins)]
+        trees.append(grower.tree())
+        margin = margin + Packed(trees[-1]).values(bins)
+        if valid.any():
+            losses.append(log_loss_sum(margin[valid], y[valid], w[valid]) / float(w[valid].sum()))
+            if stop(losses, patience):
+                break
+    return trees, losses
+
+
+def fit_sample(x: list[list[float]], y: list[int], cols: list[str], profile: Profile) -> TreeModel:
+    """The same fit on a small sample that the caller holds (keys are row numbers)."""
+    import numpy as np
+
+    m, n = np.array(x, float).reshape(len(y), len(cols)), len(y)
+    cuts = []
+    for k in range(len(cols)):
+        v = np.sort(m[:, k])
+        cuts.append(sorted({float(v[-(-q * n // profile.bins) - 1]) for q in range(1, profile.bins)}))
+    bins = np.stack([np.searchsorted(c, m[:, k], "left") for k, c in enumerate(cuts)], axis=1).astype(np.uint8)
+    trees, _ = grow_all(np.arange(n), np.array(y, float), np.ones(n), np.zeros(n, bool), bins, profile)
+    return TreeModel(list(cols), cuts, profile, trees)
+
+
 def _fit_in_task(table: DataFrame, width: int, p: Profile, patience: int | None):
     """All rounds over one partition of at most ``task_rows`` rows."""
     ship_package(table.sparkSession)
@@ -430,27 +471,8 @@ def _fit_in_task(table: DataFrame, width: int, p: Profile, patience: int | None)
 
         parts = [_arrays(b, width) for b in batches]
         key, y, w, valid, bins = (np.concatenate([q[k] for q in parts]) for k in range(5))
-        margin = np.zeros(len(y))
-        out, losses = [], []
-        for r in range(p.rounds):
-            g, h, use = round_sums(margin, y, w, key, r, p)
-            use = use & ~valid
-            columns, grower = tree_columns(width, r, p.columns, p.seed), Grower(p)
-            leaf = np.zeros(len(y), np.int64)
-            while grower.open:
-                grower.add(best_splits(histogram(bins, leaf, g, h, use, len(grower.open), columns, p.bins), columns, p,
-                                       grower.open_paths(), r))
-                if grower.open:
-                    slot = np.full(grower.next_id, -1)
-                    slot[grower.open] = np.arange(len(grower.open))
-                    leaf = slot[Packed(_growing(grower)).descend(bins)]
-            tree = grower.tree()
-            out += [(r, *n) for n in tree]
-            margin = margin + Packed(tree).values(bins)
-            if valid.any():
-                losses.append(log_loss_sum(margin[valid], y[valid], w[valid]) / float(w[valid].sum()))
-                if stop(losses, patience):
-                    break
+        trees, losses = grow_all(key, y, w, valid, bins, p, patience)
+        out = [(r, *n) for r, tree in enumerate(trees) for n in tree]
         for r, x in enumerate(losses):
             out.append((-1 - r, -1, -1, 0, -1, -1, x, 0.0, 0.0))
         kinds = [pa.int32()] * 6 + [pa.float64()] * 3

@@ -57,7 +57,7 @@ def boost(rounds: int, depth: int = 6, eta: float = 0.05, l2: float = 1.0, weigh
    CASE WHEN loss < coalesce(best, 1e300) THEN 0 WHEN loss IS NOT NULL THEN since + 1 ELSE since END
  FROM (SELECT *, {loss if patience else 'NULL::DOUBLE'} AS loss FROM (
   SELECT *, NOT bool_or(open) OVER () OR lvl + 1 >= {depth} AS fin FROM (
-   SELECT t.vec_id, t.r, t.lvl, t.margin, t.best, t.since, z.y, z.valid, t.node + 1000000000 * t.lvl AS src, q.s.f AS f, q.s.gain AS gain,
+   SELECT t.vec_id, t.r, t.lvl, t.margin, t.best, t.since, z.y, z.valid, t.node + 1000000000 * t.lvl::BIGINT AS src, q.s.f AS f, q.s.gain AS gain,
     CASE WHEN q.s.f IS NULL THEN t.node WHEN z.{goes_left} THEN 2 * t.node + 1 ELSE 2 * t.node + 2 END AS node,
     t.open AND q.s.f IS NOT NULL AS open,
     CASE WHEN NOT t.open THEN t.val WHEN q.s.f IS NULL THEN coalesce(q.v0, 0.0) WHEN z.{goes_left} THEN q.s.vl ELSE q.s.vr END AS val
@@ -110,26 +110,26 @@ def forest(trees: int, depth: int, node_columns: int | None, bootstrap: bool) ->
  WHERE t.open)"""
 
 
-def logistic(cols: list[str], split_cte: str, steps: int = 400, l2: float = 1.0) -> str:
-    """CTEs whose last, lr, has the coefficients after ``steps`` steps of scaled gradient
-    descent on the L2-penalised loss (free intercept, columns centred to part the two)."""
+def logistic(cols: list[str], split_cte: str, steps: int = 600, l2: float = 1.0) -> str:
+    """CTEs whose last, lr, has the coefficients after ``steps`` accelerated, scaled gradient
+    steps on the L2-penalised loss (free intercept, columns centred to part the two)."""
     xs, d = ", ".join(cols), len(cols)
     return f"""{split_cte.strip()},
 x0 AS (SELECT vec_id, y_true AS y, split, [{xs}] AS x FROM vs),
 mu AS MATERIALIZED (SELECT list(m ORDER BY f) AS m FROM (SELECT f, avg(v) AS m FROM (SELECT unnest(range({d})) AS f, unnest(x) AS v
        FROM x0 WHERE split = 'train') GROUP BY f)),
 xc AS MATERIALIZED (SELECT vec_id, y, split, list_transform(range(1, {d + 1}), lambda i: x0.x[i] - mu.m[i]) AS x FROM x0, mu),
-sz AS MATERIALIZED (SELECT count(*) AS n, 1 / ({l2} + 0.25 * max(tr)) AS a FROM xc,
-       (SELECT sum(list_dot_product(x, x)) AS tr FROM xc WHERE split = 'train') WHERE split = 'train'),
+sz AS MATERIALIZED (SELECT *, (1 - sqrt({l2} * a)) / (1 + sqrt({l2} * a)) AS beta FROM (SELECT count(*) AS n, 1 / ({l2} + 0.25 * max(tr)) AS a FROM xc,
+       (SELECT sum(list_dot_product(x, x)) AS tr FROM xc WHERE split = 'train') WHERE split = 'train')),
 lr AS (
  SELECT 0 AS k, list_transform(range({d}), lambda i: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b,
    list_transform(range({d}), lambda i: 0.0::DOUBLE) AS pw, 0.0::DOUBLE AS pb
  UNION ALL
  SELECT k + 1, list_transform(range(1, {d + 1}), lambda i: zw[i] - sz.a * (g.gw[i] + {l2} * zw[i])), zb - 4.0 / sz.n * g.gb, w, b
- FROM (SELECT *, list_transform(range(1, {d + 1}), lambda i: w[i] + (k / (k + 3.0)) * (w[i] - pw[i])) AS zw, b + (k / (k + 3.0)) * (b - pb) AS zb FROM lr) z,
+ FROM (SELECT lr.*, list_transform(range(1, {d + 1}), lambda i: w[i] + beta * (w[i] - pw[i])) AS zw, b + beta * (b - pb) AS zb FROM lr, sz) z,
    sz, (SELECT list(s ORDER BY f) AS gw, any_value(sb) AS gb FROM (
      SELECT f, sum(e * v) AS s, sum(e) AS sb FROM (
        SELECT unnest(range({d})) AS f, unnest(xc.x) AS v, 1 / (1 + exp(-(list_dot_product(xc.x, q.zw) + q.zb))) - y AS e
-       FROM xc, (SELECT list_transform(range(1, {d + 1}), lambda i: w[i] + (k / (k + 3.0)) * (w[i] - pw[i])) AS zw,
-         b + (k / (k + 3.0)) * (b - pb) AS zb FROM lr) q WHERE split = 'train') GROUP BY f)) g
+       FROM xc, (SELECT list_transform(range(1, {d + 1}), lambda i: w[i] + beta * (w[i] - pw[i])) AS zw,
+         b + beta * (b - pb) AS zb FROM lr, sz) q WHERE split = 'train') GROUP BY f)) g
  WHERE k < {steps})"""

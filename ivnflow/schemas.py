@@ -157,4 +157,4 @@ THRESHOLD_LIST = [0.30, 0.32, 0.34, 0.36, 0.38, 0.40, 0.42, 0.43, 0.45, 0.50]
 # weight thresholds, seed) and of its leaf-wise second one.
 GBT_PARAMS = dict(rounds=1000, eta=0.05, depth=6, rows=800, columns=800, l2=1.0, min_gain=0.0,
                   min_child_weight=1.0, seed=42)
-GBT2_PARAMS = dict(rounds=1000, eta=0.05, depth=30, max_leaves=31, l2=0.0, min_child_weight=1e-3, bins=255, seed=42)
+GBT2_PARAMS = dict(rounds=1000, eta=0.05, depth=30, max_leaves=31, l2=0.0, min_child_weight=1e-3, seed=42)
