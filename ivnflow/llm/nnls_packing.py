@@ -36,7 +36,7 @@ class WordTokenizer:
     """A ``tokenizers`` file applied to white-space-separated pieces, which its
     rules never join, with a bounded memory of pieces."""
 
-    def __init__(self, path: str, memo_words: int = 1_000_000):
+    def __init__(self, path: str, memo_words: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -78,6 +78,16 @@ class WordTokenizer:
         return ids, np.diff(edges)
 
 
+#: One tokenizer and memory per file in each Python worker, kept from task to task.
+_KEPT: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    if path not in _KEPT:
+        _KEPT[path] = WordTokenizer(path)
+    return _KEPT[path]
+
+
 def powers(n: int) -> list[int]:
     """Powers of two that add up to ``n``, largest first."""
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -96,9 +106,10 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int
         import numpy as np
         import pyarrow as pa
 
-        tok = None
+        from ivnflow.llm.nnls_packing import worker_tokenizer
+
         for b in batches:
-            tok = tok or WordTokenizer(tokenizer_file)
+            tok = worker_tokenizer(tokenizer_file)
             at = 0
             for texts in text_slices(b.column(1)):
                 ids, per = tok.encode(texts)
