@@ -7,7 +7,7 @@ updates (the merged position, its live left neighbour, and the position
 that dies), each in logarithmic time. Matches of equal tree size are merged
 side by side, one numpy row per match.
 
-Each Python worker keeps the ids of matches it has met, up to
+Each task keeps the ids of matches it has met, up to
 ``memo_words``; then the memory is emptied and built anew, which changes
 the time and never the ids. Texts are worked through in slices of about
 ``SLICE_CHARS``, so memory does not follow a batch's size.

@@ -114,14 +114,26 @@ def page_captures(pages: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def event_edits(pages: DataFrame, events: DataFrame) -> DataFrame:
-    """List edits from ``events``: a user maintains the sites whose hash names the
-    user; event types are additions to and removals from the two lists, errors
-    block the site's blog."""
+    """List edits from ``events``, one per event: the distinct sites are numbered and a
+    user maintains the site whose number is the user's id modulo their count. Event
+    types are additions to and removals from the two lists, errors block the site's
+    blog; events without a user are no edits. Sites are numbered range by range, so no
+    task sorts them all."""
     site = F.nullif(F.regexp_extract(host_of(F.col("url")), r"([^.]+\.[^.]+\.[^.]+)$", 1), F.lit(""))
-    sites = pages.select(site.alias("site")).where("site is not null").distinct().withColumn(
-        "user_id", F.conv(F.substring(F.md5("site"), 1, 6), 16, 10).cast("long") % 150)
+    sites = materialise(
+        pages.select(site.alias("site")).where("site is not null").distinct().repartitionByRange("site").sortWithinPartitions("site")
+        .withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "url-sites")
+    # a row per partition
+    parts = sites.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = sites.join(F.broadcast(parts.select("part", "first", before.alias("before"))), "part").select(
+        "site", (F.col("row") - F.col("first") + F.col("before")).alias("number"))
     kind = F.col("event_type")
-    return events.join(sites, "user_id").select(
+    count = F.broadcast(sites.agg(F.count("*").alias("count")))
+    users = events.select("user_id").distinct().crossJoin(count).where("count > 0").select(
+        "user_id", F.pmod(F.col("user_id"), F.col("count")).alias("number"))
+    mine = users.join(numbered, "number").select("user_id", "site")
+    return events.join(mine, "user_id").select(
         F.when(kind.isin("signup", "click", "error"), "block").otherwise("allow").alias("list"),
         F.when(kind == "error", F.concat(F.lit("blog."), F.col("site"))).otherwise(F.col("site")).alias("pattern"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("edit_id"),
@@ -139,12 +151,13 @@ with c as (
     t0 + (page_id * 7919) % (t1 - t0 + 1) as fetched_at
   from pages, (select epoch_us(min(ts)) // 1000000 as t0, epoch_us(max(ts)) // 1000000 as t1 from events)
 ), s as (
-  select distinct nullif(regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1), '') as site from c
+  select site, row_number() over (order by site) - 1 as number, count(*) over () as sites
+  from (select distinct nullif(regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1), '') as site from c) where site is not null
 ), e as (
   select case when event_type in ('signup', 'click', 'error') then 'block' else 'allow' end as list,
     case when event_type = 'error' then 'blog.' || site else site end as pattern, epoch_us(ts) // 1000000 as at_s, event_id,
     event_type in ('signup', 'purchase', 'error') as adds
-  from events join s on user_id = ('0x' || substr(md5(site), 1, 6))::bigint % 150 where site is not null
+  from events join s on number = user_id % sites
 ), v as (
   select list, pattern, adds, at_s as valid_from, lead(at_s) over (partition by list, pattern order by at_s, event_id) as valid_to from e
 ), m as (

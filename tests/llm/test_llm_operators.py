@@ -237,6 +237,15 @@ def test_packing_empty(empty):
     assert pack_documents(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_every_event_is_an_edit(spark, sf):
+    from ivnflow.llm.url_lists import event_edits
+    pages, events = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("pages", "events"))
+    edits = event_edits(pages, events)
+    assert edits.count() == events.count() == edits.select("edit_id").distinct().count()
+    assert event_edits(pages.limit(0), events).count() == 0
+
+
 def test_url_lists(spark):
     from ivnflow.llm.url_lists import filter_urls
     urls = ["http://a.bad.org/x", "https://u:p@BAD.org:80/", "http://ok.net", None, "nonsense", "http://sub.ok.net/q?z=http://bad.org/"]
