@@ -20,6 +20,7 @@ closing id; repeated rows are packed one by one; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,7 +37,7 @@ class WordTokenizer:
     """A ``tokenizers`` file applied to white-space-separated pieces, which its
     rules never join, with a bounded memory of pieces."""
 
-    def __init__(self, path: str, memo_words: int = 300_000):
+    def __init__(self, path: str, memo_words: int = 800_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,9 +49,17 @@ class WordTokenizer:
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.lower = tokenizer.normalizer is not None and "lowercase" in str(tokenizer.normalizer).lower() \
             and all("|>" in t for t in special)
+        # a full stop or comma after a letter is a piece of its own where the rules part the two anyway
+        ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+        self.parts = ids("ab, cd.\nef.") == ids("ab , cd .\nef .")
+        self.apart = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)").sub
         self.memo_words = memo_words
         self.memo = Memo()
 
+    def pieces(self, text: str) -> list[str]:
+        text = self.folded(text)
+        return (self.apart(r" \1", text) if self.parts else text).replace("\n", " ").split(" ")
+
     def folded(self, text: str) -> str:
         """The text in lower case where the tokenizer, which composes and then folds
         each character by itself, gives the same ids for it: more pieces are alike."""
@@ -64,7 +73,7 @@ class WordTokenizer:
 
         if len(self.memo.codes) > self.memo_words:
             self.memo = Memo()
-        codes = [self.memo.look(self.folded(t).replace("\n", " ").split(" ")) for t in texts]
+        codes = [self.memo.look(self.pieces(t)) for t in texts]
         fresh = self.memo.fresh
         if fresh:
             parts = []
