@@ -8,6 +8,7 @@ aggregate joined back as a broadcast.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..operators.flows import flow_features
 from ..operators.payload import benign_sample, fit_byte_model, model_vector
 from ..operators.prepare import minmax_apply, minmax_fit, stratified_split
 from ..schemas import FEATURE_COLS
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from ..sources.fixtures import packets
 
 
@@ -63,12 +64,16 @@ def capture_feature_sets(spark: SparkSession, capture_dir: str, out_dir: str,
     """
     from ..schemas import FLOW_KEY
     from ..sinks import write_packets
-    from ..sources.capture import capture_errors, capture_paths, read_frames, read_packets
+    from ..sources.capture import FRAME_SCHEMA, capture_errors, capture_paths, decode_frames, read_frames
 
+    # captures are framed once: packets and errors both read the written frames
+    frames_at = scratch_path(spark, f"frames-{uuid.uuid4().hex}")
+    read_frames(capture_paths(spark, capture_dir)).write.parquet(frames_at)
+    frames = spark.read.schema(FRAME_SCHEMA).parquet(frames_at)
     pk_path = os.path.join(out_dir, "packets")
-    write_packets(read_packets(spark, capture_dir), pk_path)
+    write_packets(decode_frames(frames), pk_path)
     errors = os.path.join(out_dir, "capture_errors")
-    capture_errors(read_frames(capture_paths(spark, capture_dir))).write.mode("overwrite").parquet(errors)
+    capture_errors(frames).write.mode("overwrite").parquet(errors)
     pk = spark.read.parquet(pk_path).withColumnRenamed("label", "label_str")
     flow = FLOW_KEY + (["pcap_file"] if flow_scope == "capture" else [])
     vec = cut_lineage(model_vector(fit_byte_model(benign_sample(pk, order_col="order_key"))))

@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.bytes import float32_at
+from ..functions.bytes import be_uint, float32_at
 from ..functions.someip import msg_type_name, payload_prefix_hex, someip_header, someip_payload_len
 from ..operators.flows import layered_features
 from ..operators.payload import benign_sample, fit_byte_model, model_vector
 from ..schemas import FEATURE_COLS, LAYERED_FEATURE_COLS, MSG_TYPE_NAMES
 from ..session import scratch_path
-from ..sources.capture import decode_frames
+from ..sources.capture import capture_paths, decode_frames, read_frames
 from ..sources.fixtures import packets, table
 from .catalog import register
 from .q_features import FLOW_FEATURES_SQL, features, rounded
@@ -99,7 +99,7 @@ def encoded_frames(li):
     eth = F.concat(F.lit("020202020202040404040404"), F.when(line % 2 == 0, "81000005").otherwise(""), F.lit("0800"))
     return li.select(
         F.when(line < 4, "benign_traffic.pcap").otherwise("other.pcap").alias("pcap_file"),
-        (order * 8 + line).alias("pkt_no"), F.lit(0.0).alias("ts"),
+        (order * 8 + line).alias("pkt_no"), (supp * 4294967296 + part).alias("tie"), F.lit(0.0).alias("ts"),
         F.unhex(F.concat(eth, ip, l4, F.lit("000000000000"))).alias("frame"),
         F.lit(None).cast("int").alias("orig_len"), F.lit(None).cast("string").alias("error"))
 
@@ -133,6 +133,53 @@ def q_frame_decode(spark, sf):
     return decode_frames(encoded_frames(table(spark, sf, "lineitem"))).select(*FRAME_FIELDS)
 
 
+def write_captures(frames, path):
+    """Classic captures under ``path``, one per ``pcap_file``: a task streams a file's frames
+    (ordered by ``pkt_no`` and ``tie``) into it."""
+    def run(batches):
+        import os
+        import struct
+
+        import pyarrow as pa
+
+        out, name = None, None
+        for b in batches:
+            for file, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if file != name:
+                    if out:
+                        out.close()
+                    os.makedirs(path, exist_ok=True)
+                    out, name = open(os.path.join(path, file), "wb"), file
+                    out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+                out.write(struct.pack("<IIII", 1700000000, 0, len(frame), len(frame)) + frame)
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], names=["pcap_file"])
+
+    frames.select("pcap_file", "frame", "pkt_no", "tie").repartition("pcap_file").sortWithinPartitions("pcap_file", "pkt_no", "tie") \
+        .select("pcap_file", "frame").mapInArrow(run, "pcap_file string").write.format("noop").mode("overwrite").save()
+
+
+@register("q_capture_ranges", sql="""
+SELECT CASE WHEN l_linenumber < 4 THEN 'benign_traffic.pcap' ELSE 'other.pcap' END AS pcap_file,
+  row_number() OVER (PARTITION BY l_linenumber < 4 ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey) - 1 AS pkt_no,
+  CAST(l_orderkey % 65536 AS INTEGER) AS ip_id, '172.30.' || (l_suppkey % 256) || '.' || l_linenumber AS src_ip
+FROM lineitem""")
+def q_capture_ranges(spark, sf):
+    """Two captures encoded from lineitem, each framed by sixteen byte ranges or more (S1):
+    record numbers, and two header fields of every frame."""
+    path = scratch_path(spark, f"captures-{uuid.uuid4().hex}")
+    write_captures(encoded_frames(table(spark, sf, "lineitem")), path)
+    paths = capture_paths(spark, path)
+    smallest = paths.agg(F.min("size").alias("size")).first()["size"]
+    f = read_frames(paths, max(smallest // 16, 1))
+    l3 = F.when(be_uint("frame", 12, 2) == 0x8100, 18).otherwise(14)
+    byte = lambda k: F.conv(F.hex(F.substr("frame", l3 + k + 1, F.lit(1))), 16, 10)
+    return f.where("error is null").select(
+        "pcap_file", "pkt_no", F.conv(F.hex(F.substr("frame", l3 + 5, F.lit(2))), 16, 10).cast("int").alias("ip_id"),
+        F.concat_ws(".", *(byte(k) for k in range(12, 16))).alias("src_ip"))
+
+
 @register("q_msg_type_name", sql=f"""
 SELECT code AS msg_type, {_msg_name_sql('code')} AS msg_type_name, count(*) AS n FROM (
   SELECT CAST((l_orderkey * 7 + l_linenumber) % 256 AS INTEGER) AS code FROM lineitem) GROUP BY code""")

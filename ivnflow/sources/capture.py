@@ -1,8 +1,8 @@
 """Capture files -> packet table.
 
-Only record framing runs in Python: one task per capture file streams its
-records through ``mapInArrow`` in bounded batches (a capture is never held
-in memory whole). Every protocol layer is then decoded with Catalyst
+Only record framing runs in Python: one task per byte range of a capture file
+(``ranges``) streams its records through ``mapInArrow`` in bounded batches (a
+capture is never held in memory whole). Every protocol layer is then decoded with Catalyst
 expressions over the binary frame; with fewer files than task slots the
 frames are spread round-robin first so the decode runs in parallel.
 """
@@ -105,11 +105,21 @@ def _frames_of(path: str) -> Iterator[tuple]:
             n += 1
 
 
-def _ng_frames(f) -> Iterator[tuple]:
+def _ng_frames(f, n: int = 0, begin: int | None = None, stop: int | None = None, known: list[bytes] = ()) -> Iterator[tuple]:
     """Records of a pcapng capture whose first four bytes are read. Simple packet
-    blocks have no time of their own (null)."""
-    order, links, n, refused = "<", [], 0, set()
+    blocks have no time of their own (null). With ``begin`` only the blocks that
+    begin from there to ``stop``, under the section and interface blocks before
+    them (``known``), numbered from ``n``."""
+    order, links, refused = "<", [], set()
     kind = NG_MAGIC
+    for block in known:
+        if block[:4] == NG_MAGIC:
+            order, links = ("<" if block[8:12] == b"\x4d\x3c\x2b\x1a" else ">"), []
+        else:
+            links.append((struct.unpack(order + "H", block[8:10])[0], _ng_resolution(order, block[16:-4])))
+    if begin is not None:
+        f.seek(begin)
+        kind = f.read(4)
     while kind:
         head = f.read(8 if kind == NG_MAGIC else 4)
         if len(kind) < 4 or len(head) < 4:
@@ -137,6 +147,8 @@ def _ng_frames(f) -> Iterator[tuple]:
                 refused.add(link)
                 yield (n, None, None, None, f"link type {link}")
             n += 1
+        if stop is not None and f.tell() >= stop:
+            return
         kind = f.read(4)
 
 
@@ -175,28 +187,33 @@ def capture_paths(spark: SparkSession, directory: str, names: list[str] | None =
     file order: the expected names first, then any others by path (labelled
     unknown downstream). With ``names`` only those are taken.
 
-    Files are listed by Spark's ``binaryFile`` source with only ``path``
-    selected (contents are not read), so any filesystem the cluster can
+    Files are listed by Spark's ``binaryFile`` source with only ``path`` and
+    ``length`` selected (contents are not read), so any filesystem the cluster can
     read works; the expected names are a small fixed dimension.
     """
     only = names is not None
     names = names or [n for n, _ in PCAP_LABELS]
     dim = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, file_no int")
-    listed = spark.read.format("binaryFile").load(directory).select("path") \
+    listed = spark.read.format("binaryFile").load(directory).select("path", F.col("length").alias("size")) \
         .withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
     known = listed.join(F.broadcast(dim), "name", "inner" if only else "left")
     # a listing of files, not of rows
     other = F.row_number().over(Window.partitionBy(F.col("file_no").isNull()).orderBy("path")) + len(names)
-    return known.select("path", F.coalesce("file_no", other - 1).alias("file_no"))
+    return known.select("path", F.coalesce("file_no", other - 1).alias("file_no"), "size")
 
 
-def read_frames(paths: DataFrame) -> DataFrame:
-    """Frames of every capture, one task per file.
+def read_frames(paths: DataFrame, range_bytes: int | None = None) -> DataFrame:
+    """Frames of every capture (S1). With a ``size`` column (``capture_paths``) a file
+    is read by one task per ``range_bytes``; without it by one task per file.
 
-    Files are range-partitioned on their number (hashing paths could put
-    two captures into one task).
+    Tasks are range-partitioned on file and range number (hashing paths could
+    put two captures into one task).
     """
     from ..session import ship_package
+    from .ranges import RANGE_BYTES, read_ranges
+
+    if "size" in paths.columns:
+        return read_ranges(paths, range_bytes or RANGE_BYTES)
     ship_package(paths.sparkSession)
     n = max(paths.count(), 1)
     key = "file_no" if "file_no" in paths.columns else "path"
@@ -277,8 +294,8 @@ def decode_frames(frames: DataFrame, labels: DataFrame | None = None) -> DataFra
 def read_packets(spark: SparkSession, directory: str, spread: int | None = None) -> DataFrame:
     """Packet table of the captures in ``directory``.
 
-    Framing is one task per file; when there are fewer files than task
-    slots the frames are spread round-robin (``spread`` partitions) so the
+    Framing is one task per byte range of a file; when there are fewer files than
+    task slots the frames are spread round-robin (``spread`` partitions) so the
     column decode runs in parallel instead of inside each file's task.
     """
     paths = capture_paths(spark, directory)
@@ -292,8 +309,10 @@ def read_packets(spark: SparkSession, directory: str, spread: int | None = None)
 
 
 def capture_errors(frames: DataFrame) -> DataFrame:
-    """Captures that end early or cannot be read: file, record number, reason."""
-    return frames.where(F.col("error").isNotNull()).select("pcap_file", "pkt_no", "error")
+    """Captures that end early or cannot be read: file, record number, reason.
+    A link type is reported once per file, at its first record."""
+    return frames.where(F.col("error").isNotNull()).groupBy("pcap_file", "error").agg(F.min("pkt_no").alias("pkt_no")) \
+        .select("pcap_file", "pkt_no", "error")
 
 
 def capture_counts(frames: DataFrame, packets: DataFrame) -> DataFrame:

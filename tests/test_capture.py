@@ -173,3 +173,40 @@ def test_link_types(spark, tmp_path):
     assert {r.pcap_file: r.service_id for r in decode_frames(fr).collect()} == {
         "raw.pcap": 0x1234, "sll.pcap": 0x1234, "sll2.pcap": 0x1234}
     assert [tuple(r) for r in capture_errors(fr).collect()] == [("usb.pcap", -1, "link type 189")]
+
+
+def _split_rows(spark, directory, range_bytes):
+    paths = capture_paths(spark, str(directory))
+    fr = read_frames(paths, range_bytes).cache()
+    from ivnflow.sources.capture import capture_errors
+    return (sorted(tuple(r) for r in fr.where("frame is not null").select("pcap_file", "pkt_no", "ts", "frame", "orig_len").collect()),
+            sorted(tuple(r) for r in capture_errors(fr).collect()))
+
+
+@pytest.mark.parametrize("range_bytes", [97, 777])
+def test_ranges_of_one_file_give_the_same_rows(spark, tmp_path, range_bytes):
+    import random
+    r = random.Random(3)
+    payload = lambda n: bytes(r.choice([0, 1, 255, r.randrange(256)]) for _ in range(n))
+    frames = [frame(udp(30501, 30490, payload(r.choice([0, 3, 40, 700])))) for _ in range(30)]
+    # frames whose contents look like records: guesses inside them are wrong
+    decoy = b"".join(struct.pack("<IIII", 1700000000, 0, 4, 4) + b"abcd" for _ in range(40))
+    frames += [frame(udp(30501, 30490, decoy)) for _ in range(2)] + frames[:8]
+    d = tmp_path / "in"
+    d.mkdir()
+    write_pcap(d / "benign_traffic.pcap", frames)
+    write_pcap(d / "cut.pcap", frames[:20], big=True, nano=True, truncate=True)
+    (d / "junk.pcap").write_bytes(b"not a capture" * 200)
+    (d / "empty.pcap").write_bytes(b"")
+    ng = [ng_block("<", 0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)), ng_block("<", 1, struct.pack("<HHI", 1, 0, 0))]
+    for k, f in enumerate(frames):
+        ng.append(ng_block("<", 6, struct.pack("<5I", 0, 0, k, len(f), len(f)) + f))
+        if k == 15:  # a second section of the other byte order, with interfaces of its own
+            ng += [ng_block(">", 0x0A0D0D0A, struct.pack(">IHHq", 0x1A2B3C4D, 1, 0, -1)), ng_block(">", 1, struct.pack(">HHI", 147, 0, 0)),
+                   ng_block(">", 1, struct.pack(">HHI", 1, 0, 0))]
+            ng += [ng_block(">", 6, struct.pack(">5I", k % 2, 0, k, len(f), len(f)) + f) for k, f in enumerate(frames[:20])]
+            ng += [ng_block("<", 0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)), ng_block("<", 1, struct.pack("<HHI", 1, 0, 0))]
+    (d / "many.pcapng").write_bytes(b"".join(ng))
+    whole = _split_rows(spark, d, 1 << 30)
+    assert len(whole[0]) == 40 + 20 + 40 + 10 and ("cut.pcap", 20, "truncated record") in whole[1]
+    assert _split_rows(spark, d, range_bytes) == whole
