@@ -17,6 +17,7 @@ from ..session import cut_lineage, scratch_path
 from ..sinks import emit_live, save_model
 from ..sources.fixtures import packets, table
 from ..streaming import flow_state as fs
+from ..streaming import live
 from ..streaming import telemetry as tm
 from .catalog import register
 from .q_features import FLOW_FEATURES_SQL, byte_model, fitted_vector, rounded
@@ -164,16 +165,48 @@ WHERE (window_start + {SCALE_S}) * CAST(1000000 AS BIGINT) <= mx - {2 * SCALE_S
 @register("q_live_metrics", views=("packets",), sql=LIVE_SQL)
 def q_live_metrics(spark, sf):
     """Per-service rate per window as a watermarked streaming aggregation."""
-    def live(source):
+    def rates(source):
         s = tm.with_service(source).withColumn("ts", tm.event_time())
         agg = s.withWatermark("ts", "2 hours").groupBy("service", F.window("ts", WINDOW).alias("w")) \
             .agg(F.count(F.lit(1)).alias("n"))
         return agg.select("service", F.unix_seconds(F.col("w.start")).alias("window_start"), "n")
 
-    out = fs.run_slices(fs.time_slices(packets(spark, sf)), live, "live_metrics")
+    out = fs.run_slices(fs.time_slices(packets(spark, sf)), rates, "live_metrics")
     return spark.read.parquet(out).select("service", "window_start", "n")
 
 
+@register("q_live_history", views=("packets",), sql=f"""
+{LIVE_SQL.replace("r AS (", "r0 AS (").replace("FROM r, m", "FROM r0, m").replace("SELECT service, window_start, n FROM r0", ", r AS (SELECT service, window_start, n FROM r0")}),
+g AS (SELECT service, unnest(range(min(window_start), max(window_start) + 1, {SCALE_S})) AS window_start FROM r GROUP BY service),
+d AS (SELECT g.service, g.window_start, coalesce(r.n, 0) AS n FROM g LEFT JOIN r ON g.service = r.service AND g.window_start = r.window_start)
+SELECT service, window_start, n, list(n) OVER (PARTITION BY service ORDER BY window_start
+  ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS history FROM d""")
+def q_live_history(spark, sf):
+    """The last 60 rates at every closed window: closed windows are streamed, then
+    streamed again, batch by batch with restarts, into histories kept in state."""
+    rates = fs.run_slices(fs.time_slices(packets(spark, sf)), lambda s: live.closed_rates(s, WINDOW, "2 hours"), "closed_rates")
+    closed = spark.read.parquet(rates)
+    batches = [r["batch"] for r in closed.select("batch").distinct().orderBy("batch").collect()]  # micro-batches
+    slices = [closed.where(F.col("batch") == b).drop("batch") for b in batches]
+    out = fs.run_slices(slices, lambda s: live.rate_histories(s, SCALE_S, 60), "histories")
+    return spark.read.parquet(out).select("service", "window_start", "n", "history")
+
+
+@register("q_live_availability", views=("packets",), sql=f"""
+WITH {SVC_PK},
+o AS (SELECT service, CAST(round(ts_s * 1000000) AS BIGINT) AS us FROM sp WHERE is_sd),
+b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY service ORDER BY us) < {3 * SCALE_S * 1_000_000}
+      THEN 0 ELSE 1 END AS brk FROM o),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY service ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM b),
+e AS (SELECT service, min(us) AS a, max(us) + {3 * SCALE_S * 1_000_000} AS z, count(*) AS n_offers FROM s GROUP BY service, sid)
+SELECT service, a / 1000000.0e0 AS session_start, z / 1000000.0e0 AS session_end, n_offers
+FROM e, (SELECT max(us) AS mx FROM o) WHERE z <= mx - {2 * SCALE_S * 1_000_000}""")
+def q_live_availability(spark, sf):
+    """Offer sessions over a stream, each emitted once it is closed."""
+    out = fs.run_slices(fs.time_slices(packets(spark, sf)), lambda s: live.closed_sessions(s, GAP, "2 hours"), "sessions")
+    return spark.read.parquet(out).select("service", "session_start", "session_end", "n_offers")
+
+
 def stream_features(spark, sf):
     """The nine features over four micro-batches; the byte model is fitted before."""
     pk = packets(spark, sf)
