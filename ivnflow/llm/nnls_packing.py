@@ -37,7 +37,7 @@ class WordTokenizer:
     """A ``tokenizers`` file applied to white-space-separated pieces, which its
     rules never join, with a bounded memory of pieces."""
 
-    def __init__(self, path: str, memo_words: int = 800_000):
+    def __init__(self, path: str, memo_words: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
