@@ -32,12 +32,15 @@ from .common import materialise, ship, shuffle_width, table
 #: Every other length in a combination of three is free; the first is a multiple of this.
 TRIPLE_STEP = 64
 
+#: Pieces a worker remembers before it starts anew, about 250 bytes each.
+MEMO_WORDS = 800_000
+
 
 class WordTokenizer:
     """A ``tokenizers`` file applied to white-space-separated pieces, which its
     rules never join, with a bounded memory of pieces."""
 
-    def __init__(self, path: str, memo_words: int = 400_000):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -88,13 +91,14 @@ class WordTokenizer:
 
 
 #: One tokenizer and memory per file in each Python worker, kept from task to task.
-_KEPT: dict[str, WordTokenizer] = {}
+_KEPT: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def worker_tokenizer(path: str) -> WordTokenizer:
-    if path not in _KEPT:
-        _KEPT[path] = WordTokenizer(path)
-    return _KEPT[path]
+def worker_tokenizer(path: str, memo_words: int) -> WordTokenizer:
+    key = (path, memo_words)
+    if key not in _KEPT:
+        _KEPT[key] = WordTokenizer(*key)
+    return _KEPT[key]
 
 
 def powers(n: int) -> list[int]:
@@ -103,7 +107,7 @@ def powers(n: int) -> list[int]:
 
 
 def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = 2048,
-             id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memo_words: int = MEMO_WORDS) -> DataFrame:
     """doc_id, n, window_crc array, tail_crc, part_crc array (the tail cut into
     powers of two) and, with ``keep_ids``, the ids themselves. A CRC-32 is over
     the ids as little-endian 32-bit numbers."""
@@ -118,7 +122,7 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int
         from ivnflow.llm.nnls_packing import worker_tokenizer
 
         for b in batches:
-            tok = worker_tokenizer(tokenizer_file)
+            tok = worker_tokenizer(tokenizer_file, memo_words)
             at = 0
             for texts in text_slices(b.column(1)):
                 ids, per = tok.encode(texts)
@@ -325,9 +329,11 @@ def sequence_ids(tokens: DataFrame, pieces: DataFrame) -> DataFrame:
         F.expr("flatten(transform(array_sort(collect_list(p)), x -> x.part))").alias("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = 2048) -> DataFrame:
-    """Pieces of all documents; texts are tokenised once."""
-    return pack(materialise(tokenise(docs, tokenizer_file, end_id, window), "packing-tokens"), window)
+def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = 2048,
+                   memo_words: int = MEMO_WORDS) -> DataFrame:
+    """Pieces of all documents; texts are tokenised once. ``memo_words`` bounds a worker's memory
+    and changes the time only."""
+    return pack(materialise(tokenise(docs, tokenizer_file, end_id, window, memo_words=memo_words), "packing-tokens"), window)
 
 
 def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
