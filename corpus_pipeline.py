@@ -43,7 +43,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences (operator 8)."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # earlier stages leave the executors less room than the operator alone has
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo_words=300_000)
 
 
 STAGES = [
@@ -54,7 +55,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Language ID, fingerprints and tokens are not SQL; tests/llm holds the stages against brute force.
+#: Language ID, fingerprints and tokens are not SQL; tests/llm holds the operators, not yet each stage's rows, against brute force.
 ORACLE_SQL = None
 
 
