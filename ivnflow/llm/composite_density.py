@@ -4,16 +4,17 @@ Every page becomes a DOM. Each node has its characters per tag, adjusted for
 the share of link characters and link tags below it; the density sum of a
 node adds up its children. The node with the largest density sum leads the
 main text; the smallest density on its path to the body is the threshold at
-or above which other subtrees count as main text too, each represented by
-its own node with the largest sum.
+or above which other nodes count as main text too. The result is the smallest
+subtree that holds the lead and all of them, so that headings and short lines
+between dense blocks stay; blocks in it that are mostly links and below the
+threshold are left out.
 
 Elements that are never main text (menus, footers, side bars, forms, adverts,
 notices, reader comments, hidden and script-like elements) are cut from the
 tree before any density is computed, but not where they hold the page: an
 article or main that no other outweighs, or nearly all text outside links (a
-page in one form). An ``article`` or ``main`` element, where a page
-has one, takes the body's place, and inside it only blocks that are mostly
-links are left out.
+page in one form). Where a page has ``article`` or ``main`` elements, the
+lead is sought in them and the subtree ends at the one that holds it.
 
 Pages are rows: nothing is shuffled or gathered, and a lost task costs its
 own pages only. Defined results: null or empty pages and pages without main
@@ -295,40 +296,36 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     dom = Dom(html)
-    c = dom.measure()[0]
-    alive = dom.below(0)
-    homes = [n for n in alive if dom.tag[n] in ("article", "main")]
-    # the largest article or main; of equal ones the innermost
-    root = max(homes, key=lambda n: (c[n], n)) if homes else 0
-    if not c[root]:
-        root = 0
-    if not c[root]:
+    density, total, c, lc = dom.densities(0)
+    nodes = dom.below(0)
+    if not c[0]:
         return ""
-    density, total, c, lc = dom.densities(root)
-    nodes = dom.below(root)
-    lead = max(nodes, key=lambda n: (total[n], -n))
-    threshold, n = density[lead], lead
-    while n != root:
-        n = dom.parent[n]
-        threshold = min(threshold, density[n])
-    keep, drop = {lead}, set()
-    order = {n: i for i, n in enumerate(nodes)}
-    best = dict.fromkeys(nodes)
-    for n in reversed(nodes):  # the node with the largest sum in each subtree
-        top = n
-        for x in dom.items[n]:
-            if not isinstance(x, str) and total[best[x]] > total[top]:
-                top = best[x]
-        best[n] = top
+    home = {n: n if dom.tag[n] in ("article", "main") else 0 for n in nodes}  # outermost article or main
     for n in nodes:
-        if density[n] >= threshold:
-            keep.add(best[n])
-    if dom.tag[root] in ("article", "main"):
-        # the element is the article: all of it but blocks that are mostly links
-        keep.add(root)
-        drop = {n for n in order if n != root and dom.tag[n] in BLOCK and 2 * lc[n] > c[n] and density[n] < threshold
-                and sum(dom.tag[x] == "a" for x in dom.below(n)) > 1}
-    return "\n".join(dom.blocks(keep, root, drop))
+        home[n] = n and home[dom.parent[n]] or home[n]
+    lead = max(nodes, key=lambda n: (bool(home[n] and c[n]), total[n], -n))
+    path = [lead]
+    while path[-1] and dom.parent[path[-1]]:
+        path.append(dom.parent[path[-1]])
+    threshold = min(density[n] for n in path)
+    order = {n: i for i, n in enumerate(nodes)}
+    end = order.copy()  # place of the last node of each subtree
+    links = [0] * len(dom.tag)
+    for n in reversed(nodes):
+        links[n] += dom.tag[n] == "a"
+        if n:
+            end[dom.parent[n]] = max(end[dom.parent[n]], end[n])
+            links[dom.parent[n]] += links[n]
+    top = home[lead]
+    if not top:
+        top = lead
+        places = [order[n] for n in nodes if n and density[n] >= threshold] or [order[lead]]
+        while top and not (order[top] <= min(places) and max(places) <= end[top]):
+            top = dom.parent[top]
+    # blocks that are mostly links and below the threshold are lists of links
+    drop = {n for n in nodes if order[top] < order[n] <= end[top] and dom.tag[n] in BLOCK and 2 * lc[n] > c[n]
+            and density[n] < threshold and links[n] > 1}
+    return "\n".join(dom.blocks({top}, top, drop))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

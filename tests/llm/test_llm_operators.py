@@ -336,6 +336,25 @@ def test_extraction_keeps_pages():
     assert main_text("<body><div hidden><article>x y</article></div></body>") == "" == main_text("<body><nav>x</nav></body>")
 
 
+def test_extraction_by_density(spark):
+    """Without article or main tags the density rule alone finds the same text on every given page."""
+    from ivnflow.llm.composite_density import main_text
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        want = main_text(r["html"])
+        plain = r["html"].replace("<article", "<div").replace("</article", "</div")
+        assert want and main_text(plain) == want
+    long = "A paragraph of the page itself that goes on for a good while, as paragraphs do, with many words in it. " * 3
+    body = f"<div><h1>Head</h1><p>{long}</p><p>Short.</p><p>{long}</p></div>"
+    want = f"Head\n{long.strip()}\nShort.\n{long.strip()}"
+    links = "".join(f"<li><a href=/{k}>More {k}</a></li>" for k in range(9))
+    assert main_text(f"<body><div>Hint of the day</div>{body}<div><ul>{links}</ul></div></body>") == want
+    # several articles: the densest one; short text outside is not taken
+    two = f"<article><p>Teaser of another.</p></article><p>{long}</p><article>{body}</article>"
+    assert main_text(f"<body>{two}</body>") == want
+    deep = "<div>" * 3000 + f"<p>{long}</p>" + "</div>" * 3000
+    assert main_text(deep) == long.strip() and main_text(f"<p>{'x' * 500_000}</p>") == "x" * 500_000
+
+
 def test_pipeline(spark, edge, empty, sample):
     import corpus_pipeline
     for first in (edge.drop("n_words"), empty.drop("n_words"), sample):
