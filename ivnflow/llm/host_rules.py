@@ -1,9 +1,12 @@
 """Quality rules by host (operator 1), in DataFrame functions only.
 
-Every text gets rule counts and a base verdict. Base failures are then
-summed by host, the failure rates shrunk with a beta prior fitted to the
-hosts' own rates by moments, and a host whose shrunk rate is above
-``max_rate`` takes its documents with it.
+Every text gets rule counts, one failure per rule and a base verdict. The
+failures of each rule are summed by host and the host's rate shrunk with that
+rule's own beta prior, fitted to the hosts' rates by moments. A host is
+rejected where, for some rule, its posterior rate less ``TAIL`` posterior
+standard deviations is still above the prior's mean and above one half: it is
+worse than the corpus and most of its documents fail, neither by chance. It
+takes its documents with it.
 
 The per-document counts are written once (no texts in them), so the texts
 are read once; host sums are partial aggregates, so one host with a third of
@@ -26,7 +29,7 @@ from .common import SPACE, let, materialise, table, words
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
-MAX_RATE = 0.8
+TAIL = 3.0  # standard deviations of a host's posterior rate
 MIN_WEIGHT = 2.0
 MAX_WEIGHT = 1000.0
 
@@ -90,56 +93,93 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return base.select(
         "doc_id", "host", F.col("_words.n").cast("long").alias("n_words"), "word_chars", "n_symbols",
         "n_dup_lines", F.col("_words.r").cast("long").alias("n_repeat_words")
-    ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
-                 | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
+    ).withColumn("base_failed", RULES["base"](F.col))
 
 
-def host_rates(base: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """host, host_docs, host_failed, host_rate (shrunk), host_rejected.
+#: Rules whose failures are summed by host; the first is the base verdict.
+RULES = {
+    "base": lambda c: (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEATED * c("n_words")),
+    "short": lambda c: c("n_words") < MIN_WORDS,
+    "repeats": lambda c: 100 * c("n_repeat_words") > MAX_REPEATED * c("n_words"),
+    "symbols": lambda c: 10 * c("n_symbols") > c("n_words"),
+    "lines": lambda c: 10 * c("n_dup_lines") > c("n_words"),
+}
 
-    The beta prior has the hosts' mean failure rate and the weight that the
-    variance of their rates implies, within [MIN_WEIGHT, MAX_WEIGHT] rows.
+
+def host_rates(base: DataFrame, rules: dict[str, Column] | None = None, tail: float = TAIL) -> DataFrame:
+    """host, host_docs, host_failed, host_rate (shrunk), host_rejected, and the
+    shrunk ``rate_<rule>`` of each further rule; the first rule gives
+    host_failed and host_rate (base_failed, where no rules are given).
+
+    Each rule's beta prior has the hosts' mean failure rate and the weight that
+    the variance of their rates implies, within [MIN_WEIGHT, MAX_WEIGHT] rows.
     """
-    hosts = base.groupBy("host").agg(F.count("*").alias("host_docs"),
-                                     F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
-    rate = F.col("host_failed") / F.col("host_docs")
-    m = hosts.agg((F.sum("host_failed") / F.sum("host_docs")).alias("mean"), F.var_pop(rate).alias("var"))
-    weight = F.when(F.col("var") > 0, F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1).otherwise(F.lit(MIN_WEIGHT))
-    prior = m.select("mean", F.greatest(F.lit(MIN_WEIGHT), F.least(F.lit(MAX_WEIGHT), weight)).alias("weight"))
-    # one row of prior
-    return (hosts.crossJoin(F.broadcast(prior))
-            .withColumn("host_rate", (F.col("host_failed") + F.col("mean") * F.col("weight"))
-                        / (F.col("host_docs") + F.col("weight")))
-            .withColumn("host_rejected", F.col("host_rate") > max_rate)
-            .select("host", "host_docs", "host_failed", "host_rate", "host_rejected"))
+    rules = rules or {"base": F.col("base_failed")}
+    hosts = base.groupBy("host").agg(F.count("*").alias("host_docs"), *[
+        F.sum(rule.cast("long")).alias(f"f_{name}") for name, rule in rules.items()])
+    moments = hosts.agg(*[x for name in rules for x in (
+        (F.sum(f"f_{name}") / F.sum("host_docs")).alias(f"m_{name}"),
+        F.var_pop(F.col(f"f_{name}") / F.col("host_docs")).alias(f"v_{name}"))])
+
+    def weight(name):
+        m, v = F.col(f"m_{name}"), F.col(f"v_{name}")
+        w = F.when(v > 0, m * (1 - m) / v - 1).otherwise(F.lit(MIN_WEIGHT))
+        return F.greatest(F.lit(MIN_WEIGHT), F.least(F.lit(MAX_WEIGHT), w)).alias(f"w_{name}")
+
+    # one row of priors
+    out = hosts.crossJoin(F.broadcast(moments.select("*", *[weight(name) for name in rules])))
+    out = out.select("*", *[((F.col(f"f_{n}") + F.col(f"m_{n}") * F.col(f"w_{n}"))
+                             / (F.col("host_docs") + F.col(f"w_{n}"))).alias(f"rate_{n}") for n in rules])
+
+    def far(name):
+        r = F.col(f"rate_{name}")
+        low = r - tail * F.sqrt(F.greatest(F.lit(0.0), r * (1 - r)) / (F.col("host_docs") + F.col(f"w_{name}") + 1))
+        return (low > F.col(f"m_{name}")) & (low > 0.5)
+
+    rejected = F.lit(False)
+    for name in rules:
+        rejected = rejected | far(name)
+    first, *more = rules
+    return out.select("host", "host_docs", F.col(f"f_{first}").alias("host_failed"),
+                      F.col(f"rate_{first}").alias("host_rate"), rejected.alias("host_rejected"),
+                      *[f"rate_{n}" for n in more])
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+                  host_col: str = "source", tail: float = TAIL) -> DataFrame:
     """Counts, base verdict, host figures and ``kept`` per row of ``docs``."""
     base = materialise(rule_counts(docs, id_col, text_col, host_col), "host-rules")
-    hosts = host_rates(base, max_rate).withColumnRenamed("host", "of")
+    hosts = host_rates(base, {k: f(F.col) for k, f in RULES.items()}, tail).withColumnRenamed("host", "of")
     return (base.join(hosts, base["host"].eqNullSafe(hosts["of"]), "left").drop("of")
             .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")))
 
 
-def keep_good(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of ``docs`` (columns doc_id, text, source and others) that are kept."""
+def keep_good(docs: DataFrame, tail: float = TAIL) -> DataFrame:
+    """The rows of ``docs`` (columns text, source and others) that are kept.
+
+    The texts are counted once and written with their verdicts.
+    """
     columns = docs.columns
-    hosts = host_rates(rule_counts(docs), max_rate)
-    bad = hosts.where("host_rejected").select(F.col("host").alias("_rejected_host"))
     c = base_counts(F.col("text"))
-    w = F.col("_base_words")
-    good = (docs.withColumn("_base_words", c["_words"])
-            .where((w["n"] >= MIN_WORDS) & (100 * w["r"].cast("long") <= MAX_REPEATED * w["n"].cast("long"))))
-    return good.join(bad, good["source"].eqNullSafe(bad["_rejected_host"]), "left_anti").select(*columns)
+    flagged = docs.select(*[F.col(f"`{x}`") for x in columns], *[v.alias(f"_q_{k}") for k, v in c.items()])
+    got = {"n_words": F.col("_q__words.n").cast("long"), "n_repeat_words": F.col("_q__words.r").cast("long"),
+           "n_symbols": F.col("_q_n_symbols"), "n_dup_lines": F.col("_q_n_dup_lines")}
+    flags = materialise(flagged.select(*[F.col(f"`{x}`") for x in columns], *[
+        f(got.__getitem__).alias(f"_failed_{k}") for k, f in RULES.items()]), "quality")
+    hosts = host_rates(flags.select(F.col("source").alias("host"), *[f"_failed_{k}" for k in RULES]),
+                       {k: F.col(f"_failed_{k}") for k in RULES}, tail)
+    bad = hosts.where("host_rejected").select(F.col("host").alias("_rejected_host"))
+    return (flags.where(~F.col("_failed_base"))
+            .join(bad, flags["source"].eqNullSafe(bad["_rejected_host"]), "left_anti")
+            .select(*[F.col(f"`{x}`") for x in columns]))
 
 
 def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "host", "host_docs", "host_failed",
-                      F.round("host_rate", 9).alias("host_rate"))
+                      F.round("host_rate", 9).alias("host_rate"), "host_rejected",
+                      *[F.round(f"rate_{k}", 9).alias(f"rate_{k}") for k in list(RULES)[1:]])
 
 
 #: The same rows in DuckDB.
@@ -163,18 +203,33 @@ with d as (
     coalesce(n_repeat_words, 0) as n_repeat_words
   from d left join hit using (doc_id)
 ), f as (
-  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b
-), h as (
-  select host, count(*) as host_docs, sum(base_failed::bigint)::bigint as host_failed from f group by host
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, n_words < 50 as f_short,
+    100 * n_repeat_words > 50 * n_words as f_repeats, 10 * n_symbols > n_words as f_symbols,
+    10 * n_dup_lines > n_words as f_lines from b
+), u as (
+  select host, rule, count(*) as docs, sum(failed::bigint)::bigint as failed
+  from (select host, unnest(['base', 'short', 'repeats', 'symbols', 'lines']) as rule,
+          unnest([base_failed, f_short, f_repeats, f_symbols, f_lines]) as failed from f)
+  group by host, rule
 ), p as (
-  select sum(host_failed) / sum(host_docs) as mean, var_pop(host_failed / host_docs) as var from h
+  select rule, sum(failed) / sum(docs) as mean, var_pop(failed / docs) as var from u group by rule
 ), q as (
-  select mean, greatest(2.0, least(1000.0, case when var > 0 then mean * (1 - mean) / var - 1 else 2.0 end)) as weight from p
+  select rule, mean, greatest(2.0, least(1000.0, case when var > 0 then mean * (1 - mean) / var - 1 else 2.0 end)) as weight from p
 ), r as (
-  select h.*, (host_failed + mean * weight) / (host_docs + weight) as rate from h, q
+  select u.*, mean, weight, (failed + mean * weight) / (docs + weight) as rate from u join q using (rule)
+), l as (
+  select *, rate - 3 * sqrt(greatest(0, rate * (1 - rate)) / (docs + weight + 1)) as low from r
+), h as (
+  select host, any_value(docs) as host_docs, max(failed) filter (rule = 'base') as host_failed,
+    max(rate) filter (rule = 'base') as host_rate, bool_or(low > mean and low > 0.5) as host_rejected,
+    max(rate) filter (rule = 'short') as rate_short, max(rate) filter (rule = 'repeats') as rate_repeats,
+    max(rate) filter (rule = 'symbols') as rate_symbols, max(rate) filter (rule = 'lines') as rate_lines
+  from l group by host
 )
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
   n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-  not base_failed and rate <= 0.8 as kept, f.host, host_docs, host_failed, round(rate, 9) as host_rate
-from f join r on f.host is not distinct from r.host
+  not base_failed and not host_rejected as kept, f.host, host_docs, host_failed, round(host_rate, 9) as host_rate,
+  host_rejected, round(rate_short, 9) as rate_short, round(rate_repeats, 9) as rate_repeats,
+  round(rate_symbols, 9) as rate_symbols, round(rate_lines, 9) as rate_lines
+from f join h on f.host is not distinct from h.host
 """

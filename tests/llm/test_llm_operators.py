@@ -64,6 +64,32 @@ def test_host_prior(spark):
     assert got["one"]["host_rate"] < got["bad"]["host_rate"]  # one row is little evidence
 
 
+def test_bad_host_decides(spark, sample, tmp_path):
+    """A planted host of boilerplate takes its one good document with it; the query's rows equal the SQL's."""
+    import duckdb
+
+    from ivnflow.llm.host_rules import OP1_SQL, keep_good, op1_host_rules
+    good = " ".join(f"word{k}" for k in range(80))
+    rows = [(900_000 + k, "# $ % | " * 20 + f"{good} {k}", "en", "symbols.example", 0) for k in range(60)]
+    rows += [(900_100, good, "en", "symbols.example", 0), (900_101, good + " x", "en", "small.example", 0),
+             (900_102, "< > | $ # " * 10 + good, "en", "small.example", 0), (900_103, good + " y", "en", None, 0)]
+    planted = spark.createDataFrame(rows, sample.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    docs = sample.select(*planted.columns).unionByName(planted)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = op1_host_rules(spark, str(tmp_path))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert not got[900_100]["kept"] and not got[900_100]["base_failed"] and got[900_100]["host_rejected"]
+    assert all(got[k]["kept"] for k in (900_101, 900_102, 900_103))
+    assert all(r["kept"] != r["base_failed"] for k, r in got.items() if k < 900_000)
+    kept = sorted(r["doc_id"] for r in keep_good(docs).select("doc_id").collect())
+    assert kept == sorted(k for k, r in got.items() if r["kept"])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cols = sorted(out.columns)
+    want = con.execute(f"select {', '.join(cols)} from ({OP1_SQL})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in cols)) for r in got.values())
+
+
 def brute_spans(t):
     t = t or ""
     assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
