@@ -397,7 +397,7 @@ def test_oracles(spark):
 
     from ivnflow.llm.queries import ORACLES, QUERIES
     con = duckdb.connect()
-    for t in ("documents", "pages", "events"):
+    for t in ("documents", "pages", "events", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, SF)
