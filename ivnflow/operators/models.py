@@ -189,25 +189,26 @@ def gaussian_nb_fit(df: DataFrame, cols: list[str], y: str = "label",
                        for c in cols])
 
 
-def gaussian_nb_jll(cols: list[str], model: str) -> F.Column:
-    """Joint log-likelihood of a row under the class row in struct column ``model``."""
-    ll = F.ln(F.col(f"{model}._prior"))
-    for c in cols:
-        v = F.col(f"{model}._v_{c}")
-        ll = ll - F.lit(0.5) * F.ln(F.lit(2 * math.pi) * v) \
-            - F.lit(0.5) * (F.col(c) - F.col(f"{model}._m_{c}")) ** 2 / v
-    return ll
-
-
 def gaussian_nb_score(df: DataFrame, model: DataFrame, cols: list[str], id_col: str,
                       y: str = "label") -> DataFrame:
     """Posterior of class 1 for a binary label: one projection against one row
-    that holds both classes, so repeated ids stay one row each."""
-    row = F.struct(*[F.col(c) for c in model.columns if c != y])
-    both = model.agg(F.max(F.when(F.col(y) == 0, row)).alias("_c0"), F.max(F.when(F.col(y) == 1, row)).alias("_c1"))
-    return df.crossJoin(F.broadcast(both)).select(
+    that holds both classes, so repeated ids stay one row each. Columns are
+    folded as an array, so the expression does not grow with them."""
+    means, variances = (F.array(*[F.col(f"_{k}_{c}") for c in cols]) for k in "mv")
+    const = F.aggregate(variances, F.ln("_prior"), lambda acc, v: acc - F.lit(0.5) * F.ln(F.lit(2 * math.pi) * v))
+    row = F.struct(const.alias("const"), F.arrays_zip(means.alias("m"), variances.alias("v")).alias("mv"))
+    both = model.select(y, row.alias("_c")).agg(
+        *[F.max(F.when(F.col(y) == k, F.col("_c.const"))).alias(f"_k{k}") for k in (0, 1)],
+        *[F.max_by("_c.mv", F.when(F.col(y) == k, F.lit(1))).alias(f"_c{k}") for k in (0, 1)])
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+
+    def jll(k):
+        terms = F.zip_with("_x", F.col(f"_c{k}"), lambda v, g: (v - g["m"]) * (v - g["m"]) / g["v"])
+        return F.col(f"_k{k}") - F.lit(0.5) * F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
+
+    return df.select(id_col, y, x.alias("_x")).crossJoin(F.broadcast(both)).select(
         id_col, F.col(y).alias("y_true"),
-        (F.lit(1.0) / (F.lit(1.0) + F.exp(gaussian_nb_jll(cols, "_c0") - gaussian_nb_jll(cols, "_c1")))).alias("y_prob"))
+        (F.lit(1.0) / (F.lit(1.0) + F.exp(jll(0) - jll(1)))).alias("y_prob"))
 
 
 # ---- comparisons, validation ------------------------------------------------------------

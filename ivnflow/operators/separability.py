@@ -1,8 +1,9 @@
 """Class separability scores over numeric columns.
 
-All scores come from per-class aggregates (counts, means, variances) joined
-back to the points as a broadcast of one row per class, so no pair of points
-is ever formed.
+All scores but the Euclidean silhouette come from per-class aggregates (counts,
+means, variances) joined back to the points as a broadcast of one row per
+class, so no pair of points is ever formed. The Euclidean silhouette compares
+every point with a bounded set of points, tile by tile.
 """
 
 from __future__ import annotations
@@ -85,6 +86,74 @@ def silhouette_sq(df: DataFrame, cols: list[str], y: str = "y_true") -> DataFram
     return j.agg(F.avg(s).alias("silhouette"))
 
 
+def silhouette(df: DataFrame, cols: list[str], id_col: str, y: str = "y_true",
+               sample_size: int = 10_000) -> DataFrame:
+    """Mean silhouette with Euclidean distance over all points.
+
+    Where ``df`` has more than ``sample_size`` rows, a point's mean distance to a
+    class is taken over a hash sample of that class: about an equal share of
+    ``sample_size`` for each class and at least 32 rows or the whole class, so
+    that no class is lost; otherwise the result is exact. The driver holds the
+    sample (``sample_size`` or 32 rows a class, whichever is more). A point is
+    compared with tiles of the sample and only its distance sums by class are
+    kept, so work is rows times sample and memory is one tile.
+
+    A point without another of its class scores 0, as do all points where there
+    is one class; null values count as 0; rows with a null label or id are not
+    scored; no rows give a null score. Ids are taken to be distinct.
+    """
+    import numpy as np
+
+    spark = df.sparkSession
+    rows = df.where(F.col(y).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.xxhash64(F.col(id_col)).alias("_k"), F.col(y).cast("string").alias("_y"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{k}") for k, c in enumerate(cols)])
+    # one row per class
+    sizes = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = max(32, sample_size // max(1, len(sizes))) if sum(sizes.values()) > sample_size else max(sizes.values(), default=1)
+    parts = spark.createDataFrame([(c, min(1.0, share / n)) for c, n in sizes.items()], "_y string, _part double")
+    sample = rows.join(F.broadcast(parts), "_y").where(
+        F.pmod("_k", F.lit(1 << 20)) < F.col("_part") * (1 << 20)).select(*rows.columns).toPandas()
+    names = sorted(set(sample["_y"]))
+    one_hot = np.array([[v == n for n in names] for v in sample["_y"]], dtype=float).reshape(len(sample), len(names))
+    held = spark.sparkContext.broadcast((sample["_k"].to_numpy(), names, sample.iloc[:, 2:].to_numpy(dtype=float), one_hot))
+
+    def run(batches):
+        import pyarrow as pa
+
+        keys, names, points, one_hot = held.value
+        place = {n: k for k, n in enumerate(names)}
+        total, count = 0.0, 0
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                n = part.num_rows
+                own = np.array([place.get(v, -1) for v in part.column(1).to_pylist()])
+                key = part.column(0).to_numpy()
+                x = np.column_stack([part.column(k + 2).to_numpy() for k in range(len(cols))])
+                sums, sizes = np.zeros((n, len(names))), np.tile(one_hot.sum(0), (n, 1))
+                for lo in range(0, len(points), 2048):
+                    tile = points[lo:lo + 2048]
+                    sq = np.zeros((n, len(tile)))
+                    for k in range(len(cols)):
+                        sq += (x[:, k, None] - tile[None, :, k]) ** 2
+                    same = key[:, None] == keys[None, lo:lo + 2048]
+                    sums += np.where(same, 0.0, np.sqrt(sq)) @ one_hot[lo:lo + 2048]
+                    sizes -= same @ one_hot[lo:lo + 2048]
+                mean = np.divide(sums, sizes, out=np.full(sums.shape, np.inf), where=sizes > 0)
+                known = own >= 0
+                a = np.where(known, mean[np.arange(n), own], np.inf)
+                mean[np.arange(n)[known], own[known]] = np.inf
+                near = mean.min(axis=1)
+                ok = np.isfinite(a) & np.isfinite(near) & (np.maximum(a, near) > 0)
+                total += ((near[ok] - a[ok]) / np.maximum(a, near)[ok]).sum()
+                count += n
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([count])], names=["s", "n"])
+
+    return rows.mapInArrow(run, "s double, n long").agg(
+        F.try_divide(F.sum("s"), F.sum("n")).alias("silhouette"))
+
+
 def featureset_compare(df: DataFrame, sets: dict[str, list[str]], y: str = "y_true") -> DataFrame:
     out = None
     for name, cols in sets.items():

@@ -114,8 +114,9 @@ def q_davies_bouldin(spark, sf):
     return rnd(sp.davies_bouldin(vectors(spark, sf), X), ["davies_bouldin"])
 
 
-def _duck_sil(cols) -> str:
+def _duck_sil(cols, euclidean: bool = False) -> str:
     d = _sum(f"pow(p.{c} - q.{c}, 2)" for c in cols)
+    d = f"sqrt({d})" if euclidean else d
     return f"""SELECT avg(CASE WHEN n_own <= 1 THEN 0.0e0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (
   SELECT p.vec_id,
     sum(CASE WHEN p.y_true = q.y_true AND p.vec_id <> q.vec_id THEN {d} ELSE 0 END)
@@ -134,6 +135,13 @@ def q_silhouette(spark, sf):
     return rnd(sp.silhouette_sq(vectors(spark, sf), X), ["silhouette"])
 
 
+@register("q_silhouette_euclidean", views=("vectors",), sql=f"""
+SELECT round(silhouette, {R}) AS silhouette FROM ({_duck_sil(X, True)})""")
+def q_silhouette_euclidean(spark, sf):
+    """Every point against up to 10,000 points in tiles (all of them where there are no more)."""
+    return rnd(sp.silhouette(vectors(spark, sf), X, "vec_id"), ["silhouette"])
+
+
 @register("q_featureset_compare", views=("vectors",), sql=f"""
 SELECT feature_set, round(fisher_ratio, {R}) AS fisher_ratio, round(calinski_harabasz, {R}) AS calinski_harabasz,
   round(davies_bouldin, {R}) AS davies_bouldin FROM (

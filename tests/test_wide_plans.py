@@ -77,3 +77,29 @@ def test_rate_history_across_chunks(spark):
     rates = spark.createDataFrame([("s", 10 * t, n) for t, n in times.items()], "service string, window_start long, n long")
     got = {r["window_start"]: r["history"] for r in tm.rate_history(rates, 10, 4, chunk=3).collect()}
     assert got == {10 * t: [times.get(u, 0) for u in range(max(0, t - 3), t + 1)] for t in range(12)}
+
+
+def test_euclidean_silhouette(spark):
+    import math
+    rows = [(k, k % 3 if k < 40 else 7, float(k % 5), 100.0 * (k % 3) + k) for k in range(41)]
+    df = spark.createDataFrame(rows + [(99, None, 1.0, 1.0)], "id long, y_true int, a double, b double")
+
+    def brute(i):
+        def mean(c):
+            d = [math.dist(i[2:], r[2:]) for r in rows if r[1] == c and r[0] != i[0]]
+            return sum(d) / len(d) if d else None
+        a, b = mean(i[1]), min(mean(c) for c in {r[1] for r in rows} - {i[1]})
+        return 0.0 if a is None or max(a, b) == 0 else (b - a) / max(a, b)
+
+    want = sum(map(brute, rows)) / len(rows)
+    got = sp.silhouette(df, ["a", "b"], "id").first()[0]
+    assert abs(got - want) < 1e-12
+    # fewer points than rows: no class is lost, the lone row of class 7 included
+    many = spark.createDataFrame([(k, 7 if k == 600 else k % 3, float(k % 5), 100.0 * (k % 3) + k % 97) for k in range(601)],
+                                 df.schema)
+    whole, part = (sp.silhouette(many, ["a", "b"], "id", sample_size=n).first()[0] for n in (1000, 130))
+    assert abs(part - whole) < 0.1
+    assert sp.silhouette(df.where("false"), ["a", "b"], "id").first()[0] is None
+    assert sp.silhouette(df.where("y_true = 1"), ["a", "b"], "id").first()[0] == 0.0
+    same = df.where("y_true is not null").withColumn("a", sp.F.lit(1.0)).withColumn("b", sp.F.lit(2.0))
+    assert sp.silhouette(same, ["a", "b"], "id").first()[0] == 0.0
