@@ -1,46 +1,43 @@
-"""Exact k-nearest neighbours without forming all pairs.
-
-Every point is projected onto a unit direction ``u`` (the first principal
-component of the reference set). For any pair, ``|u.q - u.r| <= |q - r|``,
-so:
-
-1. reference points are bucketed by projection (bucket bounds from
-   approximate quantiles: they only balance the work, exactness never
-   depends on them);
-2. pass 1 joins each query with the reference points of its own and the
-   two neighbouring buckets and takes the k-th smallest distance ``D_q``,
-   an upper bound of the true k-th neighbour distance;
-3. pass 2 joins each query only with the buckets overlapping the band
-   ``[u.q - D_q, u.q + D_q]`` and keeps pairs with distance <= ``D_q``;
-   every true neighbour is in that set, so the top k of it are exact.
-
-Ties on distance are broken by the reference id. Top-k selection runs in
-two stages (per query and bucket, then per query) so no query's
-candidates are ranked in one window partition all at once.
+"""Exact k-nearest neighbours in pivot cells, without forming all pairs.
+
+1. Up to ``MAX_PIVOTS`` reference points, taken in hash order, are pivots;
+   every reference row belongs to the cell of its nearest pivot. A cell of
+   more than ``per_cell`` rows is split into rings by the distance from its
+   pivot, cut at sketched quantiles (at most ``MAX_RINGS``).
+2. A table of every cell and pivot holds the least and greatest distance of
+   the cell's rows from that pivot; every ring has the same for its own
+   pivot. By the triangle inequality they bound the distance of a query
+   from all rows of a ring from below.
+3. Pass 1 joins each query with the nearest rings that hold ``k`` rows; the
+   k-th distance there is an upper bound ``D_q`` of the true one. Pass 2
+   joins each query with every ring whose lower bound is at most ``D_q``.
+   Each true neighbour lies in one of them, so the top k are exact; pivots
+   and quantiles only decide how much is pruned.
+
+Rows with equal coordinates are cut to the ``k + 1`` smallest ids before
+anything else (no others can be neighbours), so a point that a third of all
+rows share costs ``k + 1`` rows. The cells' figures are at most
+``MAX_PIVOTS * (d + 2 * MAX_PIVOTS + 4 * MAX_RINGS)`` numbers at any size;
+they travel to the tasks in the closure. Beyond ``MAX_PIVOTS * MAX_RINGS *
+per_cell`` rows the rings grow with the data.
+
+Ties on distance are broken by the reference id. Rows with a null or NaN
+coordinate have no neighbours and are none.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import PCA, Bucketizer
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .models import assemble
+from ..session import cut_lineage, ship_package
 from .sampling import hash_key
 
-
-def _direction(ref: DataFrame, cols: list[str]) -> list[float]:
-    """Unit projection direction: first principal component (d doubles)."""
-    pc = PCA(k=1, inputCol="_v", outputCol="_p").fit(assemble(ref, cols, "_v")).pc.toArray()[:, 0]
-    norm = math.sqrt(sum(float(x) * float(x) for x in pc)) or 1.0
-    return [float(x) / norm for x in pc]
-
-
-def _dot(cols, u, prefix=""):
-    return sum((F.col(prefix + c) * F.lit(w) for c, w in zip(cols, u)), F.lit(0.0))
+MAX_PIVOTS = 256
+MAX_RINGS = 64
+SLACK = 1e-9  # relative, for bounds and distances summed in different orders
 
 
 def _dist(cols, a="q_", b="r_"):
@@ -49,69 +46,182 @@ def _dist(cols, a="q_", b="r_"):
 
 
 def _topk(pairs: DataFrame, k: int) -> DataFrame:
-    """Keep the k nearest per query: first per (query, bucket), then per query."""
+    """Keep the k nearest per query: first per (query, ring), then per query."""
     w1 = Window.partitionBy("q_id", "_b").orderBy("dist", "r_id")
     p = pairs.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
     w2 = Window.partitionBy("q_id").orderBy("dist", "r_id")
     return p.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("_r1")
 
 
+def _matrix(v: pd.Series, d: int) -> np.ndarray:
+    return np.stack(v.to_list()).astype(float) if len(v) else np.empty((0, d))
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of every row of ``x`` from every pivot, in blocks of rows."""
+    out = np.empty((len(x), len(pivots)))
+    for i in range(0, len(x), 64):
+        out[i:i + 64] = np.sqrt(((x[i:i + 64, None, :] - pivots[None]) ** 2).sum(axis=2))
+    return out
+
+
+class Cells:
+    """Pivots and distance bounds; rings are numbered over all cells."""
+
+    def __init__(self, pivots: np.ndarray, cuts: list[np.ndarray]):
+        self.pivots = pivots
+        self.cuts = cuts  # per cell, the rings' upper ends but the last's
+        self.first = np.cumsum([0] + [len(c) + 1 for c in cuts])  # a cell's first ring
+        m, n = len(pivots), int(self.first[-1])
+        self.lo, self.hi = np.full((m, m), np.inf), np.full((m, m), -np.inf)
+        self.ring_lo, self.ring_hi = np.full(n, np.inf), np.full(n, -np.inf)
+        self.ring_rows = np.zeros(n, dtype=np.int64)
+        self.ring_cell = np.repeat(np.arange(m), np.diff(self.first))
+
+    def ring_of(self, dist: np.ndarray) -> np.ndarray:
+        cell = dist.argmin(axis=1) if len(dist) else np.empty(0, dtype=int)
+        own = dist[np.arange(len(dist)), cell]
+        return np.array([self.first[c] + np.searchsorted(self.cuts[c], x) for c, x in zip(cell, own)], dtype=np.int64)
+
+    def gaps(self, dist: np.ndarray) -> np.ndarray:
+        """Distance from one query (its distances from the pivots) to each ring's interval."""
+        own = dist[self.ring_cell]
+        return np.maximum(np.maximum(own - self.ring_hi, self.ring_lo - own), 0.0)
+
+    def nearest(self, dist: np.ndarray, need: int) -> np.ndarray:
+        """The rings next to a query that hold ``need`` rows together."""
+        order = np.lexsort((self.gaps(dist), dist[self.ring_cell]))
+        order = order[self.ring_rows[order] > 0]
+        return order[:int(np.searchsorted(np.cumsum(self.ring_rows[order]), need)) + 1]
+
+    def within(self, dist: np.ndarray, bound: float) -> np.ndarray:
+        """Every ring that can hold a row at distance ``bound`` or less."""
+        low = np.maximum((dist - self.hi).max(axis=1), (self.lo - dist).max(axis=1))
+        low = np.maximum(low[self.ring_cell], self.gaps(dist))
+        return np.flatnonzero((self.ring_rows > 0) & (low <= bound + SLACK * (1.0 + dist.max())))
+
+
+def fit_cells(ref: DataFrame, cols: list[str], id_col: str, per_cell: int = 64) -> Cells | None:
+    """Cells of ``ref`` (no null or NaN coordinates); None where it is empty."""
+    n = ref.count()
+    if not n:
+        return None
+    d = len(cols)
+    m = max(1, min(MAX_PIVOTS, n // per_cell))
+    vec = F.array(*[F.col(c).cast("double") for c in cols])
+    picked = ref.select(vec.alias("v"), hash_key(id_col).alias("_o")).orderBy("_o", "v").limit(m).collect()
+    pivots = np.unique(np.array([r["v"] for r in picked]), axis=0)
+
+    def nearest(v):
+        dist = _to_pivots(_matrix(v, d), pivots)
+        cell = dist.argmin(axis=1)
+        return pd.DataFrame({"cell": cell, "dist": dist[np.arange(len(dist)), cell]})
+
+    near = ref.select(F.pandas_udf(nearest, "cell int, dist double")(vec).alias("_n")).select("_n.*")
+    grid = [i / MAX_RINGS for i in range(1, MAX_RINGS)]
+    cuts = [np.empty(0)] * len(pivots)
+    for r in near.groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
+                                      F.percentile_approx("dist", F.array(*map(F.lit, grid)), F.lit(1000)).alias("q")).collect():
+        rings = max(1, min(MAX_RINGS, r["n"] // per_cell))
+        at = np.unique(np.arange(1, rings) * MAX_RINGS // rings - 1).astype(int)
+        cuts[r["cell"]] = np.unique(np.array(r["q"])[at])
+    cells = Cells(pivots, cuts)
+    size = (len(pivots), len(pivots))
+
+    def bounds(frames):
+        # one row per cell and pivot, and per ring, for each task
+        lo, hi, rows = np.full(size, np.inf), np.full(size, -np.inf), {}
+        for f in frames:
+            dist = _to_pivots(_matrix(f["v"], d), pivots)
+            cell = dist.argmin(axis=1)
+            np.minimum.at(lo, cell, dist)
+            np.maximum.at(hi, cell, dist)
+            own = pd.DataFrame({"ring": cells.ring_of(dist), "x": dist[np.arange(len(dist)), cell]})
+            for ring, a, b, k in own.groupby("ring")["x"].agg(["min", "max", "size"]).itertuples():
+                p = rows.get(ring, (np.inf, -np.inf, 0))
+                rows[ring] = min(p[0], a), max(p[1], b), p[2] + k
+        c, p = np.nonzero(hi >= 0)
+        yield pd.DataFrame({"a": c, "b": p, "lo": lo[c, p], "hi": hi[c, p], "n": 0})
+        yield pd.DataFrame([(r, -1, *x) for r, x in rows.items()], columns=["a", "b", "lo", "hi", "n"])
+
+    figures = ref.select(vec.alias("v")).mapInPandas(bounds, "a int, b int, lo double, hi double, n long") \
+        .groupBy("a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    for a, b, lo, hi, k in figures.toPandas().itertuples(index=False):
+        if b < 0:
+            cells.ring_lo[a], cells.ring_hi[a], cells.ring_rows[a] = lo, hi, k
+        else:
+            cells.lo[a, b], cells.hi[a, b] = lo, hi
+    return cells
+
+
+def ring_of(cells: Cells, vec: Column) -> Column:
+    """The ring of each row."""
+    def fn(v: pd.Series) -> pd.Series:
+        return pd.Series(cells.ring_of(_to_pivots(_matrix(v, cells.pivots.shape[1]), cells.pivots)))
+    return F.pandas_udf(fn, "long")(vec)
+
+
+def rings_near(cells: Cells, vec: Column, need: int) -> Column:
+    """Numbers of the nearest rings that hold ``need`` rows, per query."""
+    def fn(v: pd.Series) -> pd.Series:
+        return pd.Series([cells.nearest(x, need) for x in _to_pivots(_matrix(v, cells.pivots.shape[1]), cells.pivots)])
+    return F.pandas_udf(fn, "array<long>")(vec)
+
+
+def rings_within(cells: Cells, vec: Column, bound: Column) -> Column:
+    """Numbers of all rings that can hold a row within ``bound``, per query."""
+    def fn(v: pd.Series, d: pd.Series) -> pd.Series:
+        dist = _to_pivots(_matrix(v, cells.pivots.shape[1]), cells.pivots)
+        return pd.Series([cells.within(x, b) for x, b in zip(dist, d)])
+    return F.pandas_udf(fn, "array<long>")(vec, bound)
+
+
+def _complete(cols: list[str]) -> Column:
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return ok
+
+
 def knn(query: DataFrame, ref: DataFrame, cols: list[str], k: int = 5, q_id: str = "id",
         r_id: str = "id", label: str | None = None, exclude_self: bool = False,
-        per_bucket: int = 64) -> DataFrame:
+        per_cell: int = 64) -> DataFrame:
     """The ``k`` nearest reference rows of every query row (Euclidean).
 
     Returns (q_id, r_id, dist, rank[, r_label]). ``exclude_self`` drops
     pairs with equal ids (self-neighbours when query and reference agree).
     """
-    spark = query.sparkSession
-    ref = cut_lineage(ref)
-    u = _direction(ref, cols)
-    keep_r = [F.col(r_id).alias("r_id")] + [F.col(c).alias("r_" + c) for c in cols] + \
-        ([F.col(label).alias("r_label")] if label else [])
-    # both sides are read by several jobs (count, quantiles, two passes):
-    # write them once to the shared checkpoint folder
-    r = cut_lineage(ref.select(*keep_r).withColumn("_p", _dot(cols, u, "r_")))
-    q = cut_lineage(query.select(F.col(q_id).alias("q_id"), *[F.col(c).alias("q_" + c) for c in cols])
-                    .withColumn("_qp", _dot(cols, u, "q_")))
-    n_r = r.count()
-    nb = max(1, int(n_r // max(per_bucket, 4 * k)))
-    # bucket bounds: a bounded list of nb - 1 doubles
-    qs = [i / nb for i in range(1, nb)]
-    bounds = sorted(set(r.approxQuantile("_p", qs, 0.001))) if qs else []
-    # a Bucketizer needs an interior split; any value is exact (buckets only balance work)
-    splits = [-math.inf] + (bounds or [0.0]) + [math.inf]
-    nbk = len(splits) - 1
-    rb = Bucketizer(splits=splits, inputCol="_p", outputCol="_bd").transform(r) \
-        .withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
-    qb = Bucketizer(splits=splits, inputCol="_qp", outputCol="_qbd").transform(q) \
-        .withColumn("_qb", F.col("_qbd").cast("int")).drop("_qbd")
+    ship_package(query.sparkSession)
+    more = ["r_label"] if label else []
+    rc, qc = ["r_" + c for c in cols], ["q_" + c for c in cols]
+    rv, qv = (F.array(*[F.col(c).cast("double") for c in x]) for x in (rc, qc))
+    # equal points: only the smallest ids can be neighbours (limited before the shuffle)
+    same = Window.partitionBy("_v").orderBy("r_id")
+    r = ref.where(_complete(cols)).select(F.col(r_id).alias("r_id"), *[F.col(c).alias("r_" + c) for c in cols],
+                                          *([F.col(label).alias("r_label")] if label else [])) \
+        .withColumn("_v", rv).withColumn("_same", F.dense_rank().over(same)).where(F.col("_same") <= k + 1) \
+        .drop("_same", "_v")
+    # both sides are read by several jobs: written once to the shared checkpoint folder
+    r = cut_lineage(r)
+    q = cut_lineage(query.where(_complete(cols)).select(F.col(q_id).alias("q_id"), *[F.col(c).alias("q_" + c) for c in cols]))
     not_self = (F.col("q_id") != F.col("r_id")) if exclude_self else F.lit(True)
+    cells = fit_cells(r, rc, "r_id", max(per_cell, 4 * k))
+    if cells is None:
+        none = q.join(r, F.lit(False), "inner").select("q_id", "r_id", F.lit(0.0).alias("dist"), F.lit(1).alias("rank"), *more)
+        return none.where(F.lit(False))
+    r = cut_lineage(r.withColumn("_b", ring_of(cells, rv)))
 
-    # pass 1: neighbouring buckets give an upper bound D_q
-    q1 = qb.withColumn("_b", F.explode(F.sequence(F.greatest(F.col("_qb") - 1, F.lit(0)),
-                                                  F.least(F.col("_qb") + 1, F.lit(nbk - 1)))))
-    p1 = q1.join(rb.select("r_id", "_b", *["r_" + c for c in cols]), "_b").where(not_self) \
-        .select("q_id", "_b", "r_id", _dist(cols).alias("dist"))
+    # pass 1: the k-th distance in the nearest rings bounds the true one
+    p1 = q.withColumn("_b", F.explode(rings_near(cells, qv, k + 1))) \
+        .join(r, "_b").where(not_self).select("q_id", *qc, "_b", "r_id", _dist(cols).alias("dist"))
     bound = _topk(p1, k).groupBy("q_id").agg(F.max("dist").alias("_d"), F.count(F.lit(1)).alias("_m")) \
-        .select("q_id", F.when(F.col("_m") >= k, F.col("_d")).otherwise(F.lit(math.inf)).alias("_d"))
-
-    # pass 2: only buckets overlapping the band [p - D, p + D]
-    lo_hi = Bucketizer(splitsArray=[splits, splits], inputCols=["_lo", "_hi"],
-                       outputCols=["_blo", "_bhi"])
-    q2 = qb.join(bound, "q_id").withColumn("_lo", F.col("_qp") - F.col("_d")) \
-        .withColumn("_hi", F.col("_qp") + F.col("_d"))
-    q2 = q2.withColumn("_lo", F.when(F.isnan("_lo") | (F.col("_lo") == -math.inf), F.lit(-1e300))
-                       .otherwise(F.col("_lo"))) \
-        .withColumn("_hi", F.when(F.isnan("_hi") | (F.col("_hi") == math.inf), F.lit(1e300))
-                    .otherwise(F.col("_hi")))
-    q2 = lo_hi.transform(q2).withColumn(
-        "_b", F.explode(F.sequence(F.col("_blo").cast("int"), F.col("_bhi").cast("int"))))
-    p2 = q2.join(rb, "_b").where(not_self & (F.abs(F.col("_p") - F.col("_qp")) <= F.col("_d"))) \
-        .withColumn("dist", _dist(cols)).where(F.col("dist") <= F.col("_d"))
-    out = ["q_id", "r_id", "dist", "rank"] + (["r_label"] if label else [])
-    return _topk(p2.select("q_id", "_b", "r_id", "dist", *(["r_label"] if label else [])), k) \
-        .select(*out)
+        .select("q_id", F.when(F.col("_m") >= k, F.col("_d")).alias("_d"))
+
+    # pass 2: every ring that can hold a neighbour
+    q2 = q.join(bound, "q_id", "left").withColumn("_d", F.coalesce("_d", F.lit(float("inf"))))
+    p2 = q2.withColumn("_b", F.explode(rings_within(cells, qv, F.col("_d")))) \
+        .join(r, "_b").where(not_self).withColumn("dist", _dist(cols)).where(F.col("dist") <= F.col("_d"))
+    return _topk(p2.select("q_id", "_b", "r_id", "dist", *more), k).select("q_id", "r_id", "dist", "rank", *more)
 
 
 def knn_classify(query: DataFrame, ref: DataFrame, cols: list[str], label: str, k: int = 5,

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from ivnflow.operators.neighbors import knn, smote
+from ivnflow.operators.neighbors import fit_cells, knn, smote
 
 
 def test_knn_exact_with_ties_and_clusters(spark):
@@ -15,7 +15,7 @@ def test_knn_exact_with_ties_and_clusters(spark):
     cols = ["a", "b", "c", "d"]
     q = df.where("id % 3 = 0")
     r = df.where("id % 3 <> 0")
-    got = {(x.q_id, x.rank): x.r_id for x in knn(q, r, cols, 5, "id", "id", per_bucket=8).collect()}
+    got = {(x.q_id, x.rank): x.r_id for x in knn(q, r, cols, 5, "id", "id", per_cell=8).collect()}
     qi = [i for i in range(len(a)) if i % 3 == 0]
     ri = np.array([i for i in range(len(a)) if i % 3 != 0])
     for i in qi:
@@ -34,3 +34,62 @@ def test_smote_rows(spark):
     assert len(s) == 70 - 30
     # synthetic points lie inside the minority bounding box
     assert all(0 <= r.a <= 6 and 0 <= r.b <= 4 for r in s)
+
+
+def brute(a, qi, ri, k):
+    out = {}
+    for i in qi:
+        d = np.sqrt(((a[ri] - a[i]) ** 2).sum(axis=1))
+        out[i] = sorted(d)[:k]
+    return out
+
+
+def test_knn_splits_large_cells_and_shared_points(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(scale=20, size=(12, 8))
+    a = centres[rng.integers(0, 12, 4000)] + rng.normal(scale=0.5, size=(4000, 8))
+    a[:1400] = a[0]                    # a point that a third of the rows share
+    names = [f"c{j}" for j in range(8)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(a)],
+                               "id long, " + ", ".join(f"{c} double" for c in names))
+    qi = list(range(0, 4000, 40))
+    q, r = df.where("id % 40 = 0"), df.where("id % 40 <> 0")
+    got = {}
+    for x in knn(q, r, names, 5, per_cell=16).collect():
+        got.setdefault(x.q_id, []).append((x.rank, x.dist, x.r_id))
+    ri = np.array([i for i in range(4000) if i % 40])
+    want = brute(a, qi, ri, 5)
+    for i in qi:
+        assert np.allclose([d for _, d, _ in sorted(got[i])], want[i])
+    # the shared point's neighbours are its smallest ids
+    assert [x for _, _, x in sorted(got[0])] == [1, 2, 3, 4, 5]
+    # every row lies in a ring, and most rings are pruned
+    cells = fit_cells(r, names, "id", 16)
+    assert int(cells.ring_rows.sum()) == len(ri)
+    seen = [cells.ring_rows[cells.within(np.sqrt(((cells.pivots - a[i]) ** 2).sum(axis=1)), want[i][-1])].sum()
+            for i in qi if i >= 1400]
+    assert np.median(seen) < len(ri) / 8
+
+
+def test_knn_bounds_hold(spark):
+    """No ring is left out that holds a row within the bound."""
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(500, 3))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(a)], "id long, a double, b double, c double")
+    cells = fit_cells(df, ["a", "b", "c"], "id", 10)
+    to_pivots = np.sqrt(((a[:, None] - cells.pivots[None]) ** 2).sum(axis=2))
+    rings = cells.ring_of(to_pivots)
+    for i in range(0, 500, 25):
+        d = np.sqrt(((a - a[i]) ** 2).sum(axis=1))
+        for bound in (0.0, 0.2, 0.7, 9.0):
+            assert set(rings[d <= bound]) <= set(cells.within(to_pivots[i], bound))
+        assert cells.ring_rows[cells.nearest(to_pivots[i], 12)].sum() >= 12
+
+
+def test_knn_awkward_rows(spark):
+    rows = [(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 1.0), (4, 3.0, 4.0), (4, 3.0, 4.0), (5, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    got = {(x.q_id, x["rank"]): (x.r_id, x.dist) for x in knn(df.where("id <> 4"), df, ["a", "b"], 9, exclude_self=True).collect()}
+    assert got[1, 1] == (5, 1.0) and got[1, 2] == got[1, 3] == (4, 5.0) and (1, 4) not in got
+    assert not any(i in (2, 3) for i, _ in got) and not any(r in (2, 3) for r, _ in got.values())
+    assert knn(df, df.where("false"), ["a", "b"]).count() == 0 == knn(df.where("false"), df, ["a", "b"]).count()
