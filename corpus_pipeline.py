@@ -2,6 +2,11 @@
 
 Five stages, each calling one operator of ``ivnflow.llm`` on all documents that
 the stage before it kept. All but the last return the columns of documents.
+
+Defined results: null, empty and blank texts have no letters and go in the first
+stage; rows with a null id are kept or rejected as any other; repeated rows (equal
+id and text) are folded to one by the dedup stage; an empty table gives no
+pieces; further columns of documents pass through unread.
 """
 
 from __future__ import annotations
@@ -55,7 +60,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Language ID, fingerprints and tokens are not SQL; tests/llm holds the operators, not yet each stage's rows, against brute force.
+#: Language ID, fingerprints and tokens are not SQL; tests/llm/test_pipeline_rows.py holds each stage's rows against plain Python.
 ORACLE_SQL = None
 
 
