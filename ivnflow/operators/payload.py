@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import hex_byte_at, hex_len_bytes, hex_valid
-from .sampling import mark_first_k
+from .evaluate import running_totals
 
 LOG_EPS = 1e-12
 
@@ -36,26 +36,28 @@ def benign_sample(df: DataFrame, hex_col: str = "payload_hex",
     ``order_col`` order.
 
     ``order_col`` is a non-negative integral file-order key. A histogram of
-    key ranges gives the bound of the bucket holding the cut (one number);
-    the rows are then re-read with ``order_col < bound``, a literal filter
-    that reaches the parquet scan, so only the table's prefix is read again.
-    The cut inside the last bucket is exact (``mark_first_k``).
+    key ranges, summed over row ranges, finds the one range with the cut (two
+    numbers); the rows are then re-read with literal filters on
+    ``order_col``, which reach the parquet scan, so only the table's prefix
+    is read again. Only the rows of that one key range are ranked (equal
+    keys by payload).
     """
     b = df.where((F.lower(F.col(label_col)) == benign) & F.col(hex_col).isNotNull())
     if sample_size is None:
         return b.select(order_col, hex_col)
     bucket = F.floor(F.col(order_col) / bucket_width)
-    hist = b.groupBy(bucket.alias("_bkt")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = hist.withColumn("_cum", F.sum("_n").over(w)).where(F.col("_cum") >= sample_size) \
-        .agg(F.min("_bkt")).first()[0]
-    if cut is None:
+    hist = b.where(F.col(order_col).isNotNull()).groupBy(bucket.alias("_bkt")).agg(F.count(F.lit(1)).alias("_n"))
+    cut = running_totals(hist, "_bkt", ["_n"], descending=False).where(F.col("cum__n") >= sample_size) \
+        .agg(F.min(F.struct("_bkt", (F.col("cum__n") - F.col("_n")).alias("_before"))).alias("c")).select("c.*").first()
+    if cut["_bkt"] is None:
         # fewer benign payloads than the sample size: all of them
         return b.select(order_col, hex_col)
-    b = b.where(F.col(order_col) < F.lit(int(cut + 1) * bucket_width))
-    k = df.sparkSession.range(1).select(F.lit(sample_size).alias("k"))
-    marked = mark_first_k(b.select(order_col, hex_col), [], [order_col], bucket, k)
-    return marked.where("_in").drop("_in")
+    low, high = (F.lit(int(cut["_bkt"] + i) * bucket_width) for i in (0, 1))
+    b = b.select(order_col, hex_col)
+    first = Window.partitionBy(bucket).orderBy(order_col, hex_col)
+    last = b.where((F.col(order_col) >= low) & (F.col(order_col) < high)).withColumn("_k", F.row_number().over(first)) \
+        .where(F.col("_k") <= sample_size - int(cut["_before"])).drop("_k")
+    return b.where(F.col(order_col) < low).unionByName(last)
 
 
 def fit_byte_model(sample: DataFrame, hex_col: str = "payload_hex",

@@ -175,6 +175,18 @@ def test_hot_flow_adaptive_chunks(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_benign_sample_of_repeated_keys(spark):
+    from ivnflow.operators.payload import benign_sample
+    rows = [(k // 3, "normal" if k % 5 else "dos", f"{k:04x}") for k in range(900)] + [(2, "normal", None), (None, "normal", "ff")]
+    pk = spark.createDataFrame(rows, "pkt_no long, label_str string, payload_hex string")
+    benign = sorted((n, h) for n, label, h in rows if label == "normal" and h is not None and n is not None)
+    for n in (0, 1, 7, 200, 719, 720):
+        for width in (4, 64, 1 << 16):
+            got = sorted(map(tuple, benign_sample(pk, sample_size=n, bucket_width=width).collect()))
+            assert got == benign[:n], (n, width)
+    assert benign_sample(pk, sample_size=721).count() == 721  # fewer keys than asked: all payloads
+
+
 def test_benign_sample_cut(spark):
     from ivnflow.operators.payload import benign_sample
     pk = packets(spark, SF001)
