@@ -17,9 +17,16 @@ trees, bit by bit.
 Every level is one partial aggregate: tasks add up their rows, Spark sums by
 (leaf, feature, bin) and finds each leaf's best split; the driver sees one row
 per leaf. Margins are a written table, renewed every ``STATE_ROUNDS`` rounds, and
-the trees since then are replayed from a closure. Up to ``task_rows`` rows the
-table is one partition; its task then does the same steps round by round
-without a job per level. Both ways share every function and give the same trees.
+the trees since then are replayed from a closure. Up to ``task_rows`` rows (by
+default as many as make ``TASK_CELLS`` bytes of bins) there is no job per level:
+boosted rounds, each of which needs the one before, run in one task, and the trees
+of a forest are dealt out, a group of drawn rows and a task per tree. All ways
+give the same trees.
+
+In a task a boosted level sums the rows of the smaller child of each split; its
+sibling is the parent without it. A forest's level has sums only for cells that
+hold rows, for the columns that may split the node, in chunks of ``CHUNK`` entries,
+so memory does not grow with the number of leaves.
 
 A fitted model is a table of nodes (tree, node, feature, cut, left, right,
 value, gain, cover); a row goes left where its value is at most the cut. Null
@@ -39,6 +46,10 @@ from .sampling import hash_key
 #: Gradients are counted in units of 1 / SCALE.
 SCALE = 1 << 20
 STATE_ROUNDS = 10
+#: Bytes of bins (rows times columns) that one task takes.
+TASK_CELLS = 1 << 26
+#: Entries (rows times columns) that are summed at a time.
+CHUNK = 1 << 18
 MOD = 2147483647
 NODE_SCHEMA = ("tree int, node int, feature int, cut double, left int, right int, value double, gain double, "
                "cover double")
@@ -255,7 +266,13 @@ class Grower:
 
     def tree(self) -> list[tuple]:
         """The finished nodes, numbered from 0 in their order."""
-        keep = set(self.nodes)
+        return self.numbered()[0]
+
+    def numbered(self):
+        """(finished nodes, number of the finished node that holds each node grown)."""
+        import numpy as np
+
+        keep, children = set(self.nodes), {n: v[2:4] for n, v in self.nodes.items()}
         if self.p.max_leaves is not None:
             kept = self.kept()
             keep = {0} | {c for n in kept for c in self.nodes[n][2:4]}
@@ -263,8 +280,15 @@ class Grower:
                 self.nodes[n][0:4] = [-1, 0, -1, -1]
                 self.nodes[n][5] = 0.0
         number = {n: i for i, n in enumerate(sorted(keep))}
+        place = np.zeros(self.next_id, np.int64)
+        for n in range(self.next_id):
+            if n in number:
+                place[n] = number[n]
+            for c in children.get(n, ()):
+                if c >= 0:
+                    place[c] = place[n]
         return [(number[n], v[0], v[1], number.get(v[2], -1), number.get(v[3], -1), v[4], v[5], v[6])
-                for n, v in sorted(self.nodes.items()) if n in keep]
+                for n, v in sorted(self.nodes.items()) if n in keep], place
 
 
 class Packed:
@@ -275,6 +299,17 @@ class Packed:
     def __init__(self, tree: list[tuple], cuts: list[list[float]] | None = None):
         import numpy as np
 
+        if isinstance(tree, Nodes):
+            split = tree.feature >= 0
+            self.feature, self.value, self.depth = np.maximum(tree.feature, 0).astype(np.int32), np.asarray(tree.value), tree.depth()
+            self.left = np.where(split, tree.left, np.arange(len(tree))).astype(np.int32)
+            self.limit = np.full(len(tree), np.inf)
+            if cuts is None:
+                self.limit[split] = tree.bin[split]
+            else:
+                first = np.cumsum([0] + [len(c) for c in cuts])
+                self.limit[split] = np.concatenate([np.asarray(c, float) for c in cuts])[first[tree.feature[split]] + tree.bin[split]]
+            return
         split = [n[1] >= 0 for n in tree]
         self.feature = np.array([max(n[1], 0) for n in tree], np.int64)
         self.left = np.array([n[3] if s else n[0] for n, s in zip(tree, split)], np.int64)
@@ -384,7 +419,7 @@ def _arrays(b, width: int):
     col = b.column(b.schema.get_field_index("bins"))
     raw = b"".join(v.as_py() for v in col)
     bins = np.frombuffer(raw, np.uint8).reshape(n, width)
-    key, y, w, valid = (np.array(b.column(b.schema.get_field_index(c)).to_pylist()) for c in ("key", "y", "weight", "valid"))
+    key, y, w, valid = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "y", "weight", "valid"))
     return key.astype(np.int64), y.astype(float), w.astype(float), valid.astype(bool), bins
 
 
@@ -392,7 +427,7 @@ def _arrays(b, width: int):
 
 def fit(df: DataFrame, id_col: str, cols: list[str], label: str, profile: Profile = Profile(),
         weight: str | None = None, valid: str | None = None, patience: int | None = None,
-        task_rows: int = 250_000) -> TreeModel:
+        task_rows: int | None = None) -> TreeModel:
     """Fit on the rows of ``df`` whose ``valid`` flag is not set; with ``patience``,
     stop once the flagged rows' loss has not fallen for so many rounds and keep
     the rounds up to the best. No round after that is fitted."""
@@ -407,7 +442,9 @@ def fit(df: DataFrame, id_col: str, cols: list[str], label: str, profile: Profil
     n = table.count()
     if n == 0:
         raise ValueError("no rows to fit")
-    way = _fit_in_task if n <= task_rows else _fit_by_jobs
+    if task_rows is None:
+        task_rows = TASK_CELLS // max(len(cols), 1)
+    way = _fit_by_jobs if n > task_rows else _fit_apart if _apart(profile) and patience is None else _fit_in_task
     trees, losses = way(table, len(cols), profile, patience)
     model = TreeModel(list(cols), cuts, profile, trees, losses)
     if patience is not None and losses:
@@ -424,22 +461,17 @@ def grow_all(key, y, w, valid, bins, p: Profile, patience: int | None = None):
     """(trees, losses) of all rounds over arrays."""
     import numpy as np
 
-    width, margin = bins.shape[1], np.zeros(len(y))
+    margin, by_column = np.zeros(len(y)), np.ascontiguousarray(bins.T)
     trees, losses = [], []
     for r in range(p.rounds):
-        g, h, use = round_sums(margin, y, w, key, r, p)
-        use = use & ~valid
-        columns, grower = tree_columns(width, r, p.columns, p.seed), Grower(p)
-        leaf = np.zeros(len(y), np.int64)
-        while grower.open:
-            grower.add(best_splits(histogram(bins, leaf, g, h, use, len(grower.open), columns, p.bins), columns, p,
-                                   grower.open_paths(), r))
-            if grower.open:
-                slot = np.full(grower.next_id, -1)
-                slot[grower.open] = np.arange(len(grower.open))
-                leaf = slot[Packed(_growing(grower)).descend(bins)]
-        trees.append(grower.tree())
-        margin = margin + Packed(trees[-1]).values(bins)
+        if _apart(p):
+            tree = grow_apart(key[~valid], y[~valid], w[~valid], bins[~valid], p, r)
+            trees.append(tree.rows())
+            margin = margin + Packed(trees[-1]).values(bins)
+        else:
+            tree, values = _grow_round(key, y, w, valid, bins, by_column, margin, p, r)
+            trees.append(tree)
+            margin = margin + values
         if valid.any():
             losses.append(log_loss_sum(margin[valid], y[valid], w[valid]) / float(w[valid].sum()))
             if stop(losses, patience):
@@ -447,6 +479,223 @@ def grow_all(key, y, w, valid, bins, p: Profile, patience: int | None = None):
     return trees, losses
 
 
+def _grow_round(key, y, w, valid, bins, by_column, margin, p: Profile, r: int):
+    """(tree, its value for each row): level by level, with sums for the smaller child of a split."""
+    import numpy as np
+
+    g, h, use = round_sums(margin, y, w, key, r, p)
+    columns, grower = tree_columns(bins.shape[1], r, p.columns, p.seed), Grower(p)
+    rows = np.flatnonzero(use & ~valid)
+    at = np.zeros(len(y), np.int64)   # node of each row
+    before: dict[int, tuple] = {}     # node -> its place among the sums of the level before
+    hist = None
+    while grower.open:
+        leaves = grower.open
+        slot = np.full(grower.next_id, -1)
+        if hist is None:
+            slot[leaves] = np.arange(len(leaves))
+            hist = _column_sums(by_column, rows, slot[at[rows]], g, h, 1, columns, p.bins)
+        else:
+            # children stand side by side; the lighter one is summed
+            spot = np.full(grower.next_id, -1)
+            spot[leaves] = np.arange(len(leaves))
+            place = spot[at[rows]]
+            rows, place = rows[place >= 0], place[place >= 0]
+            counts = np.bincount(place, minlength=len(leaves)).reshape(-1, 2)
+            light = counts.argmin(axis=1)
+            number = np.full(len(leaves), -1)
+            number[2 * np.arange(len(light)) + light] = np.arange(len(light))
+            some = number[place]
+            small = _column_sums(by_column, rows[some >= 0], some[some >= 0], g, h, len(light), columns, p.bins)
+            parents = hist[:, [before[leaves[2 * k]] for k in range(len(light))]]
+            hist = np.empty((2, len(leaves), len(columns), p.bins))
+            first = 2 * np.arange(len(light))
+            hist[:, first + light] = small
+            hist[:, first + 1 - light] = parents - small
+        grower.add(best_splits(hist, columns, p, [grower.path[n] for n in leaves], r))
+        nodes = grower.nodes
+        before = {c: k for k, n in enumerate(leaves) for c in nodes[n][2:4] if c >= 0}
+        # one step down for the rows of the nodes that were split
+        feature = np.full(grower.next_id, -1)
+        limit, left = np.zeros(grower.next_id, np.int64), np.zeros(grower.next_id, np.int64)
+        for n in leaves:
+            feature[n], limit[n], left[n] = nodes[n][0], nodes[n][1], nodes[n][2]
+        f = feature[at]
+        go = np.flatnonzero(f >= 0)
+        n = at[go]
+        at[go] = left[n] + (bins[go, f[go]] > limit[n])
+    tree, place = grower.numbered()
+    value = np.array([n[5] for n in tree])
+    return tree, value[place[at]]
+
+
+def _column_sums(by_column, rows, slot, g, h, leaves: int, columns: list[int], n_bins: int):
+    """Sums (2, leaves, columns, bins) of g and h of ``rows``, which lie in the leaves ``slot``."""
+    import numpy as np
+
+    out = np.empty((2, leaves, len(columns), n_bins))
+    base, g, h = slot * n_bins, g[rows], h[rows]
+    for k, c in enumerate(columns):
+        cells = base + by_column[c].take(rows)
+        out[0, :, k] = np.bincount(cells, g, leaves * n_bins).reshape(leaves, n_bins)
+        out[1, :, k] = np.bincount(cells, h, leaves * n_bins).reshape(leaves, n_bins)
+    return out
+
+
+# ---- trees that do not need each other -----------------------------------------------------------
+
+def _apart(p: Profile) -> bool:
+    """Whether each tree of the profile is grown by itself, without a limit of leaves."""
+    return p.kind == "forest" and p.max_leaves is None and p.depth <= 60
+
+
+@dataclass(eq=False)
+class Nodes:
+    """A tree's nodes as arrays, in order of their numbers; reads as a list of node tuples."""
+    feature: object
+    bin: object
+    left: object
+    value: object
+    gain: object
+    cover: object
+
+    def columns(self) -> list:
+        """node, feature, bin, left, right, value, gain, cover."""
+        import numpy as np
+
+        return [np.arange(len(self.feature)), self.feature, self.bin, self.left, np.where(self.left >= 0, self.left + 1, -1),
+                self.value, self.gain, self.cover]
+
+    def rows(self) -> list[tuple]:
+        return list(zip(*(c.tolist() for c in self.columns())))
+
+    def __len__(self) -> int:
+        return len(self.feature)
+
+    def __iter__(self):
+        return iter(self.rows())
+
+    def __getitem__(self, k):
+        return self.rows()[k]
+
+    def __eq__(self, other) -> bool:
+        return self.rows() == list(other)
+
+    def depth(self) -> int:
+        import numpy as np
+
+        at, out = np.zeros(1, np.int64), 0
+        while (at := at[self.feature[at] >= 0]).size:
+            at, out = np.concatenate([self.left[at], self.left[at] + 1]), out + 1
+        return out
+
+
+def chosen_columns(paths, r: int, columns: list[int], p: Profile):
+    """``node_choice`` for many nodes: a row of places in ``columns`` per path."""
+    import numpy as np
+
+    if p.node_columns is None or p.node_columns >= len(columns):
+        return np.tile(np.arange(len(columns)), (len(paths), 1))
+    keys = row_hash((paths % MOD)[:, None] * 64 + np.array(columns)[None], r)
+    return np.sort(np.argsort(keys, axis=1, kind="stable")[:, :p.node_columns], axis=1)
+
+
+def cell_sums(cells, g, h, size: int):
+    """(cells that hold entries, ascending, sums of g, of h)."""
+    import numpy as np
+
+    if size <= 16 * len(cells):
+        n, sg, sh = np.bincount(cells, minlength=size), np.bincount(cells, g, size), np.bincount(cells, h, size)
+        found = np.flatnonzero(n)
+        return found, sg[found], sh[found]
+    found, at = np.unique(cells, return_inverse=True)
+    return found, np.bincount(at, g, len(found)), np.bincount(at, h, len(found))
+
+
+def sparse_splits(bins, rows, starts, g, h, g_all, h_all, chosen, columns, p: Profile):
+    """Best split per leaf as arrays (gain, feature, bin). ``rows`` lie leaf by leaf
+    (``starts`` has the begin of each and the end), ``chosen`` has a leaf's places in ``columns``."""
+    import numpy as np
+
+    columns, per = np.array(columns), chosen.shape[1]
+    n = len(chosen)
+    gain, feature, cut = np.full(n, -1.0), np.full(n, -1), np.zeros(n, np.int64)
+    block = max(1, CHUNK // per)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + block, "right")) - 1)
+        found, sums = [], []
+        for a in range(starts[lo], starts[hi], block):
+            z = min(a + block, starts[hi])
+            leaf = np.searchsorted(starts, np.arange(a, z), "right") - 1
+            some = rows[a:z]
+            entry = bins[some[:, None], columns[chosen[leaf]]] + ((leaf - lo)[:, None] * per + np.arange(per)) * p.bins
+            cells, sg, sh = cell_sums(entry.ravel(), np.repeat(g[some], per), np.repeat(h[some], per), (hi - lo) * per * p.bins)
+            found.append(cells)
+            sums.append((sg, sh))
+        cells, sg, sh = found[0], *sums[0]
+        if len(found) > 1:  # one leaf of many rows
+            cells, sg, sh = cell_sums(np.concatenate(found), np.concatenate([x[0] for x in sums]), np.concatenate([x[1] for x in sums]),
+                                      (hi - lo) * per * p.bins)
+        column, leaf = cells // p.bins, cells // (per * p.bins)
+        first = np.flatnonzero(np.diff(column, prepend=-1))
+        run = np.cumsum(np.diff(column, prepend=-1) > 0) - 1
+        gl, hl = np.cumsum(sg), np.cumsum(sh)
+        gl, hl = gl - (gl[first] - sg[first])[run], hl - (hl[first] - sh[first])[run]
+        score = split_gain(gl, hl, g_all[lo + leaf], h_all[lo + leaf], p)
+        begins = np.flatnonzero(np.diff(leaf, prepend=-1))
+        top = np.maximum.reduceat(score, begins)
+        hit = np.flatnonzero(score == top[np.cumsum(np.diff(leaf, prepend=-1) > 0) - 1])
+        at = hit[np.searchsorted(leaf[hit], leaf[begins])]  # least column, then least bin
+        to = lo + leaf[at]
+        gain[to] = score[at]
+        feature[to] = np.where(score[at] > 1e-6, columns[chosen[to, column[at] % per]], -1)
+        cut[to] = cells[at] % p.bins
+        lo = hi
+    return gain, feature, cut
+
+
+def grow_apart(key, y, w, bins, p: Profile, r: int) -> Nodes:
+    """Tree ``r`` of a forest over arrays."""
+    import numpy as np
+
+    g, h, use = round_sums(np.zeros(len(y)), y, w, key, r, p)
+    rows = np.flatnonzero(use & ((g != 0) | (h != 0)))
+    columns = tree_columns(bins.shape[1], r, p.columns, p.seed)
+    slot, paths, out, total = np.zeros(len(rows), np.int64), np.zeros(1, np.int64), [], 0
+    for level in range(p.depth + 1):
+        n = len(paths)
+        g_all, h_all = np.bincount(slot, g[rows], n), np.bincount(slot, h[rows], n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(h_all != 0, (g_all / SCALE) / (h_all / SCALE), 0.0)
+        feature, cut, gain = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n)
+        # nodes of one class or too few rows cannot gain
+        due = (g_all != 0) & (g_all != h_all) & (h_all >= 2 * p.min_child_weight * SCALE) if level < p.depth else np.zeros(n, bool)
+        total += n
+        left = np.full(n, -1)
+        if due.any():
+            keep = due[slot]
+            rows, slot = rows[keep], slot[keep]
+            number = np.cumsum(due) - 1
+            order = np.argsort(number[slot], kind="stable")
+            rows, slot = rows[order], slot[order]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(number[slot], minlength=int(due.sum())))])
+            got = sparse_splits(bins, rows, starts, g, h, g_all[due], h_all[due], chosen_columns(paths[due], r, columns, p), columns, p)
+            feature[due], cut[due] = got[1], np.where(got[1] >= 0, got[2], 0)
+            gain[due] = np.where(got[1] >= 0, got[0], 0.0)
+        split = feature >= 0
+        left[split] = total + 2 * np.arange(int(split.sum()))
+        out.append((feature, cut, left, value, gain, h_all / SCALE))
+        if not split.any():
+            break
+        keep = split[slot]
+        rows, slot = rows[keep], slot[keep]
+        right = bins[rows, feature[slot]] > cut[slot]
+        slot = 2 * (np.cumsum(split) - 1)[slot] + right
+        paths = np.stack([2 * paths[split] + 1, 2 * paths[split] + 2], axis=1).ravel()
+    return Nodes(*(np.concatenate([x[k] for x in out]) for k in range(6)))
+
+
 def fit_sample(x: list[list[float]], y: list[int], cols: list[str], profile: Profile) -> TreeModel:
     """The same fit on a small sample that the caller holds (keys are row numbers)."""
     import numpy as np
@@ -493,6 +742,48 @@ def _fit_in_task(table: DataFrame, width: int, p: Profile, patience: int | None)
     return trees, [losses[k] for k in sorted(losses)]
 
 
+def _fit_apart(table: DataFrame, width: int, p: Profile, patience: int | None):
+    """A task per tree over the rows drawn for it. The nodes come to the driver as arrays."""
+    import numpy as np
+
+    ship_package(table.sparkSession)
+    kinds = "node int, feature int, bin int, left int, right int, value double, gain double, cover double"
+
+    def run(group, rows):
+        import numpy as np
+        import pyarrow as pa
+
+        r = group[0].as_py()
+        parts = [_arrays(b, width) for b in rows.to_batches()]
+        tree = grow_apart(*(np.concatenate([q[k] for q in parts]) for k in (0, 1, 2, 4)), p, r)
+        types = [pa.int32()] * 5 + [pa.float64()] * 3
+        return pa.Table.from_arrays([pa.array(np.full(len(tree.feature), r), pa.int32()),
+                                     *(pa.array(c, t) for c, t in zip(tree.columns(), types))],
+                                    names=["tree", "node", "feature", "bin", "left", "right", "value", "gain", "cover"])
+
+    def hashed(key, r):
+        x = (key + F.lit(1009) * (r + 1)) % MOD * 48271 % MOD
+        return (x + key) % MOD * 69621 % MOD
+
+    each = table.where("not valid").select(
+        "key", "y", "weight", "valid", "bins", F.explode(F.sequence(F.lit(0), F.lit(p.rounds - 1))).alias("tree"))
+    draw = hashed(F.col("key"), F.col("tree").cast("long")) % 1000
+    drawn = each.where(draw < p.rows)
+    if p.bootstrap:
+        drawn = drawn.where(draw >= DRAWS[0])  # others count 0 times
+    got = drawn.repartition(p.rounds, "tree").groupBy("tree").applyInArrow(run, f"tree int, {kinds}").toArrow()
+    got = got.sort_by([("tree", "ascending"), ("node", "ascending")])
+    nothing = [(0, -1, 0, -1, -1, 0.0, 0.0, 0.0)]  # a tree without rows
+    trees: list = [nothing] * p.rounds
+    tree = got.column("tree").to_numpy()
+    ends = np.searchsorted(tree, np.arange(p.rounds + 1))
+    for r in range(p.rounds):
+        if ends[r] < ends[r + 1]:
+            part = got.slice(int(ends[r]), int(ends[r + 1] - ends[r]))
+            trees[r] = Nodes(*(part.column(c).to_numpy() for c in ("feature", "bin", "left", "value", "gain", "cover")))
+    return trees, []
+
+
 def _growing(grower: Grower) -> list[tuple]:
     """Nodes found so far by node id."""
     blank = [-1, 0, -1, -1, 0.0, 0.0, 0.0]
@@ -565,25 +856,43 @@ def _level(state: DataFrame, width: int, p: Profile, r: int, columns: list[int],
         import numpy as np
         import pyarrow as pa
 
-        total = np.zeros((2, len(leaves), len(columns), p.bins))
+        # few cells are added up over the task; many are handed on chunk by chunk, those that hold rows
+        size = len(leaves) * len(columns) * p.bins
+        total = np.zeros((2, size)) if size <= 8 * CHUNK else None
+        allowed = np.zeros((len(leaves), len(columns)), bool)
+        for k, path in enumerate(paths):
+            allowed[k, node_choice(path, r, columns, p)] = True
         slot = np.full(len(tree), -1)
         slot[leaves] = np.arange(len(leaves))
         packed = Packed(tree)
+
+        def batch(cells, g, h):
+            k, b = np.divmod(cells, p.bins)
+            return pa.RecordBatch.from_arrays(
+                [pa.array((k // len(columns)).astype(np.int32)), pa.array((k % len(columns)).astype(np.int32)),
+                 pa.array(b.astype(np.int32)), pa.array(g.astype(np.int64)), pa.array(h.astype(np.int64))],
+                names=["leaf", "k", "bin", "g", "h"])
+
         for b in batches:
             key, y, w, valid, bins = _arrays(b, width)
             g, h, use = round_sums(margins(b, bins, since), y, w, key, r, p)
             leaf = slot[packed.descend(bins)]
-            total += histogram(bins, leaf, g, h, use & ~valid, len(leaves), columns, p.bins)
-        if p.node_columns is not None:
-            for k, path in enumerate(paths):
-                off = np.ones(len(columns), bool)
-                off[node_choice(path, r, columns, p)] = False
-                total[:, k, off] = 0
-        at = np.nonzero((total[0] != 0) | (total[1] != 0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(at[2].astype(np.int32)),
-             pa.array(total[0][at].astype(np.int64)), pa.array(total[1][at].astype(np.int64))],
-            names=["leaf", "k", "bin", "g", "h"])
+            at = np.flatnonzero(use & ~valid & (leaf >= 0) & ((g != 0) | (h != 0)))
+            step = max(1, CHUNK // len(columns))
+            for lo in range(0, len(at), step):
+                some = at[lo:lo + step]
+                open_cells = allowed[leaf[some]]
+                cells = ((leaf[some] * len(columns))[:, None] + np.arange(len(columns))) * p.bins + bins[some][:, columns]
+                cells, reps = cells[open_cells], open_cells.sum(axis=1)
+                found, sg, sh = cell_sums(cells, np.repeat(g[some], reps), np.repeat(h[some], reps), size)
+                if total is None:
+                    yield batch(found, sg, sh)
+                else:
+                    total[0, found] += sg
+                    total[1, found] += sh
+        if total is not None:
+            found = np.flatnonzero((total[0] != 0) | (total[1] != 0))
+            yield batch(found, total[0, found], total[1, found])
 
     cells = state.mapInArrow(run, "leaf int, k int, bin int, g long, h long").groupBy("leaf", "k", "bin").agg(
         F.sum("g").alias("g"), F.sum("h").alias("h"))
@@ -618,13 +927,12 @@ def score(model: TreeModel, df: DataFrame, id_col: str, label: str, out: str = "
     """Class-1 probability per row: the nodes travel in the closure (their size is the
     model's, whatever the rows), and a batch goes down one tree after another."""
     ship_package(df.sparkSession)
-    trees, cuts, width, kind = model.trees, model.cuts, len(model.cols), model.profile.kind
+    packed, width, kind = [Packed(t, model.cuts) for t in model.trees], len(model.cols), model.profile.kind
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        packed = [Packed(t, cuts) for t in trees]
         for b in batches:
             x = np.empty((b.num_rows, width))
             for k in range(width):

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from ivnflow import sinks
@@ -133,3 +134,64 @@ def test_the_profiles_fit_all_rounds(spark):
     assert model.num_trees == GBT_PARAMS["rounds"] == 1000
     table = md.baseline_table(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), VECTOR_COLS[:8], "vec_id", "y_true", rounds=5)
     assert [r["model"] for r in table.collect()] == ["GBT", "RF", "DT", "LR", "GBT2", "KNN", "NB"]
+
+
+def array_rows(n, width, bins, seed=3):
+    rng = np.random.default_rng(seed)
+    b = rng.integers(0, bins, (n, width)).astype(np.uint8)
+    y = (b[:, 0] + b[:, 1] + rng.integers(0, bins, n) > 1.5 * bins).astype(float)
+    return rng.integers(0, bo.MOD, n), y, rng.choice([1.0, 2.0], n), b
+
+
+def plain_rounds(key, y, w, bins, p):
+    """Trees by whole histograms of every open leaf."""
+    margin, trees = np.zeros(len(y)), []
+    for r in range(p.rounds):
+        g, h, use = bo.round_sums(margin, y, w, key, r, p)
+        columns, grower = bo.tree_columns(bins.shape[1], r, p.columns, p.seed), bo.Grower(p)
+        leaf = np.zeros(len(y), np.int64)
+        while grower.open:
+            sums = bo.histogram(bins, leaf, g, h, use, len(grower.open), columns, p.bins)
+            grower.add(bo.best_splits(sums, columns, p, grower.open_paths(), r))
+            if grower.open:
+                slot = np.full(grower.next_id, -1)
+                slot[grower.open] = np.arange(len(grower.open))
+                leaf = slot[bo.Packed(bo._growing(grower)).descend(bins)]
+        trees.append(grower.tree())
+        margin = margin + bo.Packed(trees[-1]).values(bins)
+    return trees
+
+
+@pytest.mark.parametrize("p", [
+    bo.Profile(rounds=6, depth=5, rows=800, columns=800, bins=16),
+    bo.Profile(rounds=4, depth=30, max_leaves=9, l2=0.0, min_child_weight=1e-3, bins=32),
+    bo.Profile(rounds=3, depth=30, kind="forest", bootstrap=True, node_columns=2, bins=64),
+    bo.Profile(rounds=1, depth=30, kind="forest", bins=64), bo.Profile(rounds=2, depth=3, kind="forest", bins=16)])
+def test_sums_of_smaller_children_and_occupied_cells_give_the_plain_trees(p, monkeypatch):
+    monkeypatch.setattr(bo, "CHUNK", 500)
+    key, y, w, bins = array_rows(900, 6, p.bins)
+    assert bo.grow_all(key, y, w, np.zeros(900, bool), bins, p)[0] == plain_rounds(key, y, w, bins, p)
+
+
+def test_sums_of_a_forest_level_do_not_grow_with_its_leaves(monkeypatch):
+    """Noise makes thousands of leaves; whole histograms of a level were 2 x leaves x columns x bins numbers."""
+    import tracemalloc
+    rng = np.random.default_rng(9)
+    n, p = 20_000, bo.Profile(rounds=1, depth=30, kind="forest", bins=256)
+    bins = rng.integers(0, 256, (n, 16)).astype(np.uint8)
+    tracemalloc.start()
+    tree = bo.grow_apart(np.arange(n), rng.integers(0, 2, n).astype(float), np.ones(n), bins, p, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(tree) > 6_000 and peak < 100 << 20
+
+
+def test_the_trees_of_a_forest_are_dealt_out(data, monkeypatch):
+    """No task gets the whole table: each tree has a group of the rows drawn for it."""
+    monkeypatch.setattr(bo, "_fit_in_task", None)
+    p = bo.Profile(rounds=5, depth=6, kind="forest", bootstrap=True, node_columns=2)
+    one = bo.fit(data, "id", COLS, "y", p, weight="w")
+    many = bo.fit(data, "id", COLS, "y", p, weight="w", task_rows=0)
+    assert one.trees == many.trees and one.num_trees == 5
+    probs = [{r["id"]: r["y_prob"] for r in bo.score(m, data, "id", "y").collect()} for m in (one, many)]
+    assert probs[0] == probs[1]
