@@ -1,4 +1,4 @@
-"""Exact k-nearest neighbours in pivot cells, without forming all pairs.
+"""Exact k-nearest neighbours in pivot cells, in tiles of bounded size.
 
 1. Up to ``MAX_PIVOTS`` reference points, taken in hash order, are pivots;
    every reference row belongs to the cell of its nearest pivot. A cell of
@@ -8,18 +8,26 @@
    the cell's rows from that pivot; every ring has the same for its own
    pivot. By the triangle inequality they bound the distance of a query
    from all rows of a ring from below.
-3. Pass 1 joins each query with the nearest rings that hold ``k`` rows; the
-   k-th distance there is an upper bound ``D_q`` of the true one. Pass 2
-   joins each query with every ring whose lower bound is at most ``D_q``.
-   Each true neighbour lies in one of them, so the top k are exact; pivots
-   and quantiles only decide how much is pruned.
+3. Rings that follow one another form blocks of about ``TILE`` rows (a larger
+   ring is several). Pass 1 compares each query with the blocks of the nearest
+   rings that hold ``k`` rows; the k-th distance there is an upper bound
+   ``D_q`` of the true one. Pass 2 compares it with the blocks left that have
+   a ring whose lower bound is at most ``D_q``. Each true neighbour lies in one
+   of them, so the top k are exact; pivots and quantiles only decide how much
+   is pruned.
+4. A block meets at most about ``TILE`` queries in a task: a matrix product
+   gives the squared distances up to rounding, rows within the bound and a
+   margin for rounding are measured again coordinate by coordinate, and the k
+   nearest of each query go on. No pair of rows is ever a row of a table.
+
+Where points lie apart in many dimensions, nothing can be pruned and the work
+is that of all pairs, as matrix products, spread over tiles of bounded memory.
 
 Rows with equal coordinates are cut to the ``k + 1`` smallest ids before
 anything else (no others can be neighbours), so a point that a third of all
 rows share costs ``k + 1`` rows. The cells' figures are at most
 ``MAX_PIVOTS * (d + 2 * MAX_PIVOTS + 4 * MAX_RINGS)`` numbers at any size;
-they travel to the tasks in the closure. Beyond ``MAX_PIVOTS * MAX_RINGS *
-per_cell`` rows the rings grow with the data.
+they travel to the tasks in the closure.
 
 Ties on distance are broken by the reference id. Rows with a null or NaN
 coordinate have no neighbours and are none.
@@ -37,22 +45,11 @@ from .sampling import hash_key
 
 MAX_PIVOTS = 256
 MAX_RINGS = 64
+#: Rows of a block and queries that meet it in a task, about.
+TILE = 16_384
 SLACK = 1e-9  # relative, for bounds and distances summed in different orders
 
 
-def _dist(cols, a="q_", b="r_"):
-    return F.sqrt(sum(((F.col(a + c) - F.col(b + c)) * (F.col(a + c) - F.col(b + c)) for c in cols),
-                      F.lit(0.0)))
-
-
-def _topk(pairs: DataFrame, k: int) -> DataFrame:
-    """Keep the k nearest per query: first per (query, ring), then per query."""
-    w1 = Window.partitionBy("q_id", "_b").orderBy("dist", "r_id")
-    p = pairs.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
-    w2 = Window.partitionBy("q_id").orderBy("dist", "r_id")
-    return p.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("_r1")
-
-
 def _matrix(v: pd.Series, d: int) -> np.ndarray:
     return np.stack(v.to_list()).astype(float) if len(v) else np.empty((0, d))
 
@@ -154,28 +151,141 @@ def fit_cells(ref: DataFrame, cols: list[str], id_col: str, per_cell: int = 64)
     return cells
 
 
-def ring_of(cells: Cells, vec: Column) -> Column:
-    """The ring of each row."""
+class Blocks:
+    """Blocks of rings that follow one another: ``of`` has a ring's block, ``parts`` the
+    number of tables that a block's rows are dealt to (1 but for rings of more than ``tile`` rows)."""
+
+    def __init__(self, cells: Cells, tile: int):
+        self.of = np.zeros(len(cells.ring_rows), dtype=np.int64)
+        rows: list[int] = []
+        for ring, n in enumerate(cells.ring_rows.tolist()):
+            if not rows or rows[-1] and rows[-1] + n > tile:
+                rows.append(0)
+            self.of[ring] = len(rows) - 1
+            rows[-1] += n
+        self.parts = [max(1, -(-n // tile)) for n in rows]
+
+    def near(self, cells: Cells, dist: np.ndarray, need: int) -> np.ndarray:
+        """Blocks of the rings next to a query that hold ``need`` rows."""
+        return np.unique(self.of[cells.nearest(dist, need)])
+
+    def within(self, cells: Cells, dist: np.ndarray, bound: float, need: int) -> np.ndarray:
+        """Blocks that can hold a row within ``bound``, without those of ``near``."""
+        return np.setdiff1d(self.of[cells.within(dist, bound)], self.near(cells, dist, need))
+
+
+def block_of(cells: Cells, blocks: Blocks, vec: Column) -> Column:
+    """The block of each row, by its ring."""
     def fn(v: pd.Series) -> pd.Series:
-        return pd.Series(cells.ring_of(_to_pivots(_matrix(v, cells.pivots.shape[1]), cells.pivots)))
+        return pd.Series(blocks.of[cells.ring_of(_to_pivots(_matrix(v, cells.pivots.shape[1]), cells.pivots))])
     return F.pandas_udf(fn, "long")(vec)
 
 
-def rings_near(cells: Cells, vec: Column, need: int) -> Column:
-    """Numbers of the nearest rings that hold ``need`` rows, per query."""
+def blocks_near(cells: Cells, blocks: Blocks, vec: Column, need: int) -> Column:
+    """Numbers of the blocks of pass 1, per query."""
     def fn(v: pd.Series) -> pd.Series:
-        return pd.Series([cells.nearest(x, need) for x in _to_pivots(_matrix(v, cells.pivots.shape[1]), cells.pivots)])
+        return pd.Series([blocks.near(cells, x, need) for x in _to_pivots(_matrix(v, cells.pivots.shape[1]), cells.pivots)])
     return F.pandas_udf(fn, "array<long>")(vec)
 
 
-def rings_within(cells: Cells, vec: Column, bound: Column) -> Column:
-    """Numbers of all rings that can hold a row within ``bound``, per query."""
+def blocks_within(cells: Cells, blocks: Blocks, vec: Column, bound: Column, need: int) -> Column:
+    """Numbers of the blocks of pass 2, per query."""
     def fn(v: pd.Series, d: pd.Series) -> pd.Series:
         dist = _to_pivots(_matrix(v, cells.pivots.shape[1]), cells.pivots)
-        return pd.Series([cells.within(x, b) for x, b in zip(dist, d)])
+        return pd.Series([blocks.within(cells, x, b, need) for x, b in zip(dist, d)])
     return F.pandas_udf(fn, "array<long>")(vec, bound)
 
 
+def nearest_in_tile(q: np.ndarray, bound: np.ndarray, r: np.ndarray, same: tuple[np.ndarray, np.ndarray] | None, k: int):
+    """(query, row, distance) of the ``k`` nearest rows of ``r`` within ``bound`` of each row of
+    ``q``, ties to the earlier row. ``same`` numbers the ids of both sides: equal ones are no pair."""
+    d, out = q.shape[1], []
+    middle = r.mean(axis=0)
+    qc, rc = q - middle, r - middle
+    qn, rn = (qc * qc).sum(axis=1), (rc * rc).sum(axis=1)
+    # what rounding can add to a squared distance by products, and to a distance by centring
+    eps = np.finfo(float).eps
+    far = rn.max()
+    wide = np.ascontiguousarray(np.concatenate([rc, rn[:, None]], axis=1).T)
+    moved = 8 * eps * np.sqrt(d) * max(np.abs(q).max(), np.abs(r).max(), np.abs(middle).max())
+    step = max(1, (1 << 22) // len(r))
+    for i in range(0, len(q), step):
+        some = slice(i, i + step)
+        near = np.concatenate([-2 * qc[some], np.ones((len(qc[some]), 1))], axis=1) @ wide  # squared distance less qn
+        limit = bound[some] * (1 + SLACK)
+        slack = 16 * (d + 8) * eps * (qn[some] + far)
+        limit = (limit + moved) ** 2 - qn[some] + slack
+        # the k-th of the first rows is a bound too
+        head = near[:, :2048]
+        if head.shape[1] > k:
+            if same is not None:
+                head = np.where(same[0][some, None] == same[1][None, :head.shape[1]], np.inf, head)
+            kth = np.sqrt(np.maximum(np.partition(head, k - 1, axis=1)[:, k - 1] + qn[some] + slack, 0.0)) * (1 + SLACK)
+            limit = np.minimum(limit, (kth + 2 * moved) ** 2 - qn[some] + 2 * slack)
+        a, b = np.nonzero(near <= limit[:, None])
+        if same is not None:
+            apart = same[0][i + a] != same[1][b]
+            a, b = a[apart], b[apart]
+        exact = np.zeros(len(a))
+        for c in range(d):  # in the order of the columns
+            x = q[i + a, c] - r[b, c]
+            exact += x * x
+        exact = np.sqrt(exact)
+        keep = exact <= bound[i + a]
+        a, b, exact = a[keep], b[keep], exact[keep]
+        order = np.lexsort((b, exact, a))
+        a, b, exact = a[order], b[order], exact[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        first = rank < k
+        out.append((i + a[first], b[first], exact[first]))
+    return tuple(np.concatenate([x[j] for x in out]) for j in range(3))
+
+
+def tiles(q: DataFrame, r: DataFrame, qc: list[str], rc: list[str], k: int, n_query: int, blocks: Blocks,
+          exclude_self: bool, label: bool) -> DataFrame:
+    """q_id, r_id, dist[, r_label]: for each row of ``q`` (with ``_to``, the blocks it meets, and ``_d``) the
+    ``k`` nearest rows of each table it meets."""
+    parts = F.array(*(F.lit(n) for n in blocks.parts))
+    # queries of a block come in as many chunks as keep a task near TILE queries
+    chunks = max(1, -(-n_query // TILE))
+    q = q.withColumn("_k", F.explode("_to")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.element_at(parts, (F.col("_k") + 1).cast("int")) - 1))) \
+        .withColumn("_c", F.pmod(F.xxhash64("_i"), F.lit(chunks)).cast("int")).select("_k", "_p", "_c", "q_id", "_d", *qc)
+    r = r.withColumn("_p", F.pmod(F.xxhash64("r_id"), F.element_at(parts, (F.col("_k") + 1).cast("int"))).cast("int")) \
+        .withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("_k", "_p", "_c", "r_id", *rc, *(["r_label"] if label else []))
+    keys = ["_k", "_p", "_c"]
+    n = min(2 * chunks * sum(blocks.parts), 4096)
+    kinds = [f"q_id {q.schema['q_id'].dataType.simpleString()}", f"r_id {r.schema['r_id'].dataType.simpleString()}", "dist double"]
+    if label:
+        kinds.append(f"r_label {r.schema['r_label'].dataType.simpleString()}")
+
+    def run(left, right):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if left.num_rows and right.num_rows:
+            right = right.take(pc.sort_indices(right, [("r_id", "ascending")], null_placement="at_start"))
+            matrix = lambda t, cols: np.column_stack([t.column(c).to_numpy() for c in cols])
+            same = None
+            if exclude_self:
+                ids = right.column("r_id").combine_chunks().unique()
+                same = (pc.fill_null(pc.index_in(left.column("q_id"), ids), -1).to_numpy(), pc.index_in(right.column("r_id"), ids).to_numpy())
+            a, b, dist = nearest_in_tile(matrix(left, qc), left.column("_d").to_numpy(), matrix(right, rc), same, k)
+        else:
+            a, b, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        cols = {"q_id": left.column("q_id").take(pa.array(a)), "r_id": right.column("r_id").take(pa.array(b)), "dist": pa.array(dist)}
+        if label:
+            cols["r_label"] = right.column("r_label").take(pa.array(b))
+        return pa.table(cols)
+
+    return q.repartition(n, *keys).groupBy(*keys).cogroup(r.repartition(n, *keys).groupBy(*keys)).applyInArrow(run, ", ".join(kinds))
+
+
+def _topk(pairs: DataFrame, k: int) -> DataFrame:
+    """Keep the k nearest per query."""
+    w = Window.partitionBy("q_id").orderBy("dist", "r_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def _complete(cols: list[str]) -> Column:
     ok = F.lit(True)
     for c in cols:
@@ -203,25 +313,30 @@ def knn(query: DataFrame, ref: DataFrame, cols: list[str], k: int = 5, q_id: str
         .drop("_same", "_v")
     # both sides are read by several jobs: written once to the shared checkpoint folder
     r = cut_lineage(r)
-    q = cut_lineage(query.where(_complete(cols)).select(F.col(q_id).alias("q_id"), *[F.col(c).alias("q_" + c) for c in cols]))
-    not_self = (F.col("q_id") != F.col("r_id")) if exclude_self else F.lit(True)
+    q = cut_lineage(query.where(_complete(cols)).select(
+        F.col(q_id).alias("q_id"), *[F.col(c).cast("double").alias("q_" + c) for c in cols], F.monotonically_increasing_id().alias("_i")))
     cells = fit_cells(r, rc, "r_id", max(per_cell, 4 * k))
     if cells is None:
         none = q.join(r, F.lit(False), "inner").select("q_id", "r_id", F.lit(0.0).alias("dist"), F.lit(1).alias("rank"), *more)
         return none.where(F.lit(False))
-    r = cut_lineage(r.withColumn("_b", ring_of(cells, rv)))
-
-    # pass 1: the k-th distance in the nearest rings bounds the true one
-    p1 = q.withColumn("_b", F.explode(rings_near(cells, qv, k + 1))) \
-        .join(r, "_b").where(not_self).select("q_id", *qc, "_b", "r_id", _dist(cols).alias("dist"))
+    if exclude_self:  # a null id is not known to be another one
+        q, r = q.where(F.col("q_id").isNotNull()), r.where(F.col("r_id").isNotNull())
+    blocks = Blocks(cells, TILE)
+    r = cut_lineage(r.withColumn("_k", block_of(cells, blocks, rv)).select("r_id", "_k", *[F.col(c).cast("double").alias(c) for c in rc], *more))
+    n_query = q.count()
+
+    # pass 1: the k-th distance in the nearest blocks bounds the true one
+    far = F.lit(float("inf"))
+    p1 = cut_lineage(tiles(q.withColumn("_to", blocks_near(cells, blocks, qv, k + 1)).withColumn("_d", far), r, qc, rc, k, n_query, blocks,
+                           exclude_self, bool(label)))
     bound = _topk(p1, k).groupBy("q_id").agg(F.max("dist").alias("_d"), F.count(F.lit(1)).alias("_m")) \
         .select("q_id", F.when(F.col("_m") >= k, F.col("_d")).alias("_d"))
 
-    # pass 2: every ring that can hold a neighbour
-    q2 = q.join(bound, "q_id", "left").withColumn("_d", F.coalesce("_d", F.lit(float("inf"))))
-    p2 = q2.withColumn("_b", F.explode(rings_within(cells, qv, F.col("_d")))) \
-        .join(r, "_b").where(not_self).withColumn("dist", _dist(cols)).where(F.col("dist") <= F.col("_d"))
-    return _topk(p2.select("q_id", "_b", "r_id", "dist", *more), k).select("q_id", "r_id", "dist", "rank", *more)
+    # pass 2: every other block that can hold a neighbour
+    q2 = q.join(bound, "q_id", "left").withColumn("_d", F.coalesce("_d", far))
+    q2 = q2.withColumn("_to", blocks_within(cells, blocks, qv, F.col("_d"), k + 1))
+    p2 = tiles(q2, r, qc, rc, k, n_query, blocks, exclude_self, bool(label))
+    return _topk(p1.unionByName(p2), k).select("q_id", "r_id", "dist", "rank", *more)
 
 
 def knn_classify(query: DataFrame, ref: DataFrame, cols: list[str], label: str, k: int = 5,

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from ivnflow.operators import neighbors as nb
 from ivnflow.operators.neighbors import fit_cells, knn, smote
 
 
@@ -93,3 +94,41 @@ def test_knn_awkward_rows(spark):
     assert got[1, 1] == (5, 1.0) and got[1, 2] == got[1, 3] == (4, 5.0) and (1, 4) not in got
     assert not any(i in (2, 3) for i, _ in got) and not any(r in (2, 3) for r, _ in got.values())
     assert knn(df, df.where("false"), ["a", "b"]).count() == 0 == knn(df.where("false"), df, ["a", "b"]).count()
+
+
+def test_tiles_of_few_rows_give_the_nearest_and_never_the_pairs(spark, monkeypatch):
+    """Points apart in many dimensions, a far origin, ties and repeated queries: blocks that meet hand on
+    k rows a query, where every pair was a row before."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(600, 16)) + 1e6
+    a[200:260] = np.round(a[200:260])
+    a[300:340] = a[300]
+    names = [f"c{j}" for j in range(16)]
+    schema = "id string, y int, " + ", ".join(f"{c} double" for c in names)
+    df = spark.createDataFrame([(f"{i:04d}", i % 2, *map(float, v)) for i, v in enumerate(a)], schema)
+    monkeypatch.setattr(nb, "TILE", 200)
+    made = []
+    plain = nb.tiles
+    monkeypatch.setattr(nb, "tiles", lambda *x: made.append(plain(*x)) or made[-1])
+    got = {}
+    for x in knn(df, df, names, 5, label="y", exclude_self=True).collect():
+        got.setdefault(int(x.q_id), []).append((x.rank, x.dist, x.r_id, x.r_label))
+    for i in range(600):
+        d = np.zeros(600)
+        for c in range(16):
+            d += (a[i, c] - a[:, c]) * (a[i, c] - a[:, c])
+        d = np.sqrt(d)
+        want = [(int(j), float(d[j])) for j in np.lexsort((np.arange(600), d)) if j != i][:5]
+        assert [(int(r), d) for _, d, r, _ in sorted(got[i])] == want
+        assert all(y == int(r) % 2 for _, _, r, y in got[i])
+    blocks = 6
+    assert len(made) == 2 and sum(x.count() for x in made) <= 600 * 5 * blocks < 600 * 600
+    twice = knn(df.limit(3).union(df.limit(3)), df, names, 4).groupBy("q_id").count().collect()
+    assert [r["count"] for r in twice] == [4, 4, 4]
+
+
+def test_a_ring_larger_than_a_block_is_dealt_out():
+    class Figures:
+        ring_rows = np.array([5, 0, 90, 3, 3, 40, 1])
+    b = nb.Blocks(Figures, 40)
+    assert b.of.tolist() == [0, 0, 1, 2, 2, 3, 4] and b.parts == [1, 3, 1, 1, 1]
