@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # always fit a signed long.
 WORD_HEX = 8
 UNROLL_WORDS = 8
+#: Bytes of a long payload that are compared at a time.
+WORD_BYTES = 7
 
 
 def _c(x) -> Column:
@@ -69,13 +71,24 @@ def hamming_hex(a, b) -> Column:
         return F.bit_count(word(a, kk).bitwiseXOR(word(b, kk)))
 
     # The first UNROLL_WORDS words (a 32-byte prefix) are plain expressions
-    # that compile into generated code; the lambda only runs beyond them.
+    # that compile into generated code. Longer payloads become bytes once: a
+    # place in a string is found by counting characters from its begin.
     acc = F.lit(0).cast("long")
     for k in range(UNROLL_WORDS):
         acc = acc + F.when(F.lit(k) < nwords, term(k)).otherwise(F.lit(0))
-    rest = F.aggregate(F.sequence(F.lit(UNROLL_WORDS), nwords - 1), acc,
-                       lambda s, k: s + term(k))
-    total = F.when(nwords > UNROLL_WORDS, rest).otherwise(acc)
+
+    def over_bytes(p):
+        n = F.least(F.length(p["a"]), F.length(p["b"]))
+
+        def at(x, k):
+            return F.conv(F.hex(F.substr(x, k * WORD_BYTES + 1, F.least(F.lit(WORD_BYTES), n - k * WORD_BYTES))), 16, 10).cast("long")
+
+        return F.aggregate(F.sequence(F.lit(0), F.ceil(n / WORD_BYTES).cast("int") - 1), F.lit(0).cast("long"),
+                           lambda s, k: s + F.bit_count(at(p["a"], k).bitwiseXOR(at(p["b"], k))))
+
+    both = F.struct(F.unhex(a).alias("a"), F.unhex(b).alias("b"))
+    rest = F.element_at(F.transform(F.array(both), over_bytes), 1)
+    total = F.when((nwords > UNROLL_WORDS) & hex_valid(a) & hex_valid(b), rest).otherwise(acc)
     return F.when(hex_valid(a) & hex_valid(b) & (m > 0),
                   total.cast("double")).otherwise(F.lit(0.0))
 

@@ -215,3 +215,30 @@ def test_feature_plan_has_one_shuffle(spark):
                  or "Exchange rangepartitioning" in ln or "Exchange SinglePartition" in ln]
     assert len(exchanges) == 1 and "hashpartitioning(src_ip" in exchanges[0]
     assert "NestedLoopJoin" not in plan
+
+
+def test_hamming_of_long_payloads_takes_linear_time(spark):
+    """A 1 MB payload took a walk from its begin for each of 250,000 words."""
+    import random
+    import time
+    r = random.Random(5)
+    sizes = [(33, 33), (40, 33), (500_000, 500_000), (70_001, 70_000), (39, 1)]
+    rows = [(r.randbytes(m), r.randbytes(n)) for m, n in sizes]
+    want = [float(sum((x ^ y).bit_count() for x, y in zip(a, b))) for a, b in rows]
+    df = spark.createDataFrame([(k, a.hex(), b.hex().upper()) for k, (a, b) in enumerate(rows)] + [(9, "ab" * 50 + "g0", "00" * 60)],
+                               "k int, a string, b string")
+    t0 = time.time()
+    got = [x[1] for x in df.select("k", hamming_hex("a", "b")).orderBy("k").collect()]
+    assert got == want + [0.0] and time.time() - t0 < 20
+
+
+def test_workers_get_no_more_of_a_payload_than_is_scored(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ivnflow.operators import payload as pl
+    df = spark.createDataFrame([(1, "ab" * 50_000, "normal"), (2, "abcd", "normal"), (3, None, "dos")], "pkt_no long, payload_hex string, label_str string")
+    vec = pl.model_vector(pl.fit_byte_model(pl.benign_sample(df)))
+    scores = [{r["pkt_no"]: r["likelihood"] for r in pl.score_payloads(df, vec, engine=e).collect()} for e in ("arrow", "sql")]
+    assert all(abs(scores[0][k] - scores[1][k]) < 1e-9 for k in (1, 2, 3)) and scores[0][1] < -100 and scores[0][3] == 0.0
+    monkeypatch.setattr(pl, "_arrow_loglik", lambda *a: lambda h: F.length(h).cast("double"))
+    assert {r["pkt_no"]: r["likelihood"] for r in pl.score_payloads(df, vec).collect()} == {1: 512.0, 2: 4.0, 3: 0.0}
