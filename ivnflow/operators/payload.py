@@ -161,7 +161,8 @@ def score_payloads(df: DataFrame, vec: DataFrame, hex_col: str = "payload_hex",
         from ..session import ship_package
         ship_package(df.sparkSession)
         m = vec.first()
-        ll = _arrow_loglik(df.sparkSession, list(m["logp"]), int(m["npos"]), max_positions)(h)
+        # no more of a payload than is scored reaches the Python workers
+        ll = _arrow_loglik(df.sparkSession, list(m["logp"]), int(m["npos"]), max_positions)(F.substring(h, 1, 2 * max_positions))
         return df.select("*", F.when(ok, ll).otherwise(F.lit(0.0)).alias(lik_col)) \
             .withColumn(ent_col, F.when(ok, -F.col(lik_col) / hex_len_bytes(h)).otherwise(F.lit(0.0)))
     m = vec.select(F.col("npos").alias("_npos"), F.col("logp").alias("_logp"))
