@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import be_uint, float32_at
@@ -11,9 +12,10 @@ from ..functions.someip import msg_type_name, payload_prefix_hex, someip_header,
 from ..operators.flows import layered_features
 from ..operators.payload import benign_sample, fit_byte_model, model_vector
 from ..schemas import FEATURE_COLS, LAYERED_FEATURE_COLS, MSG_TYPE_NAMES
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path, ship_package
 from ..sources.capture import capture_paths, decode_frames, read_frames
 from ..sources.fixtures import packets, table
+from ..sources.ranges import RANGE_BYTES
 from .catalog import register
 from .q_features import FLOW_FEATURES_SQL, features, rounded
 
@@ -133,31 +135,73 @@ def q_frame_decode(spark, sf):
     return decode_frames(encoded_frames(table(spark, sf, "lineitem"))).select(*FRAME_FIELDS)
 
 
+#: Frames that one task of ``write_captures`` sorts, about.
+CAPTURE_ROWS = 1 << 20
+
+
 def write_captures(frames, path):
-    """Classic captures under ``path``, one per ``pcap_file``: a task streams a file's frames
-    (ordered by ``pkt_no`` and ``tie``) into it."""
-    def run(batches):
+    """Classic captures under ``path``, one per ``pcap_file``, its frames ordered by ``pkt_no`` and
+    ``tie``. Tasks sort and encode ranges of about ``CAPTURE_ROWS`` frames; running sums of their
+    sizes say where in its file each range begins, and tasks copy them there."""
+    import shutil
+
+    import pyarrow as pa
+
+    ship_package(frames.sparkSession)
+    pieces = path + "-pieces"
+
+    def encode(batches):
         import os
         import struct
 
-        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        out, name, found = None, None, []
+
+        def close():
+            out.close()
+            piece = os.path.join(pieces, f"{part:08d}-{name}")
+            os.replace(out.name, piece)
+            found.append((name, part, piece, os.path.getsize(piece)))
 
-        out, name = None, None
         for b in batches:
             for file, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if file != name:
                     if out:
-                        out.close()
-                    os.makedirs(path, exist_ok=True)
-                    out, name = open(os.path.join(path, file), "wb"), file
-                    out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+                        close()
+                    os.makedirs(pieces, exist_ok=True)
+                    out, name = open(os.path.join(pieces, f".{attempt}-{file}"), "wb"), file
                 out.write(struct.pack("<IIII", 1700000000, 0, len(frame), len(frame)) + frame)
         if out:
-            out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], names=["pcap_file"])
+            close()
+        types = [pa.string(), pa.int64(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], ["pcap_file", "part", "piece", "size"])
+
+    def copy(batches):
+        import os
+        import shutil
+        import struct
 
-    frames.select("pcap_file", "frame", "pkt_no", "tie").repartition("pcap_file").sortWithinPartitions("pcap_file", "pkt_no", "tie") \
-        .select("pcap_file", "frame").mapInArrow(run, "pcap_file string").write.format("noop").mode("overwrite").save()
+        for b in batches:
+            for file, piece, begin in zip(*(c.to_pylist() for c in b.columns)):
+                os.makedirs(path, exist_ok=True)
+                with os.fdopen(os.open(os.path.join(path, file), os.O_RDWR | os.O_CREAT, 0o644), "r+b") as out, open(piece, "rb") as f:
+                    if begin == 0:
+                        out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+                    out.seek(24 + begin)
+                    shutil.copyfileobj(f, out, 1 << 20)
+            yield b
+
+    keys = ["pcap_file", "pkt_no", "tie"]
+    n = max(1, -(-frames.count() // CAPTURE_ROWS))
+    found = cut_lineage(frames.select("pcap_file", "frame", "pkt_no", "tie").repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                        .select("pcap_file", "frame").mapInArrow(encode, "pcap_file string, part long, piece string, size long"))
+    # a row per range and file
+    before = Window.partitionBy("pcap_file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.select("pcap_file", "piece", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("begin"))
+    placed.repartition(n, "piece").mapInArrow(copy, "pcap_file string, piece string, begin long").write.format("noop").mode("overwrite").save()
+    shutil.rmtree(pieces, ignore_errors=True)
 
 
 @register("q_capture_ranges", sql="""
@@ -172,7 +216,7 @@ def q_capture_ranges(spark, sf):
     write_captures(encoded_frames(table(spark, sf, "lineitem")), path)
     paths = capture_paths(spark, path)
     smallest = paths.agg(F.min("size").alias("size")).first()["size"]
-    f = read_frames(paths, max(smallest // 16, 1))
+    f = read_frames(paths, max(min(smallest // 16, RANGE_BYTES), 1))
     l3 = F.when(be_uint("frame", 12, 2) == 0x8100, 18).otherwise(14)
     byte = lambda k: F.conv(F.hex(F.substr("frame", l3 + k + 1, F.lit(1))), 16, 10)
     return f.where("error is null").select(

@@ -210,3 +210,24 @@ def test_ranges_of_one_file_give_the_same_rows(spark, tmp_path, range_bytes):
     whole = _split_rows(spark, d, 1 << 30)
     assert len(whole[0]) == 40 + 20 + 40 + 10 and ("cut.pcap", 20, "truncated record") in whole[1]
     assert _split_rows(spark, d, range_bytes) == whole
+
+
+def test_captures_are_written_in_ranges(spark, tmp_path, monkeypatch):
+    """No task sorts a whole file: ranges of a few frames are laid side by side."""
+    import os
+    import random
+
+    from ivnflow.plans import q_decode as qd
+    r = random.Random(2)
+    rows = [(r.choice(["a.pcap", "b.pcap"]), r.randint(0, 90), k, r.randbytes(r.randint(0, 40))) for k in range(700)] + [("c.pcap", 1, 1, b"x")]
+    monkeypatch.setattr(qd, "CAPTURE_ROWS", 60)
+    seen = []
+    plain = qd.cut_lineage
+    monkeypatch.setattr(qd, "cut_lineage", lambda d: seen.append(plain(d)) or seen[-1])
+    at = str(tmp_path / "caps")
+    qd.write_captures(spark.createDataFrame(r.sample(rows, len(rows)), "pcap_file string, pkt_no long, tie long, frame binary"), at)
+    for name in "abc":
+        want = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(
+            struct.pack("<IIII", 1700000000, 0, len(f), len(f)) + f for n, _, _, f in sorted(rows) if n == f"{name}.pcap")
+        assert open(f"{at}/{name}.pcap", "rb").read() == want
+    assert os.listdir(tmp_path) == ["caps"] and seen[0].select("part").distinct().count() > 5
