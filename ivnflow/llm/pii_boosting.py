@@ -10,10 +10,11 @@ Training needs no personal labels. True are candidates that a base pattern accep
 with its check, wide ones that overlap such a span of their kind, and wide ones
 whose normalised value is an accepted base value anywhere in the corpus; all
 others count as false (failed Luhn sums, parts over 255, wrong digit counts, number
-runs that nothing confirms). The trees are fitted on a bounded sample of distinct
-candidates in hash order (``TRAIN_ROWS``, a documented parameter), by sums over
-arrays on the driver; labels, scores and selection cover all documents. The
-model becomes one nested expression per tree, so no row leaves the JVM.
+runs that nothing confirms). The trees are fitted on every distinct candidate but a
+held-out quarter by hash, on which the thresholds are set. Candidates with the same
+bins and label are one row with their number; a level of a tree is one aggregate over
+these rows, and the sums by (leaf, feature, bin), whose number is the model's, reach
+the driver. The model is one nested expression per tree, so no row leaves the JVM.
 
 Base spans are always kept; a candidate that overlaps a base span of its kind
 adds nothing. Added spans have the kinds ``email+``, ``ip+``, ``card+`` and
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import boosting as bo
+from ..operators.evaluate import running_totals
 from .common import let, materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -46,8 +48,6 @@ WIDE = (
 )
 CUES = (r"(?i)mail|contact|write", r"(?i)\bip\b|host|server|address", r"(?i)card|visa|master|amex|pay", r"(?i)phone|call|tel|mobile|fax")
 NOT_PERSONAL = r"(?i)version|order|item|invoice|isbn|build|ref|hash|page|no\.?\s*$"
-#: About so many distinct candidates fit the trees and set the thresholds, in hash order.
-TRAIN_ROWS = 20_000
 #: A threshold keeps at least this share of true candidates among those it selects.
 PRECISION = 0.95
 PROFILE = bo.Profile(rounds=30, eta=0.3, depth=3, bins=32, min_child_weight=2.0)
@@ -209,15 +209,13 @@ def labelled(found: DataFrame) -> DataFrame:
         "y", (F.col("base") | F.col("wide") & (F.col("touches") | F.col("known").isNotNull())).cast("int"))
 
 
-def training_rows(rows: DataFrame, most: int = TRAIN_ROWS) -> list:
-    """About ``most`` distinct candidates (key, y, features) in hash order: a value that is
-    copied everywhere counts once, whatever the number of documents."""
+def training_rows(rows: DataFrame) -> DataFrame:
+    """key, kind, y, held, features of every distinct candidate: a value that is copied
+    everywhere counts once, whatever the number of documents."""
     one = rows.groupBy(F.sha2(F.concat_ws(":", "kind", "wide", "passes", "value"), 256).alias("key"), "kind").agg(
         F.max("y").alias("y"), *(F.max(c).alias(c) for c in FEATURES))
-    one = materialise(one, "pii-training")
-    n = one.count()
-    u = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return one.where(u < F.lit(most / max(n, 1))).orderBy("key").collect()
+    held = F.conv(F.substring("key", 9, 4), 16, 10).cast("int") % 4 == 0
+    return materialise(one.withColumn("held", held), "pii-training")
 
 
 def tree_expression(tree: list[tuple], cuts: list[list[float]], x, node: int = 0) -> Column:
@@ -237,37 +235,63 @@ def probability(model: bo.TreeModel) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def fitted(sample: list, precision: float = PRECISION):
-    """(model, threshold per kind) from the training rows: a quarter is held out, and a
-    kind's threshold is the least score (at least ``LEAST``) from which the held-out
-    candidates are true to ``precision``. None where there is one class only."""
+def binned(fit: DataFrame, cuts: list[list[float]]) -> DataFrame:
+    """y, n and a bin per feature (the number of cuts below the value): a row per distinct combination."""
+    bins = [sum(((F.col(f) > F.lit(v)).cast("int") for v in c), F.lit(0)).alias(f) for f, c in zip(FEATURES, cuts)]
+    return fit.select("y", *bins).groupBy("y", *FEATURES).agg(F.count(F.lit(1)).alias("n"))
+
+
+def grown(table: DataFrame, p: bo.Profile = PROFILE) -> list[list[tuple]]:
+    """All rounds of boosting over the binned rows of ``binned``."""
     import numpy as np
 
-    held = [int(r["key"][8:12], 16) % 4 == 0 for r in sample]
-    fit = [r for r, h in zip(sample, held) if not h]
-    if len({r["y"] for r in fit}) < 2:
+    steps = [list(range(p.bins))] * len(FEATURES)  # a row's value is its bin
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f).alias("b")) for k, f in enumerate(FEATURES))))
+    trees: list[list[tuple]] = []
+    for r in range(p.rounds):
+        z = F.lit(0.0)
+        for t in trees:
+            z = z + tree_expression(t, steps, F.col)
+        prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        whole = lambda c: F.floor(c * F.col("n") * F.lit(float(bo.SCALE)) + 0.5).cast("long")
+        state = table.withColumn("p", prob).select(*FEATURES, whole(F.col("p") - F.col("y")).alias("g"), whole(F.col("p") * (1 - F.col("p"))).alias("h"))
+        grower = bo.Grower(p)
+        while grower.open:
+            slot = {node: k for k, node in enumerate(grower.open)}
+            tree = [(n, f, b, left, right, float(slot.get(n, -1)), 0.0, 0.0) for n, f, b, left, right, *_ in bo._growing(grower)]
+            sums = state.withColumn("leaf", tree_expression(tree, steps, F.col).cast("int")).where("leaf >= 0") \
+                .select("leaf", "g", "h", cells.alias("c")).groupBy("leaf", "c").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+            hist = np.zeros((2, len(slot), len(FEATURES), p.bins))
+            for x in sums.select("leaf", "c.k", "c.b", "g", "h").collect():  # at most leaves x features x bins rows
+                hist[:, x["leaf"], x["k"], x["b"]] = x["g"], x["h"]
+            grower.add(bo.best_splits(hist, list(range(len(FEATURES))), p, grower.open_paths(), r))
+        trees.append(grower.tree())
+    return trees
+
+
+def fitted(rows: DataFrame, precision: float = PRECISION):
+    """(model, threshold per kind) from all training rows: a quarter is held out, and a
+    kind's threshold is the least score (at least ``LEAST``) from which the held-out
+    candidates are true to ``precision``. None where there is one class only."""
+    fit = rows.where("not held")
+    if fit.select("y").distinct().count() < 2:
         return None
-    model = bo.fit_sample([[r[c] for c in FEATURES] for r in fit], [r["y"] for r in fit], list(FEATURES), PROFILE)
-    rest = [r for r, h in zip(sample, held) if h]
-    x = np.array([[r[c] for c in FEATURES] for r in rest]).reshape(len(rest), len(FEATURES))
-    margin = sum((bo.Packed(t, model.cuts).values(x) for t in model.trees), np.zeros(len(rest)))
-    limits = {}
-    for kind in range(len(KINDS)):
-        good = n = 0
-        for p, y in sorted(((1 / (1 + np.exp(-m)), r["y"]) for m, r in zip(margin, rest) if r["kind"] == kind), reverse=True):
-            good, n = good + y, n + 1
-            if good >= precision * n and p >= LEAST:
-                limits[kind] = float(p)
-    return model, limits
-
-
-def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS,
-              precision: float = PRECISION) -> DataFrame:
+    cuts = bo.quantile_cuts(fit, list(FEATURES), PROFILE.bins)
+    table = materialise(binned(fit, cuts), "pii-binned")
+    model = bo.TreeModel(list(FEATURES), cuts, PROFILE, grown(table))
+    scores = rows.where("held").select("kind", "y", probability(model).alias("p")).groupBy("kind", "p").agg(
+        F.sum("y").alias("good"), F.count(F.lit(1)).alias("n"))
+    above = running_totals(scores, "p", ["good", "n"], within=["kind"])
+    least = above.where((F.col("cum_good") >= F.lit(precision) * F.col("cum_n")) & (F.col("p") >= LEAST)).groupBy("kind").agg(F.min("p").alias("p"))
+    return model, {x["kind"]: float(x["p"]) for x in least.collect()}
+
+
+def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
     """doc_id, base array<struct<start, kind, end>>, added array<struct<start, kind,
     end>> per row of ``docs``; kinds number KINDS."""
     found = materialise(candidates(docs, id_col, text_col), "pii-candidates")
     rows = materialise(labelled(found), "pii-labelled")
-    fit = fitted(training_rows(rows, most), precision)
+    fit = fitted(training_rows(rows), precision)
     chosen = F.lit(False) if fit is None else F.col("apart") & (probability(fit[0]) >= _limit(fit[1], F.col("kind")))
     span = F.struct("start", "kind", "end")
     some = rows.withColumn("chosen", chosen).where("base or chosen").groupBy("row_id").agg(

@@ -696,20 +696,6 @@ def grow_apart(key, y, w, bins, p: Profile, r: int) -> Nodes:
     return Nodes(*(np.concatenate([x[k] for x in out]) for k in range(6)))
 
 
-def fit_sample(x: list[list[float]], y: list[int], cols: list[str], profile: Profile) -> TreeModel:
-    """The same fit on a small sample that the caller holds (keys are row numbers)."""
-    import numpy as np
-
-    m, n = np.array(x, float).reshape(len(y), len(cols)), len(y)
-    cuts = []
-    for k in range(len(cols)):
-        v = np.sort(m[:, k])
-        cuts.append(sorted({float(v[-(-q * n // profile.bins) - 1]) for q in range(1, profile.bins)}))
-    bins = np.stack([np.searchsorted(c, m[:, k], "left") for k, c in enumerate(cuts)], axis=1).astype(np.uint8)
-    trees, _ = grow_all(np.arange(n), np.array(y, float), np.ones(n), np.zeros(n, bool), bins, profile)
-    return TreeModel(list(cols), cuts, profile, trees)
-
-
 def _fit_in_task(table: DataFrame, width: int, p: Profile, patience: int | None):
     """All rounds over one partition of at most ``task_rows`` rows."""
     ship_package(table.sparkSession)

@@ -97,3 +97,22 @@ def test_query_columns(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{n}:{s}:{e}" for s, _, e, n in b).encode()).hexdigest()
         assert [r[f"n_{n}"] for n in pb.KINDS] == [sum(x[3] == n for x in b) for n in pb.KINDS]
         assert {f"{n}:{s}:{e}" for s, _, e, n in b} <= set(r["spans"].split(",")) or not b
+
+
+def test_the_model_counts_every_distinct_candidate(spark):
+    """Trees over all rows by aggregates equal the ones over whole arrays; no part of the rows is left out."""
+    import numpy as np
+
+    r = random.Random(8)
+    rows = [(f"{k:064x}", r.randrange(4), r.randrange(2), r.random() < 0.25, *(float(r.choice([0, 0, 1, k % 7])) for _ in pb.FEATURES)) for k in range(21_000)]
+    df = spark.createDataFrame(rows, "key string, kind int, y int, held boolean, " + ", ".join(f"{c} double" for c in pb.FEATURES))
+    fit = [x for x in rows if not x[3]]
+    cuts = pb.bo.quantile_cuts(df.where("not held"), list(pb.FEATURES), pb.PROFILE.bins)
+    table = pb.binned(df.where("not held"), cuts)
+    assert table.agg({"n": "sum"}).first()[0] == len(fit)
+    got = pb.grown(table.coalesce(2).cache(), pb.bo.replace(pb.PROFILE, rounds=1))
+    bins = np.array([[np.searchsorted(c, v, "left") for c, v in zip(cuts, x[4:])] for x in fit]).astype(np.uint8)
+    want, _ = pb.bo.grow_all(np.arange(len(fit)), np.array([x[2] for x in fit], float), np.ones(len(fit)), np.zeros(len(fit), bool), bins,
+                             pb.bo.replace(pb.PROFILE, rounds=1))
+    assert [[n[:5] for n in t] for t in got] == [[n[:5] for n in t] for t in want]
+    assert got[0][0][7] == want[0][0][7] == len(fit) / 4  # the root's cover: p (1 - p) of every row
