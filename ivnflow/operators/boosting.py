@@ -23,8 +23,9 @@ boosted rounds, each of which needs the one before, run in one task, and the tre
 of a forest are dealt out, a group of drawn rows and a task per tree. All ways
 give the same trees.
 
-In a task a boosted level sums the rows of the smaller child of each split; its
-sibling is the parent without it. A forest's level has sums only for cells that
+In a task a boosted split sums the rows of its smaller child; the sibling is the
+parent without it. Leaf-wise growth splits the node of largest gain first, so it
+tries no split beyond ``max_leaves``. A forest's level has sums only for cells that
 hold rows, for the columns that may split the node, in chunks of ``CHUNK`` entries,
 so memory does not grow with the number of leaves.
 
@@ -50,6 +51,8 @@ STATE_ROUNDS = 10
 TASK_CELLS = 1 << 26
 #: Entries (rows times columns) that are summed at a time.
 CHUNK = 1 << 18
+#: Entries that a boosted node sums at a time, few enough for a core's cache.
+BLOCK = 1 << 15
 MOD = 2147483647
 NODE_SCHEMA = ("tree int, node int, feature int, cut double, left int, right int, value double, gain double, "
                "cover double")
@@ -348,6 +351,11 @@ def quantile_cuts(df: DataFrame, cols: list[str], bins: int) -> list[list[float]
     histogram over fine buckets of value finds the bucket of each rank, and only
     the distinct values of those buckets are ranked. At most ``bins`` numbers a
     column reach the driver."""
+    return cuts_of(value_counts(df, cols), cols, bins)
+
+
+def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """How often each column has each value (c, x, n) with the value's bucket, written to the shared folder."""
     from .sampling import ordered_bucket
 
     spark = df.sparkSession
@@ -357,7 +365,11 @@ def quantile_cuts(df: DataFrame, cols: list[str], bins: int) -> list[list[float]
         .select(F.col("v.c").alias("c"), F.col("v.x").alias("x")).groupBy("c", "x").agg(F.count("*").alias("n"))
     path = scratch_path(spark, f"cuts-{_run()}")
     long.withColumn("bkt", ordered_bucket("x")).write.parquet(path)
-    counts = spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def cuts_of(counts: DataFrame, cols: list[str], bins: int) -> list[list[float]]:
+    """The cuts of ``quantile_cuts`` from the table of ``value_counts``."""
     w = Window.partitionBy("c").orderBy("bkt")
     buckets = counts.groupBy("c", "bkt").agg(F.sum("n").alias("n")).withColumn("cum", F.sum("n").over(w)) \
         .withColumn("all", F.sum("n").over(Window.partitionBy("c")))
@@ -425,28 +437,44 @@ def _arrays(b, width: int):
 
 # ---- fitting ---------------------------------------------------------------------------------------
 
+@dataclass
+class Binned:
+    """Cuts per column and the written table of ``binned`` with its rows, for any profile with its bins and seed."""
+    cuts: list[list[float]]
+    table: DataFrame
+    rows: int
+
+
+def bin_table(df: DataFrame, id_col: str, cols: list[str], label: str, bins: int, seed: int = 42, weight: str | None = None,
+              valid: str | None = None, counts: DataFrame | None = None) -> Binned:
+    """Bins of ``df``, cut at quantiles of the rows whose ``valid`` flag is not set; ``counts`` are
+    the ``value_counts`` of these rows where they are there already."""
+    if bins > 256:
+        raise ValueError("a bin is one byte: at most 256 bins")
+    if counts is None:
+        counts = value_counts(df if valid is None else df.where(~F.col(valid)), cols)
+    cuts = cuts_of(counts, cols, bins)
+    path = scratch_path(df.sparkSession, f"binned-{_run()}")
+    binned(df, id_col, cols, label, cuts, seed, weight, valid).write.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    return Binned(cuts, table, table.count())
+
+
 def fit(df: DataFrame, id_col: str, cols: list[str], label: str, profile: Profile = Profile(),
         weight: str | None = None, valid: str | None = None, patience: int | None = None,
-        task_rows: int | None = None) -> TreeModel:
+        task_rows: int | None = None, ready: Binned | None = None) -> TreeModel:
     """Fit on the rows of ``df`` whose ``valid`` flag is not set; with ``patience``,
     stop once the flagged rows' loss has not fallen for so many rounds and keep
-    the rounds up to the best. No round after that is fitted."""
-    spark = df.sparkSession
-    if profile.bins > 256:
-        raise ValueError("a bin is one byte: at most 256 bins")
-    rows = df if valid is None else df.where(~F.col(valid))
-    cuts = quantile_cuts(rows, cols, profile.bins)
-    path = scratch_path(spark, f"binned-{_run()}")
-    binned(df, id_col, cols, label, cuts, profile.seed, weight, valid).write.parquet(path)
-    table = spark.read.parquet(path)
-    n = table.count()
-    if n == 0:
+    the rounds up to the best. No round after that is fitted. ``ready`` is the
+    ``bin_table`` of the same rows, columns, bins and seed, if there is one."""
+    ready = ready or bin_table(df, id_col, cols, label, profile.bins, profile.seed, weight, valid)
+    if ready.rows == 0:
         raise ValueError("no rows to fit")
     if task_rows is None:
         task_rows = TASK_CELLS // max(len(cols), 1)
-    way = _fit_by_jobs if n > task_rows else _fit_apart if _apart(profile) and patience is None else _fit_in_task
-    trees, losses = way(table, len(cols), profile, patience)
-    model = TreeModel(list(cols), cuts, profile, trees, losses)
+    way = _fit_by_jobs if ready.rows > task_rows else _fit_apart if _apart(profile) and patience is None else _fit_in_task
+    trees, losses = way(ready.table, len(cols), profile, patience)
+    model = TreeModel(list(cols), ready.cuts, profile, trees, losses)
     if patience is not None and losses:
         model.trees = model.trees[:losses.index(min(losses)) + 1]
     return model
@@ -480,66 +508,78 @@ def grow_all(key, y, w, valid, bins, p: Profile, patience: int | None = None):
 
 
 def _grow_round(key, y, w, valid, bins, by_column, margin, p: Profile, r: int):
-    """(tree, its value for each row): level by level, with sums for the smaller child of a split."""
+    """(tree, its value for each row). Nodes are split one by one, with sums for the smaller child;
+    with ``max_leaves`` the node of largest gain comes next, and no split is tried that is not kept."""
+    import heapq
+
     import numpy as np
 
     g, h, use = round_sums(margin, y, w, key, r, p)
-    columns, grower = tree_columns(bins.shape[1], r, p.columns, p.seed), Grower(p)
-    rows = np.flatnonzero(use & ~valid)
-    at = np.zeros(len(y), np.int64)   # node of each row
-    before: dict[int, tuple] = {}     # node -> its place among the sums of the level before
-    hist = None
-    while grower.open:
-        leaves = grower.open
-        slot = np.full(grower.next_id, -1)
-        if hist is None:
-            slot[leaves] = np.arange(len(leaves))
-            hist = _column_sums(by_column, rows, slot[at[rows]], g, h, 1, columns, p.bins)
-        else:
-            # children stand side by side; the lighter one is summed
-            spot = np.full(grower.next_id, -1)
-            spot[leaves] = np.arange(len(leaves))
-            place = spot[at[rows]]
-            rows, place = rows[place >= 0], place[place >= 0]
-            counts = np.bincount(place, minlength=len(leaves)).reshape(-1, 2)
-            light = counts.argmin(axis=1)
-            number = np.full(len(leaves), -1)
-            number[2 * np.arange(len(light)) + light] = np.arange(len(light))
-            some = number[place]
-            small = _column_sums(by_column, rows[some >= 0], some[some >= 0], g, h, len(light), columns, p.bins)
-            parents = hist[:, [before[leaves[2 * k]] for k in range(len(light))]]
-            hist = np.empty((2, len(leaves), len(columns), p.bins))
-            first = 2 * np.arange(len(light))
-            hist[:, first + light] = small
-            hist[:, first + 1 - light] = parents - small
-        grower.add(best_splits(hist, columns, p, [grower.path[n] for n in leaves], r))
-        nodes = grower.nodes
-        before = {c: k for k, n in enumerate(leaves) for c in nodes[n][2:4] if c >= 0}
-        # one step down for the rows of the nodes that were split
-        feature = np.full(grower.next_id, -1)
-        limit, left = np.zeros(grower.next_id, np.int64), np.zeros(grower.next_id, np.int64)
-        for n in leaves:
-            feature[n], limit[n], left[n] = nodes[n][0], nodes[n][1], nodes[n][2]
-        f = feature[at]
-        go = np.flatnonzero(f >= 0)
-        n = at[go]
-        at[go] = left[n] + (bins[go, f[go]] > limit[n])
-    tree, place = grower.numbered()
-    value = np.array([n[5] for n in tree])
-    return tree, value[place[at]]
-
-
-def _column_sums(by_column, rows, slot, g, h, leaves: int, columns: list[int], n_bins: int):
-    """Sums (2, leaves, columns, bins) of g and h of ``rows``, which lie in the leaves ``slot``."""
+    columns = tree_columns(bins.shape[1], r, p.columns, p.seed)
+    some = bins if len(columns) == bins.shape[1] else np.ascontiguousarray(bins[:, columns])
+    fits = use & ~valid
+    others, rows = np.flatnonzero(~fits), np.flatnonzero(fits)
+    hist = _node_sums(some, rows, g, h, p.bins)
+    total = hist[:, 0].sum(axis=1).tolist()
+    # nodes are named by their paths, which are in the order of levels, left to right
+    nodes = {0: [-1, 0, *total, 0.0]}   # path -> [feature, bin, G, H, gain]
+    held = {0: (rows, others)}          # rows of the leaves: those that fit, the others
+    queue: list[tuple] = []             # splits to come
+
+    def tries(path: int) -> bool:
+        """Whether the node can be split: not too deep, and both sides can be heavy enough."""
+        return (path + 1).bit_length() - 1 < p.depth and nodes[path][3] / SCALE >= 2 * p.min_child_weight
+
+    def offer(paths: list[int], hists: list) -> None:
+        for path, sums, (gain, f, b, gl, hl, _, _) in zip(paths, hists, best_splits(np.stack(hists, axis=1), columns, p, paths, r)):
+            if f >= 0:
+                heapq.heappush(queue, (-path if p.max_leaves is None else -gain, path, gain, f, b, gl, hl, sums))
+
+    if tries(0):
+        offer([0], [hist])
+    left = float("inf") if p.max_leaves is None else p.max_leaves - 1
+    while queue and left > 0:
+        _, path, gain, f, b, gl, hl, hist = heapq.heappop(queue)
+        left -= 1
+        node = nodes[path]
+        node[0], node[1], node[4] = f, b, gain
+        two = (2 * path + 1, 2 * path + 2)
+        nodes[two[0]], nodes[two[1]] = [-1, 0, gl, hl, 0.0], [-1, 0, node[2] - gl, node[3] - hl, 0.0]
+        sides = []
+        for at in held.pop(path):
+            right = by_column[f].take(at) > b
+            sides.append((at[~right], at[right]))
+        held[two[0]], held[two[1]] = zip(*sides)
+        due = [k for k in (0, 1) if tries(two[k])] if left > 0 else []
+        if due:
+            light = int(len(held[two[1]][0]) < len(held[two[0]][0]))
+            small = _node_sums(some, held[two[light]][0], g, h, p.bins)
+            offer([two[k] for k in due], [small if k == light else hist - small for k in due])
+    number = {path: k for k, path in enumerate(sorted(nodes))}
+    tree, value = [], np.empty(len(y))
+    for path in number:
+        f, b, sg, sh, gain = nodes[path]
+        v = leaf_value(sg, sh, p)
+        if path in held:
+            for at in held[path]:
+                value[at] = v
+        tree.append((number[path], f, b, number.get(2 * path + 1, -1), number.get(2 * path + 2, -1), v, gain, sh / SCALE))
+    return tree, value
+
+
+def _node_sums(bins, rows, g, h, n_bins: int):
+    """Sums (2, columns, bins) of g and h of ``rows``."""
     import numpy as np
 
-    out = np.empty((2, leaves, len(columns), n_bins))
-    base, g, h = slot * n_bins, g[rows], h[rows]
-    for k, c in enumerate(columns):
-        cells = base + by_column[c].take(rows)
-        out[0, :, k] = np.bincount(cells, g, leaves * n_bins).reshape(leaves, n_bins)
-        out[1, :, k] = np.bincount(cells, h, leaves * n_bins).reshape(leaves, n_bins)
-    return out
+    width = bins.shape[1]
+    out, first = np.zeros((2, width * n_bins)), np.arange(width) * n_bins
+    step = max(1, BLOCK // width)
+    for lo in range(0, len(rows), step):
+        at = rows[lo:lo + step]
+        cells = (bins.take(at, axis=0) + first).ravel()
+        for k, v in enumerate((g, h)):
+            out[k] += np.bincount(cells, np.repeat(v.take(at), width), width * n_bins)
+    return out.reshape(2, width, n_bins)
 
 
 # ---- trees that do not need each other -----------------------------------------------------------

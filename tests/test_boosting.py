@@ -195,3 +195,33 @@ def test_the_trees_of_a_forest_are_dealt_out(data, monkeypatch):
     assert one.trees == many.trees and one.num_trees == 5
     probs = [{r["id"]: r["y_prob"] for r in bo.score(m, data, "id", "y").collect()} for m in (one, many)]
     assert probs[0] == probs[1]
+
+
+def test_leaf_wise_growth_tries_no_split_beyond_its_leaves(monkeypatch):
+    key, y, w, b = array_rows(600, 5, 16)
+    p = bo.Profile(rounds=3, depth=12, max_leaves=8, l2=0.0, min_child_weight=1e-3, bins=16)
+    tried, best = [], bo.best_splits
+    monkeypatch.setattr(bo, "best_splits", lambda hist, columns, p, paths, r: tried.extend(paths) or best(hist, columns, p, paths, r))
+    trees, _ = bo.grow_all(key, y, w, np.zeros(600, bool), b, p)
+    assert len(tried) <= p.rounds * (2 * p.max_leaves - 3)
+    assert trees == plain_rounds(key, y, w, b, p)
+
+
+def test_baselines_share_bins_and_do_not_wait_for_each_other(spark, data, monkeypatch):
+    import threading
+
+    from ivnflow.operators import neighbors
+
+    begun, tables, fits = threading.Event(), [], []
+    binned, fit, classify = bo.binned, bo.fit, neighbors.knn_classify
+    monkeypatch.setattr(bo, "binned", lambda *a, **k: tables.append(1) or binned(*a, **k))
+    monkeypatch.setattr(bo, "fit", lambda *a, **k: fits.append(begun.wait(60)) or fit(*a, **k))
+    monkeypatch.setattr(neighbors, "knn_classify", lambda *a, **k: begun.set() or classify(*a, **k))
+    train, test = data.na.fill(0.0).where("id % 2 = 0"), data.na.fill(0.0).where("id % 2 = 1")
+    got = {r["model"]: r for r in md.baseline_table(train, test, COLS, "id", "y", rounds=5).collect()}
+    assert fits == [True] * 4 and len(tables) == 2   # 64 bins for both boosted models, 256 for the forest and the tree
+    for name in ("GBT", "GBT2", "DT"):
+        model = md.fit_trees(train, COLS, "id", "y", name, **({"rounds": 5} if name != "DT" else {}))
+        s = md.score(model, test, "id", "y")
+        want = md.ev.prf(s, 0.36, "y_true", "y_prob").first()
+        assert got[name]["f1"] == want["f1"] and got[name]["precision"] == want["precision"]
