@@ -116,3 +116,16 @@ def test_the_model_counts_every_distinct_candidate(spark):
                              pb.bo.replace(pb.PROFILE, rounds=1))
     assert [[n[:5] for n in t] for t in got] == [[n[:5] for n in t] for t in want]
     assert got[0][0][7] == want[0][0][7] == len(fit) / 4  # the root's cover: p (1 - p) of every row
+
+
+def test_long_runs_take_no_stack(spark):
+    """Java's matcher recurses for every turn of a greedy group: a few thousand turns ended the task and its executor."""
+    n = 20_000
+    runs = ((pb.CARD, "1" * n), (pb.CARD, "12 3-4 " * n + "5"), (pb.EMAIL, "a@b" + ".c" * n), (pb.WIDE[0], "a(at)b" + " (dot) c" * n))
+    for pattern, text in runs:
+        m = spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher(text)
+        assert m.find() and (m.start(), m.end()) == (0, len(text))
+    docs = [(k, f"first 10.0.0.7 {text} é then {card(random.Random(k))}; x@y.org") for k, (_, text) in enumerate(runs) if k]
+    got, _ = run(spark, docs)
+    for k, text in docs:
+        assert [(s["start"], s["kind"], s["end"]) for s in got[k]["base"]] == [b[:3] for b in brute(text)]
