@@ -192,16 +192,20 @@ def features(kind: int, s: Column) -> dict[str, Column]:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id, doc_id, found: per row of ``docs`` its candidates with features."""
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"),
-                       proposals(F.col(text_col)).alias("found"))
+    """row_id, first, doc_id (null where not ``first``), a candidate with its features: a row
+    per candidate of each row of ``docs``, or one of nulls where it has none. Arrays of
+    them would be read back whole, thousands of texts at a time."""
+    found = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"),
+                        proposals(F.col(text_col)).alias("found"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    return found.select("row_id", "doc_id", F.posexplode_outer("found").alias("pos", "s")).select(
+        "row_id", first.alias("first"), F.when(first, F.col("doc_id")).alias("doc_id"), "s.*")
 
 
 def labelled(found: DataFrame) -> DataFrame:
     """A row per candidate with ``base`` (accepted), ``apart`` (a wide one that overlaps no
     base span of its kind) and the label ``y``."""
-    rows = found.where(F.size("found") > 0).select("row_id", "doc_id", F.explode("found").alias("s")).select("row_id", "doc_id", "s.*")
-    rows = rows.withColumn("base", ~F.col("wide") & F.col("passes"))
+    rows = found.where(F.col("kind").isNotNull()).drop("first", "doc_id").withColumn("base", ~F.col("wide") & F.col("passes"))
     near = Window.partitionBy("row_id", "kind").orderBy("start")
     reached = F.max(F.when(F.col("base"), F.col("end"))).over(near.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     coming = F.min(F.when(F.col("base"), F.col("start"))).over(near.rangeBetween(Window.currentRow, Window.unboundedFollowing))
@@ -300,7 +304,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base"),
         F.array_sort(F.collect_set(F.when(F.col("chosen"), span))).alias("added"))
     none = F.array().cast(some.schema["base"].dataType)
-    return found.select("row_id", "doc_id").join(some, "row_id", "left").select(
+    return found.where("first").select("row_id", "doc_id").join(some, "row_id", "left").select(
         "doc_id", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
 
 

@@ -129,3 +129,15 @@ def test_long_runs_take_no_stack(spark):
     got, _ = run(spark, docs)
     for k, text in docs:
         assert [(s["start"], s["kind"], s["end"]) for s in got[k]["base"]] == [b[:3] for b in brute(text)]
+
+
+def test_candidates_are_rows(spark):
+    """Texts dense with candidates, read back as arrays by 4096 texts at a time, overran an executor's memory."""
+    dense = "10.0.0.7 " * 300
+    df = spark.createDataFrame([(1, dense), (2, "none"), (None, "a@b.co"), (4, None)], "doc_id long, text string")
+    found = pb.candidates(df)
+    assert not any(t.startswith("array") for _, t in found.dtypes)
+    rows = found.select("doc_id", "first", "kind", "wide", "start").collect()
+    assert len(rows) == 600 + 3  # base and wide ones
+    assert sorted((r["doc_id"] or 0, r["kind"] is None) for r in rows if r["first"]) == [(0, False), (1, False), (2, True), (4, True)]
+    assert sorted(r["start"] for r in rows if r["kind"] == 1 and not r["wide"]) == list(range(0, 2700, 9))
